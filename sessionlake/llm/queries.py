@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, sharding, url_filter
+from . import bpe, decontaminate, pii, quality, sharding, url_filter
 from .common import table
 
 
@@ -23,16 +23,26 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.interleave(table(spark, sf_dir, "documents"), shards=40)
     return placed.selectExpr("doc_id", "size", "text_crc32", "law", "shard", "slot", "cast(null as int) as grown_shard", "source")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), word_bpe(), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_decontamination, op8_sharding, op10_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op3_decontamination, op7_pii, op8_sharding, op9_quality, op10_bpe,
+)}
 
 _TERMS = {k: "[" + ",".join(f"'{t}'" for t in v) + "]" for k, v in (("strict", url_filter.STRICT), ("soft", url_filter.SOFT))}
 
