@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality, sharding, url_filter
+from . import bpe, decontaminate, license_scan, masked_lm, pii, quality, sharding, url_filter
 from .common import table
 
 
@@ -19,10 +19,19 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft", "terms", "score")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.score_documents(docs, masked_lm.train(docs))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), with_hits=False)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -41,7 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op3_decontamination, op7_pii, op8_sharding, op9_quality, op10_bpe,
+    op1_url_filter, op2_lm_scoring, op3_decontamination, op5_license_scan, op7_pii, op8_sharding, op9_quality, op10_bpe,
 )}
 
 _TERMS = {k: "[" + ",".join(f"'{t}'" for t in v) + "]" for k, v in (("strict", url_filter.STRICT), ("soft", url_filter.SOFT))}
