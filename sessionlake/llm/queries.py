@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, masked_lm, pii, quality, sharding, url_filter
+from . import bpe, decontaminate, jaccard_join, license_scan, masked_lm, pii, quality, sharding, url_filter
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"), with_hits=False)
 
@@ -50,7 +54,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op2_lm_scoring, op3_decontamination, op5_license_scan, op7_pii, op8_sharding, op9_quality, op10_bpe,
+    op1_url_filter, op2_lm_scoring, op3_decontamination, op4_jaccard_join, op5_license_scan,
+    op7_pii, op8_sharding, op9_quality, op10_bpe,
 )}
 
 _TERMS = {k: "[" + ",".join(f"'{t}'" for t in v) + "]" for k, v in (("strict", url_filter.STRICT), ("soft", url_filter.SOFT))}
@@ -80,6 +85,20 @@ select p.page_id, host, path, rule, coalesce(ruled, case when len(k) * 2 + len(s
   cast(len(k) as bigint) as n_strict, cast(len(s) as bigint) as n_soft,
   array_to_string(list_sort(list_concat(k, s)), ',') as terms, least(1.0, (len(k) * 2 + len(s)) / 2.0)::double as score
 from p join t using (page_id) left join m using (page_id)""",
+    "op4_jaccard_join": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i : i + 2], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from o join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 90 * (p.n + q.n - c)),
+e2 as (select x, y from e union all select y, x from e),
+r(x, y) as (select x, y from e2 union select r.x, e2.y from r join e2 on r.y = e2.x)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id
+from d left join n using (doc_id) left join (select x, min(y) as m from r group by x) c on c.x = d.doc_id""",
     "op3_decontamination": r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
