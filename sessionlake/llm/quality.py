@@ -128,24 +128,46 @@ def _closest(scored: DataFrame) -> DataFrame:
     return scored.join(last, "_g").where(F.col("_c") <= F.col("_last"))
 
 
-def judge_quality(docs: DataFrame, key: str = "doc_id", steps: int = 2, min_rows: int = 60, cutoff: float = CUTOFF) -> DataFrame:
-    """One row per document: the key, the statistics, ``base_failed, distance2, kept``."""
-    rows = text_statistics(docs, [key, "lang", "source"])
+def _statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
+    rows = text_statistics(docs, [*keep, "lang", "source"])
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     rows = rows.withColumns({"_lang": named("lang"), "_pair": F.concat_ws("\x1f", named("lang"), named("source")), "base_failed": base_failed()})
-    rows = written(_transformed(rows).drop("lang", "source"))
+    return _transformed(rows).drop("lang", "source")
+
+
+def _fit(rows: DataFrame, steps: int, min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The group of every pair of language and source, and the estimate of every group: both are small tables."""
     sizes = rows.groupBy("_lang", "_pair").agg(F.count(F.lit(1)).alias("_n"))
     rest = F.sum(F.when(F.col("_n") < min_rows, F.col("_n")).otherwise(0)).over(Window.partitionBy("_lang"))
     group = F.when(F.col("_n") >= min_rows, F.col("_pair")).when(rest >= min_rows, F.col("_lang"))
     groups = written(sizes.select("_pair", group.alias("_g")))
-    rows = rows.join(groups, "_pair")
-    in_group = rows.where("_g is not null").select("_g", *X)
+    in_group = rows.join(groups, "_pair").where("_g is not null").select("_g", *X)
     estimate = written(_start(in_group))
     for _ in range(steps):
         estimate = written(_estimate(_moments(_closest(_distance(in_group, estimate)))))
-    judged = _distance(rows, estimate)
-    return judged.select(
-        key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.col("_d2").alias("distance2"),
-        (~F.col("base_failed") & (F.coalesce(F.col("_d2"), F.lit(0.0)) <= cutoff)).alias("kept"),
+    return groups, estimate
+
+
+def _judged(rows: DataFrame, groups: DataFrame, estimate: DataFrame, cutoff: float) -> DataFrame:
+    rows = _distance(rows.join(groups, "_pair"), estimate)
+    return rows.withColumn("_kept", ~F.col("base_failed") & (F.coalesce(F.col("_d2"), F.lit(0.0)) <= cutoff))
+
+
+def judge_quality(docs: DataFrame, key: str = "doc_id", steps: int = 2, min_rows: int = 60, cutoff: float = CUTOFF) -> DataFrame:
+    """One row per document: the key, the statistics, ``base_failed, distance2, kept``."""
+    rows = written(_statistics(docs, [key]))
+    return _judged(rows, *_fit(rows, steps, min_rows), cutoff).select(
+        key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("_d2").alias("distance2"), F.col("_kept").alias("kept")
     )
+
+
+def filtered(docs: DataFrame, steps: int = 2, min_rows: int = 60, cutoff: float = CUTOFF) -> DataFrame:
+    """The documents that are kept, all columns as they were.
+
+    The statistics are taken twice, once for the estimates and once beside each document, so no text is shuffled. The
+    mark keeps the filter above the statistics: pushed below, it would take them anew for every element of an array.
+    """
+    fitted = _fit(written(_statistics(docs, [])), steps, min_rows)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "lang", "source", "text")
+    rows = _statistics(packed, ["_doc"]).withColumn("_mark", F.monotonically_increasing_id())
+    return _judged(rows, *fitted, cutoff).where("_kept and _mark >= 0").select("_doc.*")

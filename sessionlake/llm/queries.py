@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard_join, license_scan, masked_lm, pii, quality, sharding, url_filter
+from . import bpe, decontaminate, jaccard_join, license_scan, masked_lm, pii, quality, sharding, substring_dedup, url_filter
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"), with_hits=False)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_lm_scoring, op3_decontamination, op4_jaccard_join, op5_license_scan,
-    op7_pii, op8_sharding, op9_quality, op10_bpe,
+    op6_substring_dedup, op7_pii, op8_sharding, op9_quality, op10_bpe,
 )}
 
 _TERMS = {k: "[" + ",".join(f"'{t}'" for t in v) + "]" for k, v in (("strict", url_filter.STRICT), ("soft", url_filter.SOFT))}
@@ -99,6 +103,15 @@ e2 as (select x, y from e union all select y, x from e),
 r(x, y) as (select x, y from e2 union select r.x, e2.y from r join e2 on r.y = e2.x)
 select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id
 from d left join n using (doc_id) left join (select x, min(y) as m from r group by x) c on c.x = d.doc_id""",
+    "op6_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+x as (select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+m as (select h, min(doc_id) as m from x group by h),
+g as (select distinct doc_id, unnest(range(i, i + 50)) as p from x join m using (h) where m < doc_id),
+k as (select doc_id, count(*) as n from g group by doc_id),
+v as (select doc_id, string_agg(t, ' ' order by p) as s from (select doc_id, unnest(w) as t, unnest(range(1, len(w) + 1)) as p from d) anti join g using (doc_id, p) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(s, '')) as kept_sha256
+from d left join k using (doc_id) left join v using (doc_id)""",
     "op3_decontamination": r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
