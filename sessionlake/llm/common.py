@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +69,39 @@ class WordHashes(dict):
 def binary_text(column: str = "text"):
     """The text as UTF-8 bytes; null stays null."""
     return F.col(column).cast("string").cast("binary")
+
+
+#: Bits of a Bloom filter (8 MB), as a power of two.
+BITS = 26
+_P = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each hash."""
+    mixed = (hashes ^ (hashes >> np.uint64(33))) * _P
+    shift = np.uint64(64 - BITS)
+    return (mixed >> shift).astype(np.int64), ((mixed * _P) >> shift).astype(np.int64)
+
+
+def bloom(hashes: DataFrame) -> np.ndarray:
+    """The filter's bits. Tasks turn hashes (column ``anchor``) into set words of the filter, a shuffle unites them: at most 2^20 rows."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = _slots(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            both = np.unique(np.concatenate([a, b]))
+            bits = np.left_shift(np.int64(1), (both & 63).astype(np.int64))
+            at = both >> 6
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.array([], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at[first]), pa.array(np.bitwise_or.reduceat(bits, first) if len(first) else np.array([], dtype=np.int64))], ["at", "bits"])
+
+    rows = hashes.select("anchor").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << (BITS - 6), dtype=np.int64)
+    out[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    return out
+
+
+def in_bloom(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets through: all that it was made of, and some others."""
+    a, b = _slots(hashes)
+    return ((bits[a >> 6] >> (a & 63)) & (bits[b >> 6] >> (b & 63)) & 1).astype(bool)

@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WordHashes, binary_text, written
+from .common import LOWER, WordHashes, binary_text, bloom, in_bloom, written
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bound of the order's table of frequent shingles, and the count in one stretch of words that makes one frequent there.
 FREQUENT, OFTEN, STRETCH = 1 << 17, 16, 2_000_000
+#: Ids of candidates are broadcast up to so many (16 bytes each), else joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_set(text: bytes | None, k: int, hashes: WordHashes) -> np.ndarray:
@@ -110,9 +112,33 @@ def sets_of(docs: DataFrame, key: str, k: int, percent: int) -> DataFrame:
     return docs.select(F.col(key).cast("long"), binary_text()).mapInArrow(run, schema)
 
 
+def shared_entries(own: DataFrame) -> DataFrame:
+    """The index entries ``token, id, n, pos`` of shingles that several prefixes hold, and a few others.
+
+    Tokens are counted alone first; a Bloom filter of fixed size then keeps most entries that nothing shares off the
+    shuffles that follow.
+    """
+    twice = own.select(F.explode("prefix").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    sent = own.sparkSession.sparkContext.broadcast(bloom(twice))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            lengths = np.diff(lists.offsets.to_numpy())
+            tokens = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            passed = in_bloom(sent.value, tokens.view(np.uint64))
+            ids, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), lengths)[passed] for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[passed]), pa.array(ids), pa.array(n), pa.array(pos[passed].astype(np.int32))], ["token", "id", "n", "pos"])
+
+    return own.select("id", "n", "prefix").mapInArrow(run, "token long, id long, n long, pos int")
+
+
 def verify(docs: DataFrame, key: str, pairs: DataFrame, k: int, percent: int, salts: int = 64) -> DataFrame:
     """Of the pairs ``a, b``, those that link, with ``overlap, n_a, n_b``. The text of ``a`` goes to each salt of its pairs."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = docs.select(F.col(key).cast("long").alias("id"), binary_text().alias("t")).join(ids, "id", "left_semi").dropDuplicates(["id"])
     salted = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
     members = salted.join(texts, salted["b"] == texts["id"]).select("a", "s", F.lit(1).alias("role"), "b", "t")
@@ -167,7 +193,7 @@ def near_links(docs: DataFrame, key: str = "doc_id", shingle: int = 5, percent:
     reps = sets.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"))
     members = sets.select("id", "n", "sig").join(reps, "sig", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     own = sets.where("n > 0").join(reps.select(F.col("rep").alias("id"), "sig"), ["id", "sig"], "left_semi")
-    entries = own.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    entries = shared_entries(own)
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "id")).alias("lead")).where("c > 1")
     held = written(entries.join(lists, "token").select("token", "id", "n", "pos", F.col("lead.id").alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lpos")))
     room = F.least(F.col("n") - F.col("pos"), F.col("ln") - F.col("lpos"))

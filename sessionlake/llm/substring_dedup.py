@@ -29,11 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, binary_text, hex_sha256, written
+from .common import WordHashes, binary_text, bloom, hex_sha256, in_bloom, written
 
 GRAM, HOT = 10, 4096
-#: Bits of the Bloom filter (8 MB), as a power of two.
-BITS = 26
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,13 +126,6 @@ class SuffixAutomaton:
         return [(a, b) for a, b in out]
 
 
-def _slots(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of the filter for each anchor."""
-    mixed = (anchors ^ (anchors >> np.uint64(33))) * _P
-    shift = np.uint64(64 - BITS)
-    return (mixed >> shift).astype(np.int64), ((mixed * _P) >> shift).astype(np.int64)
-
-
 def shared_anchors(docs: DataFrame, key: str, window: int) -> DataFrame:
     """``anchor`` and ``n`` (documents, at least) of the anchors that occur under two keys or more."""
 
@@ -153,24 +144,6 @@ def shared_anchors(docs: DataFrame, key: str, window: int) -> DataFrame:
     return found.groupBy("anchor").agg(F.min("k").alias("x"), F.max("k").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("anchor", "n")
 
 
-def bloom(anchors: DataFrame) -> np.ndarray:
-    """The filter's bits. Tasks turn anchors into set words of the filter, a shuffle unites them: at most 2^20 rows."""
-
-    def run(batches):
-        for batch in batches:
-            a, b = _slots(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            both = np.unique(np.concatenate([a, b]))
-            bits = np.left_shift(np.int64(1), (both & 63).astype(np.int64))
-            at = both >> 6
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.array([], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at[first]), pa.array(np.bitwise_or.reduceat(bits, first) if len(first) else np.array([], dtype=np.int64))], ["at", "bits"])
-
-    rows = anchors.select("anchor").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(1 << (BITS - 6), dtype=np.int64)
-    out[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
-    return out
-
-
 STRETCH = "anchor long, k long, row long, first long, words binary"
 
 
@@ -187,8 +160,7 @@ def stretches(docs: DataFrame, key: str, window: int, filter_bits: np.ndarray) -
                 anchors = window_anchors(words, window, hashes)
                 if not len(anchors):
                     continue
-                a, b = _slots(anchors)
-                passed = ((bits[a >> 6] >> (a & 63)) & (bits[b >> 6] >> (b & 63)) & 1).astype(bool)
+                passed = in_bloom(bits, anchors)
                 if not passed.any():
                     continue
                 for anchor, first, after in runs_of(anchors):
