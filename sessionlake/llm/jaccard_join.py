@@ -8,7 +8,8 @@
    leader's answers, so their pairs with each other are skipped.
 4. Lists that still hold several components are cut in blocks by size and position. Block pairs that are too unlike in
    size, or whose positions leave less room than the overlap needed, are skipped whole; the pairs of sets in the others
-   (of different components, not compared yet) are verified. No list is cut short, so no link between components is lost.
+   (of different components, not compared yet) are verified. Before texts are sent for a pair, the counts of both
+   sets by part of the hash range must leave room for the overlap needed, which is exact too. No list is cut short, so no link between components is lost.
 5. Components are found by passing the smallest label along links and jumping from label to label.
 
 All lists are shuffled joins and partial aggregations; texts are sent to candidate pairs only. The order's table of
@@ -35,6 +36,9 @@ from .common import LOWER, WordHashes, binary_text, bloom, in_bloom, written
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bound of the order's table of frequent shingles, and the count in one stretch of words that makes one frequent there.
 FREQUENT, OFTEN, STRETCH = 1 << 17, 16, 2_000_000
+#: Parts of the hash range whose counts bound the overlap of two sets from above.
+PART_BITS = 8
+PARTS = 1 << PART_BITS
 #: Ids of candidates are broadcast up to so many (16 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -89,24 +93,27 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def sets_of(docs: DataFrame, key: str, k: int, percent: int) -> DataFrame:
-    """``id, n, sig, prefix``: the size of each document's set, its digest, and its prefix in the global order."""
+    """``id, n, sig, prefix, parts``: the size of each document's set, its digest, its prefix in the global order, and
+    how many of its hashes fall into each of PARTS parts (a byte each; null where one has more than 255)."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("parts", T.BinaryType())])
 
     def run(batches):
         hashes, (tokens, counts) = WordHashes(), sent.value
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, prefixes, parts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, k, hashes)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                fall = np.bincount((s >> np.uint64(64 - PART_BITS)).astype(np.int64), minlength=PARTS)
+                parts.append(fall.astype(np.uint8).tobytes() if len(s) and fall.max() <= 255 else None)
                 if len(s) and len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     s = s[np.argsort(np.where(tokens[at] == s, counts[at], 0), kind="stable")]
                 prefixes.append(s[: prefix_length(len(s), percent)].view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], schema.names
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.binary())], schema.names
             )
 
     return docs.select(F.col(key).cast("long"), binary_text()).mapInArrow(run, schema)
@@ -134,6 +141,25 @@ def shared_entries(own: DataFrame) -> DataFrame:
     return own.select("id", "n", "prefix").mapInArrow(run, "token long, id long, n long, pos int")
 
 
+def possible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose counts by part leave room for the overlap needed: the smaller counts, summed, bound it.
+
+    No pair that links is lost, and few others stay, so texts are sent for little more than the links.
+    """
+    one, two = (own.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("parts").alias(f"parts_{x}")) for x in "ab")
+
+    def run(batches):
+        for batch in batches:
+            kept = np.ones(batch.num_rows, dtype=bool)
+            for i, (n_a, x, n_b, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n_a", "parts_a", "n_b", "parts_b")))):
+                if x is not None and y is not None:
+                    most = int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64))
+                    kept[i] = most * (100 + percent) >= (n_a + n_b) * percent
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "parts_a", "n_b", "parts_b").mapInArrow(run, "a long, b long")
+
+
 def verify(docs: DataFrame, key: str, pairs: DataFrame, k: int, percent: int, salts: int = 64) -> DataFrame:
     """Of the pairs ``a, b``, those that link, with ``overlap, n_a, n_b``. The text of ``a`` goes to each salt of its pairs."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
@@ -197,7 +223,8 @@ def near_links(docs: DataFrame, key: str = "doc_id", shingle: int = 5, percent:
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "id")).alias("lead")).where("c > 1")
     held = written(entries.join(lists, "token").select("token", "id", "n", "pos", F.col("lead.id").alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lpos")))
     room = F.least(F.col("n") - F.col("pos"), F.col("ln") - F.col("lpos"))
-    star = written(held.where((F.col("id") != F.col("lead")) & _fits(F.col("n"), F.col("ln"), room, percent)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    star = held.where((F.col("id") != F.col("lead")) & _fits(F.col("n"), F.col("ln"), room, percent)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    star = written(possible(star, own, percent))
     links = written(verify(docs, key, star, shingle, percent))
     label = components(links)
     rows = held.select("token", "id", "n", "pos").join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
@@ -214,7 +241,7 @@ def near_links(docs: DataFrame, key: str = "doc_id", shingle: int = 5, percent:
     pairs = pairs.where((F.col("id1") < F.col("id2")) & (F.col("comp1") != F.col("comp2")) & _fits(F.col("n1"), F.col("n2"), room, percent))
     pairs = pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(pairs.join(done, ["a", "b"], "left_anti"))
+    rest = written(possible(pairs, own, percent).join(done, ["a", "b"], "left_anti"))
     return members, links if rest.isEmpty() else links.unionByName(verify(docs, key, rest, shingle, percent))
 
 
