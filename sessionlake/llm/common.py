@@ -95,9 +95,9 @@ def bloom(hashes: DataFrame) -> np.ndarray:
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.array([], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at[first]), pa.array(np.bitwise_or.reduceat(bits, first) if len(first) else np.array([], dtype=np.int64))], ["at", "bits"])
 
-    rows = hashes.select("anchor").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = hashes.select("anchor").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # as rows of Python they would fill the driver
     out = np.zeros(1 << (BITS - 6), dtype=np.int64)
-    out[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
     return out
 
 

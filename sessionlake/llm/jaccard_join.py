@@ -82,10 +82,10 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         yield told()
 
     counted = docs.select(binary_text()).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
-    tokens = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
+    top = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    tokens = top.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], top["n"].to_numpy(dtype=np.int64)[order]
+    return tokens[order], top.column("n").to_numpy()[order]
 
 
 def prefix_length(n: int, percent: int) -> int:
