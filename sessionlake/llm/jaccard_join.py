@@ -4,7 +4,7 @@
 2. Every set is ordered by one global order, frequent shingles last, and its prefix goes into the index: a list of
    (position, size, set) for each shingle. Two linked sets share a shingle of both prefixes.
 3. Answers by set relation: the set at the smallest position leads its list, and only pairs of leader and member are
-   verified first. Sets that link to the same leader are in one component; what they could add is derived from the
+   verified first; then, in lists that still hold several components, the set at the largest position leads. Sets that link to the same leader are in one component; what they could add is derived from the
    leader's answers, so their pairs with each other are skipped.
 4. Lists that still hold several components are cut in blocks by size and position. Block pairs that are too unlike in
    size, or whose positions leave less room than the overlap needed, are skipped whole; the pairs of sets in the others
@@ -160,13 +160,17 @@ def possible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "parts_a", "n_b", "parts_b").mapInArrow(run, "a long, b long")
 
 
-def verify(docs: DataFrame, key: str, pairs: DataFrame, k: int, percent: int, salts: int = 64) -> DataFrame:
-    """Of the pairs ``a, b``, those that link, with ``overlap, n_a, n_b``. The text of ``a`` goes to each salt of its pairs."""
+def verify(docs: DataFrame, key: str, pairs: DataFrame, k: int, percent: int, together: int = 256) -> DataFrame:
+    """Of the pairs ``a, b``, those that link, with ``overlap, n_a, n_b``.
+
+    The text of ``a`` goes once to every ``together`` of its pairs, so a leader of many members is no single task.
+    """
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col(key).cast("long").alias("id"), binary_text().alias("t")).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    salted = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / together).alias("_of"))
+    salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_of")).cast("int").alias("s"))
     members = salted.join(texts, salted["b"] == texts["id"]).select("a", "s", F.lit(1).alias("role"), "b", "t")
     heads = salted.select("a", "s").distinct()
     leaders = heads.join(texts, heads["a"] == texts["id"]).select("a", "s", F.lit(0).alias("role"), F.col("a").alias("b"), "t")
@@ -210,6 +214,14 @@ def _fits(n1, n2, room, percent: int):
     return like & (room * (100 + percent) >= (n1 + n2) * percent)
 
 
+def led_pairs(rows: DataFrame, pick, percent: int) -> DataFrame:
+    """Pairs of each list's leader (``pick`` of its entries) and its members of other components."""
+    lead = rows.groupBy("token").agg(pick(F.struct("pos", "n", "id", "comp")).alias("lead"))
+    room = F.least(F.col("n") - F.col("pos"), F.col("lead.n") - F.col("lead.pos"))
+    fit = (F.col("comp") != F.col("lead.comp")) & _fits(F.col("n"), F.col("lead.n"), room, percent)
+    return rows.join(lead, "token").where(fit).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
 def near_links(docs: DataFrame, key: str = "doc_id", shingle: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Members (``id, n, rep``: the smallest id of an equal set) and links between representatives.
 
@@ -220,17 +232,21 @@ def near_links(docs: DataFrame, key: str = "doc_id", shingle: int = 5, percent:
     members = sets.select("id", "n", "sig").join(reps, "sig", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     own = sets.where("n > 0").join(reps.select(F.col("rep").alias("id"), "sig"), ["id", "sig"], "left_semi")
     entries = shared_entries(own)
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "id")).alias("lead")).where("c > 1")
-    held = written(entries.join(lists, "token").select("token", "id", "n", "pos", F.col("lead.id").alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lpos")))
-    room = F.least(F.col("n") - F.col("pos"), F.col("ln") - F.col("lpos"))
-    star = held.where((F.col("id") != F.col("lead")) & _fits(F.col("n"), F.col("ln"), room, percent)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    star = written(possible(star, own, percent))
-    links = written(verify(docs, key, star, shingle, percent))
-    label = components(links)
-    rows = held.select("token", "id", "n", "pos").join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    held = written(entries.join(shared, "token", "left_semi"))
+    rows, links, done = held.withColumn("comp", F.col("id")), None, None
+    for pick in (F.min, F.max):
+        star = possible(led_pairs(rows, pick, percent), own, percent)
+        star = written(star if done is None else star.join(done.select("a", "b").union(done.select("b", "a")), ["a", "b"], "left_anti"))
+        found = verify(docs, key, star, shingle, percent)
+        links = written(found if links is None else links.unionByName(found))
+        done = star if done is None else done.union(star)
+        label = components(links)
+        rows = held.join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+        rows = written(rows.join(mixed, "token", "left_semi"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(percent, 99)))
-    rows = written(rows.join(mixed, "token", "left_semi").withColumns({"band": band, "block": F.floor(F.log2(F.col("pos") + 1.0))}))
+    rows = written(rows.withColumns({"band": band, "block": F.floor(F.log2(F.col("pos") + 1.0))}))
     blocks = rows.groupBy("token", "band", "block").agg(F.min("pos").alias("pos"), F.min("n").alias("low"), F.max("n").alias("high"))
     one, two = (blocks.select("token", *(F.col(c).alias(c + x) for c in ("band", "block", "pos", "low", "high"))) for x in "12")
     open_ = one.join(two, "token").where("band2 between band1 - 1 and band1 + 1")
@@ -240,7 +256,7 @@ def near_links(docs: DataFrame, key: str = "doc_id", shingle: int = 5, percent:
     room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
     pairs = pairs.where((F.col("id1") < F.col("id2")) & (F.col("comp1") != F.col("comp2")) & _fits(F.col("n1"), F.col("n2"), room, percent))
     pairs = pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
-    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(possible(pairs, own, percent).join(done, ["a", "b"], "left_anti"))
     return members, links if rest.isEmpty() else links.unionByName(verify(docs, key, rest, shingle, percent))
 
