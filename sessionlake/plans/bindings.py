@@ -1,4 +1,321 @@
-"""Queries over the driver's tables, one for each operator, with the same query as SQL."""
+"""Queries over the driver's tables, one for each operator, with the same query as SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Files and persons are the users of ``events``, spans run from ``ts`` for ``value`` minutes, speakers are event types,
+voice vectors are ``embeddings`` and sessions are ``orders``. Times are integer microseconds; sums are of decimals.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionlake.functions import text
+from sessionlake.operators import corpus, intervals, matching, measures
+from sessionlake.streaming import fold
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def bound(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    rows = _t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "value", start.alias("start"))
+    return rows.withColumn("end", F.col("start") + F.floor(F.col("value") * 60_000_000))
+
+
+_S = "s as (select user_id, event_id as id, event_type as kind, value, epoch_us(ts) as st, epoch_us(ts) + cast(floor(value * 60000000) as bigint) as en from events)"
+
+
+@bound(f"""with {_S},
+a as (select *, row_number() over w as rn, case when st - lag(en) over w < 21600000000 then 0 else 1 end as brk from s window w as (partition by user_id order by st, id)),
+b as (select *, sum(brk) over (partition by user_id order by rn) - 1 as g from a)
+select user_id, cast(g as bigint) as span_no, min(st) as start_us, arg_max(en, rn) as end_us, count(*) as n_spans from b group by user_id, g""")
+def q_gap_merge(spark, sf_dir):
+    out = intervals.gap_merge(_spans(spark, sf_dir), "user_id", 6 * intervals.HOUR)
+    return out.withColumnsRenamed({"start": "start_us", "end": "end_us"})
+
+
+@bound(f"""with {_S},
+a as (select *, row_number() over w as rn, case when lag(kind) over w = kind and st <= lag(en) over w then 0 else 1 end as brk from s window w as (partition by user_id order by st, id)),
+b as (select *, sum(brk) over (partition by user_id order by rn) - 1 as g from a)
+select user_id, cast(g as bigint) as span_no, kind, min(st) as start_us, max(en) as end_us, count(*) as n_spans from b group by user_id, g, kind""")
+def q_label_runs(spark, sf_dir):
+    out = intervals.collapse_runs(_spans(spark, sf_dir), "user_id", "kind")
+    return out.withColumnsRenamed({"start": "start_us", "end": "end_us"})
+
+
+@bound(f"""with {_S},
+p as (select a.user_id, cast(sum(least(a.en, b.en) - greatest(a.st, b.st)) as bigint) as o from s a join s b on a.user_id = b.user_id and a.kind < b.kind and a.st < b.en and b.st < a.en group by 1),
+l as (select user_id, max(en) - min(st) as n from s group by 1)
+select user_id, coalesce(o, 0) as overlap, case when n > 0 then least(1.0::double, coalesce(o, 0)::double / n) else 0.0::double end as ratio from l left join p using (user_id)""")
+def q_overlap_ratio(spark, sf_dir):
+    return intervals.overlap_ratio(_spans(spark, sf_dir), "user_id", "kind")
+
+
+@bound(f"""with {_S}, v as (select * from s where kind = 'view'), p as (select * from s where kind = 'purchase'),
+c as (select v.id, sum(least(v.en, p.en) - greatest(v.st, p.st)) as o from v join p on v.user_id = p.user_id and v.st < p.en and p.st < v.en group by 1)
+select user_id, id, case when user_id not in (select user_id from p) then 1.0::double else least(1.0::double, coalesce(o, 0)::double / greatest(en - st, 1)) end as coverage from v left join c using (id)""")
+def q_span_coverage(spark, sf_dir):
+    rows = _spans(spark, sf_dir)
+    return intervals.coverage(rows.where("kind = 'view'"), rows.where("kind = 'purchase'"), "user_id")
+
+
+@bound(f"""with {_S}
+select v.id, count(*) as n_points, string_agg(cast(c.id as varchar), ' ' order by c.id) as points from s v join s c on v.kind = 'view' and c.kind = 'click'
+and v.user_id = c.user_id and (c.st + c.en) // 2 between v.st and v.en group by v.id""")
+def q_point_in_span(spark, sf_dir):
+    rows = _spans(spark, sf_dir)
+    return intervals.centres_in(rows.where("kind = 'click'"), rows.where("kind = 'view'"), "user_id")
+
+
+@bound(f"""with {_S}, c as (select * from s where kind = 'click'),
+o as (select c.id, t.kind, cast(sum(least(c.en, t.en) - greatest(c.st, t.st)) as bigint) as shared from c join s t on t.kind <> 'click' and c.user_id = t.user_id and c.st < t.en and t.st < c.en group by 1, 2),
+b as (select *, row_number() over (partition by id order by shared desc, kind) as rn from o)
+select c.user_id, c.id, b.kind as label, b.shared from c left join b on c.id = b.id and b.rn = 1""")
+def q_overlap_argmax(spark, sf_dir):
+    rows = _spans(spark, sf_dir)
+    return intervals.dominant_label(rows.where("kind = 'click'"), rows.where("kind <> 'click'"), "user_id", "kind")
+
+
+@bound(f"""with {_S},
+u as (select user_id, id, en - st as length, least(108000000000, coalesce(sum(en - st) over (partition by user_id order by en - st desc, st, id rows between unbounded preceding and 1 preceding), 0)) as used from s)
+select user_id, id, cast(least(length, 108000000000 - used) as bigint) as take from u where least(length, 108000000000 - used) >= 1800000000""")
+def q_budget_prefix(spark, sf_dir):
+    return intervals.budget_prefix(_spans(spark, sf_dir), "user_id", 30 * intervals.HOUR, intervals.HOUR // 2)
+
+
+_C = """v as (select vec_id, label, embedding::double[] as e from embeddings),
+m as (select label, pos, avg(x) as x from (select label, unnest(e) as x, generate_subscripts(e, 1) as pos from v) group by 1, 2),
+c as (select label as name, list(x order by pos) as c from m group by 1),
+k as (select vec_id, label, name, list_dot_product(e, c) / ((sqrt(list_dot_product(e, e)) + 1e-9) * (sqrt(list_dot_product(c, c)) + 1e-9)) as score from v, c)"""
+
+
+def _library(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings")
+    return rows, matching.mean_vectors(rows, "label", "embedding").withColumnRenamed("label", "name")
+
+
+@bound(f"""with {_C}, r as (select *, row_number() over (partition by vec_id order by score desc, name) as rn from k)
+select vec_id, label, name as best, round(score, 6) as best_score from r where rn = 1""")
+def q_nearest_centroid(spark, sf_dir):
+    rows, library = _library(spark, sf_dir)
+    return matching.nearest_centroid(rows, library, "name", "embedding").select("vec_id", "label", "best", F.round("best_score", 6).alias("best_score"))
+
+
+@bound(f"""with {_C}, r as (select *, row_number() over (partition by vec_id order by score desc, name) as rn from k where name <> label),
+o as (select vec_id, score as mine from k where name = label)
+select r.vec_id, label, name as other, score - mine > 0.15 as flip from r join o using (vec_id) where rn = 1""")
+def q_flip_margin(spark, sf_dir):
+    rows, library = _library(spark, sf_dir)
+    return matching.flips(rows, library, "label", "name", "embedding", 0.15).select("vec_id", "label", "other", "flip")
+
+
+@bound(f"""with {_C}, g as (select vec_id // 2 as pair,
+  sum(case when (vec_id % 2 = 0) = (name = 0) then score end) as a, sum(case when (vec_id % 2 = 0) <> (name = 0) then score end) as b, count(distinct vec_id) as n from k where name in (0, 1) group by 1)
+select pair, a >= b as is_straight from g where n = 2""")
+def q_assign_2x2(spark, sf_dir):
+    rows, library = _library(spark, sf_dir)
+    two = rows.withColumns({"pair": F.expr("vec_id div 2"), "slot": F.expr("vec_id % 2")})
+    return matching.assign_two(two, library, "pair", "slot", 0, 1, "name", "embedding")
+
+
+@bound("""with v as (select vec_id, embedding::double[] as e from embeddings),
+p as (select a.vec_id as a, b.vec_id as b, list_dot_product(a.e, b.e) / ((sqrt(list_dot_product(a.e, a.e)) + 1e-9) * (sqrt(list_dot_product(b.e, b.e)) + 1e-9)) as c from v a join v b on a.vec_id < b.vec_id)
+select a, b, round(c, 6) as cosine from p where c > 0.3""")
+def q_collisions(spark, sf_dir):
+    return matching.similar_pairs(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@bound("""select vec_id, label, place from (select vec_id, label, cast(row_number() over (partition by label order by vec_id desc) - 1 as int) as place from embeddings) where place < 10""")
+def q_recent_ring(spark, sf_dir):
+    return matching.recent(_t(spark, sf_dir, "embeddings"), "label", "vec_id").select("vec_id", "label", "place")
+
+
+@bound("""with m as (select label, pos, avg(x) as x from (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as pos from embeddings) group by 1, 2)
+select label, cast(pos - 1 as int) as pos, round(x, 6) as x from m""")
+def q_universal_mean(spark, sf_dir):
+    means = matching.mean_vectors(_t(spark, sf_dir, "embeddings"), "label", "embedding")
+    return means.select("label", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@bound()
+def q_running_centroid(spark, sf_dir):
+    return matching.running_centroids(_t(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+
+
+_STEM = """strftime(o_orderdate, '%Y-%m-%d') || '_c' || o_custkey || case when o_orderkey % 3 = 0 then '' else '__s' || o_orderkey || case when o_orderkey % 5 = 0 then '__x' else '' end end || case o_orderkey % 4 when 0 then '_en' when 1 then '_ro' when 2 then '_fr' else '_EN' end"""
+
+
+@bound(f"""with o as (select o_orderkey, lower({_STEM}) as s from orders),
+p as (select o_orderkey, s, regexp_matches(s, '{text.CANONICAL}') as f, regexp_matches(s, '{text.LEGACY}') as g, right(s, 2) in ('en', 'ro') as l from o)
+select o_orderkey, case when l and (f or g) then left(s, 10) end as date,
+case when l and f then regexp_extract(s, '{text.CANONICAL}', 2) when l and g then 'ionut' end as teacher,
+case when l and f then regexp_extract(s, '{text.CANONICAL}', 3) when l and g then regexp_extract(s, '{text.LEGACY}', 2) end as student,
+case when l and (f or g) then right(s, 2) end as language from p""")
+def q_filename_parse(spark, sf_dir):
+    stem = F.expr("""concat(date_format(o_orderdate, 'yyyy-MM-dd'), '_c', o_custkey, case when o_orderkey % 3 = 0 then '' else concat('__s', o_orderkey, case when o_orderkey % 5 = 0 then '__x' else '' end) end,
+      case o_orderkey % 4 when 0 then '_en' when 1 then '_ro' when 2 then '_fr' else '_EN' end)""")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", text.parse_name(stem).alias("m")).select("o_orderkey", "m.*")
+
+
+@bound("select doc_id, lang from documents where doc_id not in (select doc_id from labels)")
+def q_needs_processing(spark, sf_dir):
+    return corpus.missing_from(_t(spark, sf_dir, "documents").select("doc_id", "lang"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+@bound("select doc_id, true as indexed from labels union all select doc_id, false from documents where doc_id not in (select doc_id from labels)")
+def q_reconcile(spark, sf_dir):
+    index = _t(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("indexed"))
+    return corpus.reconcile(index, _t(spark, sf_dir, "documents").select("doc_id", F.lit(False).alias("indexed")), "doc_id")
+
+
+@bound("select o_orderkey, case when o_orderkey % 10 = 0 then 'redone' else o_orderstatus end as status from orders")
+def q_upsert(spark, sf_dir):
+    index = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    return corpus.upsert(index, index.where("o_orderkey % 10 = 0").withColumn("status", F.lit("redone")), "o_orderkey")
+
+
+@bound("""with n as (select o_custkey, count(*) as n_now from orders group by 1), t as (select o_custkey, count(*) as n_then from orders where o_orderdate < timestamp '2000-01-01' group by 1)
+select o_custkey, n_now, n_then from n join t using (o_custkey) where n_now - n_then >= 3""")
+def q_stale(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders")
+    count = lambda df: df.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return corpus.stale(count(rows), count(rows.where("o_orderdate < timestamp_ntz'2000-01-01 00:00:00'")), "o_custkey")
+
+
+@bound("""select o_orderkey, o_custkey from orders o where o_orderstatus = 'F' and o_orderdate < timestamp '1999-01-01'
+and exists (select 1 from lineitem where l_orderkey = o_orderkey and l_discount < 0.01)""")
+def q_redo_filter(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_discount")
+    return corpus.redo_candidates(_t(spark, sf_dir, "orders"), lines, "o_orderkey", F.col("o_orderstatus") == "F", F.expr("o_orderdate < timestamp_ntz'1999-01-01 00:00:00'"), F.col("l_discount") < 0.01).select("o_orderkey", "o_custkey")
+
+
+@bound("select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_discount < 0.01)")
+def q_semi_low_conf(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_discount")
+    return corpus.redo_candidates(_t(spark, sf_dir, "orders"), lines, "o_orderkey", low=F.col("l_discount") < 0.01).select("o_orderkey")
+
+
+@bound("""select o_custkey, count(*) as n_sessions, cast(sum(cast(o_totalprice as decimal(18,2))) as varchar) as total from orders group by 1""")
+def q_corpus_summary(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("string").alias("total"))
+
+
+@bound("""select c_nationkey, count(*) as n_sessions, string_agg(distinct c_mktsegment, ',' order by c_mktsegment) as regions from customer group by 1""")
+def q_person_merge(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").select("c_nationkey", F.lit(1).alias("n_sessions"), F.col("c_mktsegment").alias("regions"))
+    return corpus.merge_persons(rows, "c_nationkey", ["n_sessions"], ["regions"])
+
+
+@bound("""with c as (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) - 1 as i, count(*) over (partition by conv_id) as n from conversations),
+k as (select conv_id, unnest(range(0, greatest(0, n - 1 - 1) // 2 + 1)) as chunk from (select distinct conv_id, n from c))
+select conv_id, turn, cast(chunk as bigint) as chunk, chunk = min(chunk) over (partition by conv_id, turn) as keep from c join k using (conv_id) where i >= chunk * 2 and i < chunk * 2 + 3""")
+def q_chunk_overlap(spark, sf_dir):
+    return corpus.chunks(_t(spark, sf_dir, "conversations"), "conv_id", "turn", 3, 1).select("conv_id", "turn", F.col("chunk").cast("long").alias("chunk"), "keep")
+
+
+@bound("select conv_id, bool_and(not (turn = 3 and conv_id % 2 = 0)) as is_valid from conversations group by 1")
+def q_validate_chunk(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").alias("at"), F.col("role").alias("speaker"))
+    return corpus.chunk_valid(rows, rows.withColumn("at", F.expr("case when turn = 3 and conv_id % 2 = 0 then at + 5 else at end")), "conv_id", "turn", 1)
+
+
+@bound(f"""with w as (select conv_id, turn, regexp_extract_all(text, '[^ \\t\\n\\r]+')[1:30] as h, lag(regexp_extract_all(text, '[^ \\t\\n\\r]+')[1:30]) over (partition by conv_id order by turn) as r from conversations),
+v as (select *, list_distinct(list_concat(r, h)) as d from w where r is not null),
+e as (select conv_id, turn, len(r) as n, len(h) as m, levenshtein(array_to_string(list_transform(r, lambda x: substr('{text.SYMBOLS}', list_position(d, x), 1)), ''), array_to_string(list_transform(h, lambda x: substr('{text.SYMBOLS}', list_position(d, x), 1)), '')) as k from v)
+select conv_id, turn, case when n = 0 then (case when m = 0 then 0.0::double else 1.0::double end) else k::double / n end as wer from e""")
+def q_wer(spark, sf_dir):
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)), 1, 30)
+    order = intervals.Window.partitionBy("conv_id").orderBy("turn")
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("h")).withColumn("r", F.lag("h").over(order)).where("r is not null")
+    return rows.select("conv_id", "turn", text.word_error_rate(F.col("r"), F.col("h")).alias("wer"))
+
+
+@bound(f"select doc_id, sha256(translate(text, '{text.MARKED}', '{text.PLAIN}')) as folded from documents")
+def q_ro_fold(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(text.fold_marks(F.col("text")).cast("binary"), 256).alias("folded"))
+
+
+@bound("""select count(*) filter (quality = 1 and toxic = 1) as tp, count(*) filter (quality = 0 and toxic = 0) as tn, count(*) filter (quality = 0 and toxic = 1) as fp,
+count(*) filter (quality = 1 and toxic = 0) as fn, case when tp > 0 then round(tp * 2 / (tp * 2 + fp + fn), 4) else 0 end::double as f1, case when tp > 0 then round(tp / (tp + fn), 4) else 0 end::double as recall from labels""")
+def q_confusion(spark, sf_dir):
+    return measures.confusion(_t(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
+
+
+@bound("""select t::double as threshold, count(*) filter (value < t) as n_flagged, count(*) filter (value >= t) as n_unflagged from events, (values (50), (100), (150), (200), (300), (400)) x(t) group by t""")
+def q_sweep(spark, sf_dir):
+    swept = measures.sweep(_t(spark, sf_dir, "events"), "value", "value", [50, 100, 150, 200, 300, 400])
+    return swept.select("threshold", "n_flagged", "n_unflagged")
+
+
+@bound("select event_id, '[SUNG: ~' || cast(cast(round_even(value, 0) as bigint) as varchar) || 's]' as marker from events")
+def q_sung_marker(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", text.sung_marker(F.col("value")).alias("marker"))
+
+
+@bound("""select user_id, round(quantile_cont(value, 0.05), 6) as p5, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(stddev_pop(value), 6) as spread from events group by 1""")
+def q_percentiles(spark, sf_dir):
+    p = lambda x: F.round(F.percentile("value", F.lit(x)), 6)
+    return _t(spark, sf_dir, "events").groupBy("user_id").agg(p(0.05).alias("p5"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.round(F.stddev_pop("value"), 6).alias("spread"))
+
+
+@bound("""with v as (select vec_id, embedding::double[] as e from embeddings),
+z as (select vec_id, round(20 * log10(sqrt(list_dot_product(e, e) / len(e))), 6) as rms, len(list_filter(range(1, len(e)), lambda i: (e[i] < 0) <> (e[i + 1] < 0))) / (len(e) - 1) as zcr from v)
+select vec_id, rms, zcr, case when rms < -30 and zcr > 0.3 then 'sung' else 'spoken' end as kind from z""")
+def q_zcr_rms(spark, sf_dir):
+    e = F.col("embedding")
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.round(measures.rms_dbfs(e), 6).alias("rms"), measures.zero_crossings(e).alias("zcr"), measures.sounds_sung(e).alias("kind"))
+
+
+@bound()
+def q_sustained(spark, sf_dir):
+    contour = F.transform("embedding", lambda x: F.when(x > 0, x.cast("double") * 1000).otherwise(0.0))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", measures.sustained(contour, 2).alias("is_sustained"), measures.voice_region(contour, 3).alias("region"))
+
+
+@bound("""with e as (select user_id, event_id, event_type as k, value from events),
+f as (select user_id, max(event_id) filter (k = 'signup') as started, min(event_id) filter (k <> 'error') as known from e group by 1 having known is not null),
+s as (select e.* from e join f using (user_id) where event_id >= coalesce(started, known)),
+m as (select *, case k when 'view' then 0.0 when 'click' then value when 'purchase' then 1.0 end::double as moved from s)
+select user_id, case when bool_or(k = 'error') then 'failed' when bool_or(k = 'purchase') then 'success' else 'running' end as state,
+coalesce(arg_max(moved, event_id) filter (moved is not null), 0.0::double) as progress, count(*) as n_events from m group by 1""")
+def q_event_fold(spark, sf_dir):
+    kinds = {"signup": "start", "view": "phase", "click": "progress", "purchase": "done", "error": "error"}
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")]
+    rows = _t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), kind.alias("kind"), F.col("value").alias("amount"))
+    return fold.fold_events(rows, "user_id")
+
+
+@bound(f"""with {_S}, w as (select user_id, id, kind, st, lead(kind) over o as nk, lead(st) over o as ns from s where kind in ('view', 'purchase') window o as (partition by user_id order by st, id))
+select user_id, id, ns - st as elapsed_us from w where kind = 'view' and nk = 'purchase'""")
+def q_phase_pairs(spark, sf_dir):
+    order = intervals.Window.partitionBy("user_id").orderBy("start", "id")
+    rows = _spans(spark, sf_dir).where("kind in ('view', 'purchase')").withColumns({"_k": F.lead("kind").over(order), "_s": F.lead("start").over(order)})
+    return rows.where("kind = 'view' and _k = 'purchase'").select("user_id", "id", (F.col("_s") - F.col("start")).alias("elapsed_us"))
+
+
+@bound("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def q_json_props(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@bound("""select event_type, event_id, rank from (select event_type, event_id, cast(row_number() over (partition by event_type order by value desc, event_id) as int) as rank from events) where rank <= 5""")
+def q_top_sort(spark, sf_dir):
+    order = intervals.Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
+    return _t(spark, sf_dir, "events").select("event_type", "event_id", F.row_number().over(order).alias("rank")).where("rank <= 5")
