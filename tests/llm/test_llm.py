@@ -1,0 +1,221 @@
+"""The numbered operators against brute force, libraries and held-out accuracy, on odd and on given rows."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from sessionlake.llm import bpe, decontaminate, jaccard_join, license_scan, masked_lm, pii, quality, queries, sharding, substring_dedup, url_filter
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hits string, spans string, k long, row long, _t string"
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+low = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+plain = lambda s: [w for w in re.split("[ \t-\r]+", s) if w]
+
+
+def odd_rows():
+    rng = random.Random(4)
+    some = lambda n: " ".join(rng.choice(["Alpha", "beta", "gamma,", "delta", "été", "zeta."]) + str(rng.randrange(40)) for _ in range(n))
+    base = some(80)
+    texts = [None, "", " \n\t", "one", base, base, base + " tail", some(4000) + " " + base, "all rights reserved. CC BY; GNU General Public License", "mail a.b@c.de, ip 10.0.0.256 or 10.0.0.1, card 4111 1111 1111 1111, +49 (30) 1234567"]
+    return [(k, t, "en" if k % 2 else None, "web" if k % 3 else None, None, "h", "s", 1, 2, "t") for k, t in enumerate(texts)] + [(4, base, "en", "web", 1, "h", "s", 1, 2, "t")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def given(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+def texts_of(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+def test_urls(spark, none):
+    rows = [(1, "http://A.Example.com/en/7x?q"), (2, "https://b.net/de/1"), (3, None), (4, "nothing"), (5, "http://x.org/casino"), (6, "http://x.io/free-bonus#a"), (7, "http://x.io/freebonus"), (8, "http://www.example.net/de/8")]
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame([(a, b, "x") for a, b in rows], "page_id long, url string, terms string")).collect()}
+    assert got[1] == ("a.example.com", "/en/7x", "example.com/en/7", "allow") and got[2][2:] == ("net/de/", "allow") and got[3] == ("", "", None, "allow")
+    assert got[4][:2] == ("", "") and [got[k][3] for k in (5, 6, 7, 8)] == ["block", "block", "allow", "block"]
+
+
+def test_lm_scores_real_text_above_shuffled(spark, given, odd, none):
+    model = masked_lm.train(given)
+    mixed = [(i, " ".join(random.Random(i).sample(t.split(), len(t.split())))) for i, t in texts_of(given) if len(t.split()) > 50]
+    own = {r["doc_id"]: r["mean_log_likelihood"] for r in masked_lm.score_documents(given, model).collect()}
+    shuffled = masked_lm.score_documents(spark.createDataFrame(mixed, "doc_id long, text string"), model).collect()
+    assert sum(own[r["doc_id"]] > r["mean_log_likelihood"] for r in shuffled) > 0.8 * len(shuffled)
+    scored = {r["doc_id"]: r for r in masked_lm.score_documents(odd, model).collect()}
+    assert scored[0]["n_tokens"] == 0 and scored[0]["mean_log_likelihood"] is None
+    assert masked_lm.score_documents(none, masked_lm.train(none)).count() == 0
+
+
+@pytest.mark.parametrize("block", [4 << 20, 200])
+def test_decontamination(spark, odd, none, block):
+    items = [(1, "beta0 beta1"), (2, None), (3, ""), (4, "CC by gnu"), (5, " ".join(odd_rows()[4][1].split()[5:30])), (5, "one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    windows = defaultdict(set)
+    for i, t in items:
+        w = WORD.findall(low(t or ""))
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])].add(str(i))
+    want = []
+    for d, t in texts_of(odd):
+        w, hit, found = WORD.findall(low(t)), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if ids := windows.get(tuple(w[k : k + n])):
+                    hit |= {*range(k, k + n)}
+                    found |= ids
+        want.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+    got = [tuple(r)[:6] for r in decontaminate.contamination(odd, bench, block_bytes=block).collect()]
+    assert sorted(got) == sorted(want)
+    clean = decontaminate.decontaminated(odd, bench, block_bytes=block)
+    assert clean.columns == odd.columns and clean.count() == sum(not r[5] for r in want)
+    assert decontaminate.contamination(none, bench).count() == 0 and not any(r["contaminated"] for r in decontaminate.contamination(odd, bench.limit(0)).collect())
+
+
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_jaccard_join(given, odd, none, k, percent):
+    for docs in (odd, given):
+        sets = {}
+        for d, t in texts_of(docs):
+            w = plain(low(t))
+            sets[d] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+        label = {d: d for d in sets}
+        links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        for _ in sets:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        got = jaccard_join.near_components(docs, shingle=k, percent=percent).collect()
+        assert {(r[0], r[1], r[2]) for r in got} == {(d, len(sets[d]), label[d]) for d in sets}
+    assert jaccard_join.near_components(none).count() == 0
+
+
+def test_licenses(odd, none, spark):
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(odd).collect()}
+    assert (got[8]["n_base"], got[8]["first_word"], got[8]["last_word"], got[8]["base_labels"]) == (3, 0, 6, "cc-by,gpl,reserved")
+    assert (got[0]["n_words"], got[0]["first_word"], got[0]["labels"], got[0]["score"]) == (0, None, "", 0.0)
+    near = spark.createDataFrame([(1, "x Permision is hereby granted, free of charge, to any persn obtaining a copy y")], "doc_id long, text string")
+    assert license_scan.scan_licenses(near).first()["labels"] == "mit" and license_scan.scan_licenses(none).count() == 0
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_substring_dedup(given, odd, none, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    for docs in (odd, given):
+        rows, first = [(d, plain(t)) for d, t in texts_of(docs)], {}
+        for d, w in rows:
+            for i in range(len(w) - 49):
+                x = tuple(w[i : i + 50])
+                first[x] = min(d, first.get(x, d))
+        want = []
+        for d, w in rows:
+            gone = {j for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d for j in range(i, i + 50)}
+            want.append((d, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone))))
+        assert sorted(tuple(r) for r in substring_dedup.deduplicate(docs, with_text=False).collect()) == sorted(want)
+    assert substring_dedup.deduplicate(none).count() == 0
+
+
+def test_personal_data(given, odd, none):
+    forms = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def fine(kind, s):
+        digits = [int(c) for c in s if c.isdigit()]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in s.split("."))
+        if kind == "card":
+            return 13 <= len(digits) <= 19 and sum(sum(divmod(d * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+        return kind != "phone" or 9 <= len(digits) <= 15
+
+    for docs in (odd, given):
+        want = Counter()
+        for d, t in texts_of(docs):
+            spans = [(k, m.start(), m.end()) for k, p in forms.items() for m in re.finditer(p, t, re.A) if fine(k, m[0])]
+            want[(d, *(sum(s[0] == k for s in spans) for k in forms), sha(",".join("%s:%d:%d" % s for s in spans)))] += 1
+        assert Counter(tuple(r)[:6] for r in pii.report(docs).collect()) == want
+    masked = pii.masked(odd)
+    assert masked.columns == odd.columns and masked.count() == odd.count()
+    assert masked.where("doc_id = 9").first()["text"] == "mail <email>, ip 10.0.0.256 or <ip>, card <card>, <phone>"
+    assert pii.report(none).count() == 0
+
+
+def test_sharding(given, odd, none):
+    for docs in (odd, given):
+        rows = sharding.interleave(docs, shards=40).collect()
+        counts = Counter(r["shard"] for r in rows)
+        assert len(rows) == docs.count() and max(counts.values()) - min(counts[k] for k in range(40)) <= 1
+        slots = defaultdict(list)
+        for r in rows:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.interleave(none).count() == 0
+
+
+def test_quality(given, odd, none):
+    for docs in (odd, given):
+        want = Counter()
+        for d, t in texts_of(docs):
+            w = plain(t)
+            seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+            again = {j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+            lines = [x for x in t.split("\n") if plain(x)]
+            want[(d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again), len(w) < 10 or 100 * len(again) > 20 * len(w))] += 1
+        rows = quality.judge_quality(docs).collect()
+        assert Counter(tuple(r)[:7] for r in rows) == want and not any(r["base_failed"] and r["kept"] for r in rows)
+        kept = quality.filtered(docs)
+        assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in rows)
+    assert quality.judge_quality(none).count() == 0
+
+
+def test_bpe(given, odd, none):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, encoder = Tokenizer.from_file(path), bpe.Encoder(path)
+    own.no_truncation()
+    own.no_padding()
+    for docs in (odd, given):
+        want = Counter()
+        for d, t in texts_of(docs):
+            ids = own.encode(t, add_special_tokens=False).ids
+            want[(d, len(ids), sha(" ".join(map(str, ids))), sha(own.decode(ids, skip_special_tokens=False)))] += 1
+        assert Counter(tuple(r) for r in bpe.encode_documents(docs, path, with_ids=False).collect()) == want
+    for t in ("x" * 3000, "ab" * 2000 + "é" * 500, "<|endoftext|> Á İstanbul 漢字"):
+        assert encoder.encode(t) == own.encode(t, add_special_tokens=False).ids
+    assert bpe.encode_documents(none, path).count() == 0
+
+
+def test_pipeline_stages_keep_what_they_should(spark, given, none):
+    import corpus_pipeline
+
+    docs, names = given, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        if name != "BPE encoding":
+            assert out.columns == given.columns
+        before, after = {r[0] for r in docs.select("doc_id").collect()}, [r[0] for r in out.select("doc_id").collect()]
+        assert {*after} <= before and len(after) == len(set(after))
+        names.append((name, len(before), len(after)))
+        docs = spark.createDataFrame(out.toPandas(), out.schema)
+    assert names[3][1] == names[3][2] and names[4][1] == names[4][2]
+    assert corpus_pipeline.run(spark, DATA).count() == names[-1][2]
+
+
+def test_queries_are_all_there():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
