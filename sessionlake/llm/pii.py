@@ -131,8 +131,12 @@ def report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def masked(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The documents with every span of at least that score replaced by ``<kind>``; overlapping spans become one."""
-    rows = find_spans(docs, [c for c in docs.columns if c != "text"])
+    """The documents with every span of at least that score replaced by ``<kind>``; overlapping spans become one.
+
+    All columns stay, whatever their names; null texts stay null.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
+    rows = find_spans(packed, ["_doc"])
     chosen = F.array_sort(F.transform(F.filter("spans", lambda s: s["score"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     rows = rows.withColumn("_c", chosen)
     empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
@@ -150,4 +154,5 @@ def masked(docs: DataFrame, least: float = 0.0) -> DataFrame:
 
     tail = F.substring(F.col("_t"), F.try_element_at("_m", F.lit(-1))["end"] + 1, F.length("_t"))
     text = F.when(F.size("_m") > 0, F.concat(F.array_join(F.transform("_m", piece), ""), tail)).otherwise(F.col("_t"))
-    return rows.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.col("_doc.text").isNotNull(), text)
+    return rows.select(*[text.alias(c) if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns])
