@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,7 +120,7 @@ def search_shard(texts: list[bytes | None], tests: TestSuffixes) -> tuple[np.nda
 def _shards(batches, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         first, held = 0, 0
-        for k, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist()):
+        for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist()):
             held += n
             if held >= size:
                 yield batch.slice(first, k + 1 - first)
