@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text
-from sessionlake.operators import corpus, intervals, matching, measures
-from sessionlake.streaming import fold
+from sessionlake.operators import corpus, intervals, matching, measures, registry
+from sessionlake.streaming import commands, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -319,3 +319,64 @@ def q_json_props(spark, sf_dir):
 def q_top_sort(spark, sf_dir):
     order = intervals.Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
     return _t(spark, sf_dir, "events").select("event_type", "event_id", F.row_number().over(order).alias("rank")).where("rank <= 5")
+
+
+@bound("""with r as (select user_id, event_type, sum(value) filter (value >= 5) as audio, sum(value / 500) as s, count(*) as n from events group by 1, 2),
+p as (select user_id, max(audio) as audio, sum(s) / sum(n) as m, user_id % 4 as remaining from r group by 1 having max(audio) is not null),
+d as (select *, case when m < 0.1 then 'rejected' when remaining in (1, 2) and m < 0.11 then 'held' when audio < 300 then 'short' else 'updated' end as decision from p)
+select user_id, decision, case when decision = 'updated' and remaining > 0 then remaining - 1 else remaining end as remaining from d""")
+def q_trust_gate(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events")
+    kinds = ["signup", "purchase", "error", "view", "click"]
+    segments = rows.select("user_id", F.col("event_type").alias("region"), F.col("value").alias("length"), (F.col("value") / 500).alias("confidence"))
+    persons = rows.select("user_id", (F.col("user_id") % 4).alias("remaining")).distinct()
+    return registry.update_gate(segments, persons, "user_id", kinds, "view", floor=0.1, new_floor=0.11, min_clip=5.0, min_region=300.0)
+
+
+@bound("""with w as (select conv_id, turn, regexp_extract_all(text, '[^ \\t\\n\\r]+') as w, -length(text) / 1000.0 as l from conversations)
+select conv_id, turn, case when len(w) > 0 then len(list_filter(w, lambda x: length(x) / 10.0 < 0.2)) = 0 else coalesce(l > -0.3, false) end as skip from w""")
+def q_polish_skip(spark, sf_dir):
+    sure = F.transform(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)), lambda w: F.length(w) / 10.0)
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", text.polish_skip(sure, -F.length("text") / 1000.0, 0.2).alias("skip"))
+
+
+_TERMS = {"license": ["license", "licensed", "licence"], "right": ["right", "rights"], "public": ["public"], "author": ["author", "authors"]}
+
+
+@bound(f"""with t(term, variant) as (values {", ".join(f"('{t}', '{v}')" for t, vs in _TERMS.items() for v in vs)}),
+w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as variant from documents)
+select doc_id, term, count(*) as n from w join t using (variant) group by 1, 2""")
+def q_glossary(spark, sf_dir):
+    terms = spark.createDataFrame([(t, v) for t, vs in _TERMS.items() for v in vs], "term string, variant string")
+    return registry.glossary_hits(_t(spark, sf_dir, "documents"), terms, "doc_id")
+
+
+_ALLOWED = {"view": ["k"], "click": ["k", "z"], "purchase": []}
+_LINE = """case event_id % 6 when 0 then '{"cmd":' when 1 then '[1]' when 2 then '{"k":1,"cmd":7}' when 3 then concat('{"cmd":"', event_type, '","k":1}')
+  when 4 then concat('{"cmd":"', event_type, '","k":1,"z":2}') else ' ' end"""
+
+
+@bound(f"""with l as (select event_id, {_LINE} as line from events),
+o as (select event_id, line, case when json_valid(line) then line else 'null' end as j from l),
+c as (select *, case when json_type(j, '$.cmd') = 'VARCHAR' then json_extract_string(j, '$.cmd') end as cmd, json_type(j) as t, case when json_type(j) = 'OBJECT' then json_keys(j) end as k from o)
+select event_id, cmd, case when trim(line) = '' then 'empty_line' when not json_valid(line) then 'invalid_json' when t <> 'OBJECT' then 'not_an_object' when cmd is null then 'no_command'
+  when cmd not in ('view', 'click', 'purchase') then 'unknown_command'
+  when (cmd = 'purchase' and len(k) > 1) or (cmd = 'view' and list_contains(k, 'z')) then 'unknown_fields' end as refused from c""")
+def q_command_check(spark, sf_dir):
+    lines = _t(spark, sf_dir, "events").select("event_id", F.expr(_LINE).alias("value"))
+    return commands.check_commands(lines, _ALLOWED).select("event_id", "cmd", "refused")
+
+
+@bound("""with n as (select c_custkey as id, c_name, case when c_custkey % 11 = 0 then 'Bad Id' else 'c' || (c_custkey // 2) end as nid, case when c_custkey % 7 = 0 then 'guest' else 'student' end as r,
+  c_mktsegment || (c_custkey % 40) as d, case when c_custkey % 3 = 0 then 'x' end as m from customer),
+p as (select distinct 'c' || s_suppkey as pid from supplier),
+i as (select *, case when nid = 'Bad Id' then 'bad_id' when r = 'guest' then 'bad_role' end as ill from n),
+k as (select *, row_number() over (partition by nid, ill is null order by id) as a, row_number() over (partition by d, ill is null order by id) as b from i)
+select id as c_custkey, coalesce(ill, case when nid in (select pid from p) or a > 1 then 'id_taken' when b > 1 and m is null then 'name_taken' end) as refused from k""")
+def q_register(spark, sf_dir):
+    new = _t(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", "case when c_custkey % 11 = 0 then 'Bad Id' else concat('c', c_custkey div 2) end as id", "case when c_custkey % 7 = 0 then 'guest' else 'student' end as default_role",
+        "concat(c_mktsegment, c_custkey % 40) as display_name", "case when c_custkey % 3 = 0 then 'x' end as disambiguator",
+    )
+    persons = _t(spark, sf_dir, "supplier").selectExpr("concat('c', s_suppkey) as id", "s_name as display_name")
+    return registry.register(persons, new, "c_custkey").select("c_custkey", "refused")
