@@ -40,11 +40,13 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """The rows written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
 
-    The files are left in ``<shared folder>/sessionlake/<application>`` for the application's life.
+    The files are left in ``<shared folder>/sessionlake/<application>`` for the application's life. Spark deletes the
+    shuffle files of finished steps once the driver's JVM collects their plans, so a collection is asked for here.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sessionlake/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
