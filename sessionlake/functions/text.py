@@ -30,11 +30,20 @@ def session_id(meta: Column) -> Column:
     return F.concat(meta["date"], F.lit("_"), meta["teacher"], F.lit("__"), meta["student"], F.lit("_"), meta["language"])
 
 
+def _coded(words: Column, table: Column) -> Column:
+    """A text of one code point for each word: its position in the table, past the surrogates; an ``A`` ahead, so none is taken for a byte order mark."""
+    point = lambda w: F.array_position(table, w) + 0x100
+    past = lambda c: F.lpad(F.hex(F.when(c < 0xD800, c).otherwise(c + 0x800)), 8, "0")
+    return F.decode(F.unhex(F.concat(F.lit("00000041"), F.array_join(F.transform(words, lambda w: past(point(w))), ""))), "UTF-32")
+
+
 def word_edits(reference: Column, heard: Column) -> Column:
-    """Edit distance in words of two word arrays with at most 62 distinct words between them: a symbol for each word."""
-    words = F.array_distinct(F.concat(reference, heard))
-    coded = lambda ws: F.array_join(F.transform(ws, lambda w: F.substr(F.lit(SYMBOLS), F.array_position(words, w).cast("int"), F.lit(1))), "")
-    return F.levenshtein(coded(reference), coded(heard)).cast("long")
+    """Edit distance in words of two word arrays: a code point for each distinct word.
+
+    Unicode has code points for 1.1 million distinct words of a pair; beyond them decoding fails with an error.
+    """
+    table = F.array(F.array_distinct(F.concat(reference, heard)))  # one element, so that the lambda's variable holds it and it is made once
+    return F.element_at(F.transform(table, lambda t: F.levenshtein(_coded(reference, t), _coded(heard, t)).cast("long")), 1)
 
 
 def word_error_rate(reference: Column, heard: Column) -> Column:

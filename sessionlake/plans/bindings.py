@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text
@@ -236,15 +236,29 @@ def q_validate_chunk(spark, sf_dir):
     return corpus.chunk_valid(rows, rows.withColumn("at", F.expr("case when turn = 3 and conv_id % 2 = 0 then at + 5 else at end")), "conv_id", "turn", 1)
 
 
+def _turn_words() -> Column:
+    return F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0))
+
+
+def _turn_wer(spark: SparkSession, sf_dir: str, words: Column) -> DataFrame:
+    """Each turn's words against those of the turn before it."""
+    order = intervals.Window.partitionBy("conv_id").orderBy("turn")
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("h")).withColumn("r", F.lag("h").over(order)).where("r is not null")
+    return rows.select("conv_id", "turn", text.word_error_rate(F.col("r"), F.col("h")).alias("wer"))
+
+
 @bound(f"""with w as (select conv_id, turn, regexp_extract_all(text, '[^ \\t\\n\\r]+')[1:30] as h, lag(regexp_extract_all(text, '[^ \\t\\n\\r]+')[1:30]) over (partition by conv_id order by turn) as r from conversations),
 v as (select *, list_distinct(list_concat(r, h)) as d from w where r is not null),
 e as (select conv_id, turn, len(r) as n, len(h) as m, levenshtein(array_to_string(list_transform(r, lambda x: substr('{text.SYMBOLS}', list_position(d, x), 1)), ''), array_to_string(list_transform(h, lambda x: substr('{text.SYMBOLS}', list_position(d, x), 1)), '')) as k from v)
 select conv_id, turn, case when n = 0 then (case when m = 0 then 0.0::double else 1.0::double end) else k::double / n end as wer from e""")
 def q_wer(spark, sf_dir):
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)), 1, 30)
-    order = intervals.Window.partitionBy("conv_id").orderBy("turn")
-    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("h")).withColumn("r", F.lag("h").over(order)).where("r is not null")
-    return rows.select("conv_id", "turn", text.word_error_rate(F.col("r"), F.col("h")).alias("wer"))
+    return _turn_wer(spark, sf_dir, F.slice(_turn_words(), 1, 30))
+
+
+@bound()
+def q_wer_whole(spark, sf_dir):
+    """The rate over all words of the turns; q_wer takes the first 30 of each, as its SQL does."""
+    return _turn_wer(spark, sf_dir, _turn_words())
 
 
 @bound(f"select doc_id, sha256(translate(text, '{text.MARKED}', '{text.PLAIN}')) as folded from documents")
