@@ -17,7 +17,7 @@ frequent shingles has a fixed bound; the order does not change results, only how
 
 A set holds the distinct ``shingle``-word shingles of the whole text (words: runs without white space, A-Z lower-cased);
 of fewer words, the whole sequence is one. Null texts and texts without words have no shingles and link with nothing,
-not even each other. Rows of equal doc_id are one node. Shingles are compared by 64-bit hashes.
+not even each other. Rows of equal doc_id are one node, except in ``deduplicated``. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -270,6 +270,17 @@ def near_components(docs: DataFrame, key: str = "doc_id", shingle: int = 5, perc
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one of each component kept, the one of the smallest key; all columns stay."""
-    kept = near_components(docs, key, shingle, percent).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents with one of each component kept, the one of the smallest key; all columns stay.
+
+    Rows are nodes of their own here, numbered in a written copy: of repeated rows one stays, different texts of one key
+    are compared each, and rows of null keys take part, after all others in the order of keys.
+    """
+    row = "_row"
+    while row.lower() in {c.lower() for c in docs.columns}:
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_components(numbered, row, shingle, percent)
+    keys = numbered.select(F.col(f"`{row}`").alias("_at"), F.col(key).isNull().alias("_none"), F.col(key).alias("_key"))
+    order = F.struct("_none", "_key", "_at")
+    kept = found.join(keys, F.col(row) == F.col("_at")).groupBy("component_id").agg(F.min(order)["_at"].alias(row)).select(row)
+    return numbered.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -106,6 +106,20 @@ def test_jaccard_join(given, odd, none, k, percent):
     assert jaccard_join.near_components(none).count() == 0
 
 
+def test_deduplicated_keeps_one_row_of_each_group(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [
+        (None, a, "alone"), (None, b, "b of no id"), (7, b + " x", "b"), (3, c, "c"), (3, c, "c"), (5, d, "d"), (5, e, "e"), (6, d + " x", "d of 6"),
+        (9, e + " x", "e of 9"), (None, "a b c d e f g", "twice"), (None, "a b c d e f g", "twice"), (None, None, "nothing"), (None, None, "nothing"), (2, c + " x", "c of 2"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(5)
+    got = jaccard_join.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted(r["_row"] for r in got.collect()) == sorted(["alone", "b", "c of 2", "d", "e", "twice", "nothing", "nothing"])
+
+
 def test_licenses(odd, none, spark):
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(odd).collect()}
     assert (got[8]["n_base"], got[8]["first_word"], got[8]["last_word"], got[8]["base_labels"]) == (3, 0, 6, "cc-by,gpl,reserved")
