@@ -4,8 +4,10 @@ Statistics of a document are taken from its whole text. For every language and s
 estimate is made of the transformed statistics: a coordinatewise robust start (median and MAD), then concentration steps,
 each of which keeps the ``SHARE`` of the group with the smallest Mahalanobis distances and estimates mean and covariance
 again. The rows to keep are found from exact counts of a fine logarithmic grid of distances, so no group is sorted or
-gathered, however large it is. Documents beyond ``CUTOFF`` are rejected. Sources of a language with fewer than
-``min_rows`` documents are estimated together; if they are still fewer, only the base rule applies to them.
+gathered, however large it is. Documents beyond ``CUTOFF`` are rejected. The same estimate is made of every language and
+of the whole corpus, and each is shrunk towards the one above it, which counts as ``min_rows`` rows of a group: means and
+covariances within are averaged by rows, so a group of few rows has nearly the estimate above it, a large one its own,
+and every document has a distance.
 
 Null and empty texts have no words and fail the base rule. Null languages and sources are groups of their own. Repeated
 rows are judged one by one; an empty table gives an empty table. Extra columns do not matter.
@@ -105,7 +107,7 @@ def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 def _moments(rows: DataFrame) -> DataFrame:
     d = range(len(X))
     means = [F.avg(X[i]).alias(f"m{i}") for i in d]
-    return rows.groupBy("_g").agg(*means, *[F.avg(F.col(X[i]) * F.col(X[j])).alias(f"m{i}_{j}") for i in d for j in range(i + 1)])
+    return rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), *means, *[F.avg(F.col(X[i]) * F.col(X[j])).alias(f"m{i}_{j}") for i in d for j in range(i + 1)])
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -135,28 +137,46 @@ def _statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     return _transformed(rows).drop("lang", "source")
 
 
-def _fit(rows: DataFrame, steps: int, min_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The group of every pair of language and source, and the estimate of every group: both are small tables."""
-    sizes = rows.groupBy("_lang", "_pair").agg(F.count(F.lit(1)).alias("_n"))
-    rest = F.sum(F.when(F.col("_n") < min_rows, F.col("_n")).otherwise(0)).over(Window.partitionBy("_lang"))
-    group = F.when(F.col("_n") >= min_rows, F.col("_pair")).when(rest >= min_rows, F.col("_lang"))
-    groups = written(sizes.select("_pair", group.alias("_g")))
-    in_group = rows.join(groups, "_pair").where("_g is not null").select("_g", *X)
+def _under(own: DataFrame, above: DataFrame, rows_above: int) -> DataFrame:
+    """The moments of groups (``_g, _up``) shrunk towards those of the groups above, which weigh as so many rows.
+
+    Means and covariances are averaged apart: how far a group lies from the one above does not widen its covariance, so
+    a lone outlier is as far off as it is for the group above.
+    """
+    d = range(len(X))
+    moments = [*[f"m{i}" for i in d], *[f"m{i}_{j}" for i in d for j in range(i + 1)]]
+    both = own.join(above.select(F.col("_g").alias("_up"), *[F.col(m).alias(f"_{m}") for m in moments]), "_up")
+    share = F.col("_n") / (F.col("_n") + rows_above)
+    mixed = lambda a, b: b + share * (a - b)
+    cov = lambda i, j, x: F.col(f"{x}m{i}_{j}") - F.col(f"{x}m{i}") * F.col(f"{x}m{j}")
+    mean = {i: mixed(F.col(f"m{i}"), F.col(f"_m{i}")) for i in d}
+    products = [(mixed(cov(i, j, ""), cov(i, j, "_")) + mean[i] * mean[j]).alias(f"m{i}_{j}") for i in d for j in range(i + 1)]
+    return both.select("_g", "_n", *[mean[i].alias(f"m{i}") for i in d], *products)
+
+
+def _fit(rows: DataFrame, steps: int, min_rows: int) -> DataFrame:
+    """The estimate of every pair of language and source: a small table."""
+    pairs = written(rows.select("_lang", "_pair").distinct())
+    in_group = rows.select(F.explode(F.array("_pair", "_lang", F.lit(""))).alias("_g"), *X)
     estimate = written(_start(in_group))
-    for _ in range(steps):
-        estimate = written(_estimate(_moments(_closest(_distance(in_group, estimate)))))
-    return groups, estimate
+    for _ in range(max(steps, 1)):
+        moments = written(_moments(_closest(_distance(in_group, estimate))))
+        estimate = _estimate(moments)
+    languages = moments.join(pairs.select(F.col("_lang").alias("_g"), F.lit("").alias("_up")).distinct(), "_g")
+    languages = _under(languages, moments.where("_g = ''"), min_rows)
+    own = moments.join(pairs.select(F.col("_pair").alias("_g"), F.col("_lang").alias("_up")), "_g")
+    return written(_estimate(_under(own, languages, min_rows)))
 
 
-def _judged(rows: DataFrame, groups: DataFrame, estimate: DataFrame, cutoff: float) -> DataFrame:
-    rows = _distance(rows.join(groups, "_pair"), estimate)
-    return rows.withColumn("_kept", ~F.col("base_failed") & (F.coalesce(F.col("_d2"), F.lit(0.0)) <= cutoff))
+def _judged(rows: DataFrame, estimate: DataFrame, cutoff: float) -> DataFrame:
+    rows = _distance(rows.withColumn("_g", F.col("_pair")), estimate)
+    return rows.withColumn("_kept", ~F.col("base_failed") & (F.col("_d2") <= cutoff))
 
 
 def judge_quality(docs: DataFrame, key: str = "doc_id", steps: int = 2, min_rows: int = 60, cutoff: float = CUTOFF) -> DataFrame:
     """One row per document: the key, the statistics, ``base_failed, distance2, kept``."""
     rows = written(_statistics(docs, [key]))
-    return _judged(rows, *_fit(rows, steps, min_rows), cutoff).select(
+    return _judged(rows, _fit(rows, steps, min_rows), cutoff).select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("_d2").alias("distance2"), F.col("_kept").alias("kept")
     )
 
@@ -170,4 +190,4 @@ def filtered(docs: DataFrame, steps: int = 2, min_rows: int = 60, cutoff: float
     fitted = _fit(written(_statistics(docs, [])), steps, min_rows)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "lang", "source", "text")
     rows = _statistics(packed, ["_doc"]).withColumn("_mark", F.monotonically_increasing_id())
-    return _judged(rows, *fitted, cutoff).where("_kept and _mark >= 0").select("_doc.*")
+    return _judged(rows, fitted, cutoff).where("_kept and _mark >= 0").select("_doc.*")

@@ -199,6 +199,18 @@ def test_quality(given, odd, none):
     assert quality.judge_quality(none).count() == 0
 
 
+def test_quality_of_small_groups(spark):
+    rng = random.Random(12)
+    fine = lambda: " ".join("abcdefghijkl"[: rng.randrange(2, 10)] + str(rng.randrange(10**6)) for _ in range(60))
+    odd_one = lambda: " ".join("#$%&|<>*" * 2 + str(rng.randrange(10**6)) for _ in range(60))
+    sizes = {("en", "hot"): 300, ("en", "s1"): 5, ("en", "s2"): 1, ("xx", "s1"): 4, (None, None): 1, ("yy", "s9"): 37, ("zz", "s9"): 100}
+    rows = [(lang, source, fine(), False) for (lang, source), n in sizes.items() for _ in range(n - 1)]
+    rows += [(lang, source, odd_one(), True) for lang, source in sizes]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, lang string, source string, text string, odd boolean")
+    got = {r["doc_id"]: (r["distance2"], r["kept"]) for r in quality.judge_quality(docs).collect()}
+    assert len(got) == len(rows) and all(got[k][0] is not None and got[k][1] != r[3] for k, r in enumerate(rows))
+
+
 def test_bpe(given, odd, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     own, encoder = Tokenizer.from_file(path), bpe.Encoder(path)
