@@ -3,17 +3,22 @@
 The lookahead is computed from the merge list: what stands further right than it can no longer change a token boundary.
 A word longer than a buffer is encoded piece by piece: the tokens that end before the last ``lookahead`` symbols are
 emitted and forgotten, so memory stays constant however long a word is. Shorter words are encoded in one buffer and
-remembered in a cache of bounded size. Decoding is an incremental state machine from token bytes to text that keeps an
-unfinished UTF-8 sequence between tokens.
+remembered in a cache bounded in bytes. A text is read in segments cut at blanks, its ids leave in chunks, and each chunk
+goes on to the digest of the ids and to the decoder, so nothing of a text's length is held beside the text (and its ids,
+where they are asked for). The decoder is a state machine from ids to text that keeps what it cannot tell yet between
+chunks: whether a token came before, or an unfinished UTF-8 sequence, as the tokenizer's own decoder asks for.
 
 Rules of the text side (NFC, white space to blanks, lower case letter by letter, the split pattern, special tokens that
 are cut out first) are read from the tokenizer's file; the file's path is a parameter. Null texts are empty texts: no
-tokens. Repeated rows are encoded one by one; an empty table gives an empty table.
+tokens. Repeated rows are encoded one by one; an empty table gives an empty table. Only the key and ``text`` are read, so
+extra columns of any name do not matter.
 """
 
 from __future__ import annotations
 
+import codecs
 import functools
+import hashlib
 import heapq
 import json
 import unicodedata
@@ -25,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import binary_text, hex_sha256
+from .common import binary_text, tidy
 
 
 NEVER = 1 << 30
+#: Letters of a text read at once, and ids that leave at once.
+SEGMENT, CHUNK = 1 << 16, 4096
 
 
 def byte_letters() -> list[str]:
@@ -50,7 +57,9 @@ class Merges:
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.token = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.split = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.decoder: str | None = (told["decoder"] or {}).get("type")
+        patterns = [p["pattern"]["Regex"] for p in told["pre_tokenizer"].get("pretokenizers", []) if "pattern" in p]
+        self.split = regex.compile(patterns[0]) if patterns else None
         self.lookahead = self.sufficient_lookahead()
 
     def sufficient_lookahead(self) -> int:
@@ -116,10 +125,11 @@ class Merges:
 class Transducer:
     """Encodes words fed as letters; keeps at most a buffer of a few lookaheads."""
 
-    def __init__(self, merges: Merges, cached: int = 300_000):
+    def __init__(self, merges: Merges, cached_bytes: int = 24 << 20):
         self.m, self.letters = merges, byte_letters()
         self.buffer = 4 * merges.lookahead + 64
-        self.cached, self.cache = cached, {}
+        self.room = self.cached_bytes = cached_bytes
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of one word, each emitted once nothing further right can change it."""
@@ -140,33 +150,44 @@ class Transducer:
             held[-1] += self.m.end
             yield from self.m.merged(held)
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Count, decimal ids and pieces of one word, the latter two joined by blanks."""
+    def word(self, word: str) -> Iterable[int]:
+        """The ids of one word."""
         got = self.cache.get(word)
         if got is None:
-            symbols = list(word) if word.isascii() and word.isprintable() else [self.letters[b] for b in word.encode()]
-            if len(symbols) < self.buffer:
-                symbols[-1] += self.m.end
-                tokens = self.m.merged(symbols)
-            else:
-                tokens = self.stream(symbols)
-            ids = [self.m.ids[t] for t in tokens]
-            got = (len(ids), " ".join([str(i) for i in ids]), " ".join([self.m.token[i] for i in ids]))
+            plain = word.isascii() and word.isprintable()
+            if len(word) * 4 > self.buffer and (plain and len(word) or len(word.encode())) >= self.buffer:
+                letters = iter(word) if plain else (self.letters[b] for c in word for b in c.encode())
+                return (self.m.ids[t] for t in self.stream(letters))
+            symbols = list(word) if plain else [self.letters[b] for b in word.encode()]
+            symbols[-1] += self.m.end
+            got = tuple([self.m.ids[t] for t in self.m.merged(symbols)])
             if len(word) <= 64:
-                if len(self.cache) >= self.cached:
-                    self.cache.clear()
+                self.room -= 200 + 8 * len(got) + len(word)
+                if self.room < 0:
+                    self.forget()
                 self.cache[word] = got
         return got
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.room = self.cached_bytes
+
 
 class Encoder:
     def __init__(self, path: str):
-        self.m = Merges(path)
+        self.path, self.m = path, Merges(path)
         self.t = Transducer(self.m)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.m.special)) + ")") if self.m.special else None
-        self.library = Tokenizer.from_file(path)
         self.plain = regex.compile("[\x00-\u024F\u0370-\u0373\u0400-\u052F\u2000-\u206F\u20AC\u3041-\u3096\u4E00-\u9FEF\uAC00-\uD7A3]*")
-        self.byte = {c: bytes([b]) for b, c in enumerate(byte_letters())}
+        self.digits = {i: str(i) for i in self.m.token}
+
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    @functools.cached_property
+    def byte(self) -> dict[str, bytes]:
+        return {c: bytes([b]) for b, c in enumerate(byte_letters())}
 
     def pieces(self, part: str) -> list[str]:
         """Normalized words. Where versions of Unicode may differ, the library's own normalizer and split are asked."""
@@ -177,23 +198,59 @@ class Encoder:
         split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
         return [b"".join([self.byte[c] for c in word]).decode() for word, _ in split]
 
-    def words(self, text: str) -> Iterator[tuple[int, str, str]]:
-        for part in self.cut.split(text) if self.cut and "<|" in text else (text,):
-            if part in self.m.special:
-                yield (1, str(self.m.special[part]), part)
-            elif part:
-                yield from map(self.t.word, self.pieces(part))
+    @staticmethod
+    def segments(text: str) -> Iterator[str]:
+        """The text cut before blanks: none of normalization, special tokens and words reaches across one."""
+        first = 0
+        while len(text) - first > SEGMENT:
+            cut = text.rfind(" ", first + 1, first + SEGMENT)
+            if cut < 0:
+                cut = text.find(" ", first + SEGMENT)
+                if cut < 0:
+                    break
+            yield text[first:cut]
+            first = cut
+        yield text[first:] if first else text
+
+    def chunks(self, text: str) -> Iterator[list[int]]:
+        """The ids of the text, some CHUNK at a time."""
+        held: list[int] = []
+        for segment in self.segments(text):
+            for part in self.cut.split(segment) if self.cut and "<|" in segment else (segment,):
+                if part in self.m.special:
+                    held.append(self.m.special[part])
+                elif part:
+                    for word in self.pieces(part):
+                        ids = self.t.word(word)
+                        if type(ids) is tuple:
+                            held += ids
+                        else:  # a very long word streams
+                            for i in ids:
+                                held.append(i)
+                                if len(held) >= CHUNK:
+                                    yield held
+                                    held = []
+                        if len(held) >= CHUNK:
+                            yield held
+                            held = []
+        if held:
+            yield held
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.words(text) for i in ids.split(" ")]
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Count, ids joined by blanks, and what the library's decode gives for them (it joins pieces by blanks)."""
-        got = list(self.words(text))
-        if not got:
-            return 0, "", ""
-        counts, ids, pieces = zip(*got)
-        return sum(counts), " ".join(ids), " ".join(pieces)
+        return [i for chunk in self.chunks(text) for i in chunk]
+
+    def digest(self, text: str, decoder: "Decoder", ids: list[int] | None = None) -> tuple[int, str, str]:
+        """Count of ids, SHA-256 of them joined by blanks, SHA-256 of their decoded text; ids are added to the list."""
+        n, told, back, of = 0, hashlib.sha256(), hashlib.sha256(), self.digits.__getitem__
+        decoder.reset()
+        for chunk in self.chunks(text):
+            told.update(((" " if n else "") + " ".join(map(of, chunk))).encode())
+            back.update(decoder.feed(chunk).encode())
+            n += len(chunk)
+            if ids is not None:
+                ids += chunk
+        back.update(decoder.close().encode())
+        return n, told.hexdigest(), back.hexdigest()
 
 
 @functools.lru_cache(1)
@@ -203,35 +260,42 @@ def encoder_of(path: str) -> Encoder:
 
 
 class Decoder:
-    """From token ids to text, token by token; an unfinished UTF-8 sequence waits for its rest."""
+    """From ids to text, chunk by chunk, by the decoder that the tokenizer's file names.
+
+    Without one, the tokens as they are written are joined by blanks; the state is whether one came before. The
+    byte-level one turns the letters of tokens into bytes and these into text; the state is an unfinished UTF-8 sequence,
+    and bytes that are none become U+FFFD. Special tokens stand for themselves. Ids that the tokenizer lacks are skipped.
+    """
 
     def __init__(self, merges: Merges):
-        self.m, self.byte = merges, {c: b for b, c in enumerate(byte_letters())}
-        self.waiting = b""
-
-    def feed(self, token_id: int) -> str:
-        token = self.m.token[token_id]
-        if token in self.m.special:
-            return self.close() + token
-        ended = bool(self.m.end) and token.endswith(self.m.end)
-        data = self.waiting + bytes(self.byte[c] for c in (token[: -len(self.m.end)] if ended else token))
-        for keep in range(min(3, len(data)) + 1):
-            head = data[: len(data) - keep]
-            try:
-                text = head.decode()
-            except UnicodeDecodeError:
-                continue
-            self.waiting = data[len(head):]
-            return text + (self.close() + " " if ended else "")
-        self.waiting = b""
-        return data.decode(errors="replace") + (" " if ended else "")
+        if merges.decoder not in (None, "ByteLevel"):
+            raise ValueError(f"no decoder for {merges.decoder}")
+        self.token, self.of_bytes = merges.token, merges.decoder == "ByteLevel"
+        if self.of_bytes:
+            byte = {c: b for b, c in enumerate(byte_letters())}
+            self.data = {i: t.encode() if t in merges.special or any(c not in byte for c in t) else bytes(map(byte.__getitem__, t)) for i, t in merges.token.items()}
+        self.reset()
+
+    def reset(self) -> None:
+        self.begun = False
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: Iterable[int]) -> str:
+        """What the ids add to the text as far as no later id can change it."""
+        if self.of_bytes:
+            return self.utf8.decode(b"".join([self.data[i] for i in ids if i in self.data]))
+        out = " ".join([self.token[i] for i in ids if i in self.token])
+        if not out:
+            return ""
+        out, self.begun = " " + out if self.begun else out, True
+        return out
 
     def close(self) -> str:
-        rest, self.waiting = self.waiting.decode(errors="replace"), b""
-        return rest
+        return self.utf8.decode(b"", final=True)
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join([self.feed(i) for i in ids]) + self.close()
+        self.reset()
+        return self.feed(ids) + self.close()
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -243,16 +307,34 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", with_ids:
 
     def encode(batches):
         encoder = encoder_of(path)
+        decoder = Decoder(encoder.m)
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 500):
+                    batch = whole.slice(at, 500)
+                    rows, ids = [], []
+                    for text in batch.column(1):
+                        ids.append([])
+                        rows.append(encoder.digest(text.as_py().decode() if text.is_valid else "", decoder, ids[-1] if with_ids else None))
+                    n, told, back = zip(*rows)
+                    columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(told, pa.string()), pa.array(back, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, [f.name for f in fields])
+        finally:
+            encoder.t.forget()
+
+    return docs.select(key, binary_text()).mapInArrow(tidy(encode), T.StructType(fields))
+
+
+def decode_ids(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """Adds the decoded text of a column of ids; null ids give a null text. A column of that name is replaced."""
+    rows = rows.drop(into)
+    schema = T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())])
+    at = rows.columns.index(ids)
+
+    def decode(batches):
+        decoder = Decoder(encoder_of(path).m)
         for batch in batches:
-            n, ids, sha, back = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                count, joined, decoded = encoder.digest(text.decode() if text else "")
-                n.append(count)
-                sha.append(hex_sha256(joined.encode()))
-                back.append(hex_sha256(decoded.encode()))
-                if with_ids:
-                    ids.append([int(i) for i in joined.split()])
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, [f.name for f in fields])
-
-    return docs.select(key, binary_text()).mapInArrow(encode, T.StructType(fields))
+            texts = [None if x is None else decoder.decode(x) for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
+
+    return rows.mapInArrow(tidy(decode), schema)

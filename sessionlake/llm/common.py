@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import hashlib
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -17,6 +22,7 @@ FOLD = bytes(
 )
 #: Only A-Z become a-z.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,40 +35,80 @@ def alnum_words(text: bytes | None) -> list[bytes]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a local one only where it is unset."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder of spark.checkpoint.dir, which all executors share.
+
+    Where it is unset a temporary folder serves, on ``local`` masters only: on a cluster, executors would not share it.
+    """
+    context = spark.sparkContext
+    set_dir = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not set_dir:
-        set_dir = "/tmp/checkpoints/sessionlake"
-        spark.sparkContext.setCheckpointDir(set_dir)
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        set_dir = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(set_dir)
     return set_dir
 
 
 def written(df: DataFrame) -> DataFrame:
     """The rows written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
 
-    The files are left in ``<shared folder>/sessionlake/<application>`` for the application's life.
+    The files are left in ``<shared folder>/sessionlake/<application>`` for the application's life; shuffle files of the
+    rows' computation go as soon as they are written, and not only when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sessionlake/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Marks a written table of numbers for broadcast if it has at most so many rows; larger ones are joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def tidy(run):
+    """A task's function over batches, after which the worker gives back what it held: idle Python workers stay small."""
+
+    @functools.wraps(run)
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return held
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def hex_sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words; those of up to 64 bytes are remembered, up to a bound in number and so in bytes."""
 
-    def __init__(self, bound: int = 300_000):
+    def __init__(self, bound: int = 100_000):
         super().__init__()
         self.bound = bound
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = value
         return value
 
 
