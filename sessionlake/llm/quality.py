@@ -1,16 +1,19 @@
 """Quality rules and robust multivariate outliers, in DataFrame expressions only.
 
-Statistics of a document are taken from its whole text. For every language and source a minimum-covariance-determinant
-estimate is made of the transformed statistics: a coordinatewise robust start (median and MAD), then concentration steps,
-each of which keeps the ``SHARE`` of the group with the smallest Mahalanobis distances and estimates mean and covariance
-again. The rows to keep are found from exact counts of a fine logarithmic grid of distances, so no group is sorted or
-gathered, however large it is. Documents beyond ``CUTOFF`` are rejected. The same estimate is made of every language and
-of the whole corpus, and each is shrunk towards the one above it, which counts as ``min_rows`` rows of a group: means and
-covariances within are averaged by rows, so a group of few rows has nearly the estimate above it, a large one its own,
-and every document has a distance.
-
-Null and empty texts have no words and fail the base rule. Null languages and sources are groups of their own. Repeated
-rows are judged one by one; an empty table gives an empty table. Extra columns do not matter.
+Statistics of a document are taken from its whole text. For every language and source the minimum-covariance-determinant
+estimate is made of the transformed statistics. Three starts (median and MAD of each statistic; mean and covariance of
+all rows; those of the half nearest to the first) are each carried on by concentration steps, which keep the ``SHARE`` of
+the group with the smallest Mahalanobis distances and estimate mean and covariance again, until no determinant changes;
+of the three ends the one of the smallest determinant is the estimate. The rows to keep are found from exact counts of a
+fine logarithmic grid of distances, so no group is sorted or gathered, however large it is, and only estimates (some
+numbers for each group) are joined to rows, by broadcast while they are few. Documents beyond ``CUTOFF`` are rejected.
+The same estimate is made of every language and of the whole corpus, and each is shrunk towards the one above it, which
+counts as ``min_rows`` rows of a group: means and covariances within are averaged by rows, so a group of few rows has
+nearly the estimate above it, a large one its own, and every document has a distance.
+
+Null and empty texts have no words and fail the base rule. Null languages and sources are groups of their own, as is a
+table without these columns. Repeated rows are judged one by one; an empty table gives an empty table. Extra columns do
+not matter, whatever their names; very long texts are judged whole.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import broadcast_small, written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -32,6 +35,8 @@ CUTOFF = 50.0
 #: Least standard deviation of each statistic: groups in which nearly all values agree do not reject small deviations.
 FLOOR = {"x0": 0.25, "x1": 0.04, "x2": 0.12, "x3": 0.12}
 X = tuple(FLOOR)
+#: Determinants that change by less, as logarithms, have settled.
+SETTLED = 1e-4
 
 
 def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -78,7 +83,8 @@ def _transformed(rows: DataFrame) -> DataFrame:
 
 
 def _estimate(moments: DataFrame) -> DataFrame:
-    """Mean and the Cholesky factor of the covariance from ``m_i`` and ``m_i_j``; floors are added to the diagonal."""
+    """``_g``, mean, the Cholesky factor of the covariance and ``_det``, the logarithm of its determinant, from ``m_i``
+    and ``m_i_j``; floors are added to the diagonal."""
     d = range(len(X))
     out = moments
     for i in d:
@@ -89,11 +95,13 @@ def _estimate(moments: DataFrame) -> DataFrame:
             for k in range(j):
                 cov = cov - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(cov, F.lit(FLOOR[X[i]] ** 2 / 4))) if i == j else cov / F.col(f"l{j}{j}"))
-    return out.select("_g", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)])
+    det = sum((F.log(F.col(f"l{i}{i}")) * 2 for i in d), F.lit(0.0))
+    return out.select("_g", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)], det.alias("_det"))
 
 
 def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    out = rows.join(estimate, "_g", "left")
+    """Adds ``_d2``, the squared distance from the estimate (a written table) of the row's group ``_g``."""
+    out = rows.join(broadcast_small(estimate.drop("_det")), "_g", "left")
     total = F.lit(0.0)
     for i in range(len(X)):
         y = F.col(X[i]) - F.col(f"m{i}")
@@ -110,27 +118,28 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), *means, *[F.avg(F.col(X[i]) * F.col(X[j])).alias(f"m{i}_{j}") for i in d for j in range(i + 1)])
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _medians(rows: DataFrame) -> DataFrame:
+    """An estimate of each group from medians and MADs alone."""
     d = range(len(X))
-    middle = rows.groupBy("_g").agg(*[F.percentile_approx(X[i], 0.5, 1000).alias(f"m{i}") for i in d])
-    off = rows.join(middle, "_g").groupBy("_g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[F.percentile_approx(F.abs(F.col(X[i]) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in d])
+    middle = written(rows.groupBy("_g").agg(*[F.percentile_approx(X[i], 0.5, 1000).alias(f"m{i}") for i in d]))
+    off = rows.join(broadcast_small(middle), "_g").groupBy("_g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[F.percentile_approx(F.abs(F.col(X[i]) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in d])
     factor = {f"l{i}{j}": F.sqrt((F.col(f"a{i}") * 1.4826) ** 2 + FLOOR[X[i]] ** 2) if i == j else F.lit(0.0) for i in d for j in range(i + 1)}
-    return off.withColumns(factor).select("_g", *[f"m{i}" for i in d], *factor)
+    return off.withColumns(factor | {"_det": sum((F.log(factor[f"l{i}{i}"]) * 2 for i in d), F.lit(0.0))}).select("_g", *[f"m{i}" for i in d], *factor, "_det")
 
 
-def _closest(scored: DataFrame) -> DataFrame:
-    """The SHARE of each group with the smallest distances, up to a cell of the grid."""
-    cell = F.floor(F.log2(F.col("_d2") + 1e-6) * 32)
-    scored = scored.withColumn("_c", cell)
+def _closest(scored: DataFrame, share: float) -> DataFrame:
+    """The share of each group with the smallest distances, up to a cell of the grid."""
+    scored = scored.withColumn("_c", F.floor(F.log2(F.col("_d2") + 1e-6) * 32))
     counts = scored.groupBy("_g", "_c").agg(F.count(F.lit(1)).alias("_n"))
     up_to = Window.partitionBy("_g").orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     of = Window.partitionBy("_g")
     sums = counts.select("_g", "_c", F.sum("_n").over(up_to).alias("_sum"), F.sum("_n").over(of).alias("_of"))
-    last = sums.where(F.col("_sum") >= F.col("_of") * SHARE).groupBy("_g").agg(F.min("_c").alias("_last"))
-    return scored.join(last, "_g").where(F.col("_c") <= F.col("_last"))
+    last = written(sums.where(F.col("_sum") >= F.col("_of") * share).groupBy("_g").agg(F.min("_c").alias("_last")))
+    return scored.join(broadcast_small(last), "_g").where(F.col("_c") <= F.col("_last"))
 
 
 def _statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
+    docs = docs.withColumns({c: F.lit(None).cast("string") for c in ("lang", "source") if c not in docs.columns})
     rows = text_statistics(docs, [*keep, "lang", "source"])
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     rows = rows.withColumns({"_lang": named("lang"), "_pair": F.concat_ws("\x1f", named("lang"), named("source")), "base_failed": base_failed()})
@@ -155,13 +164,26 @@ def _under(own: DataFrame, above: DataFrame, rows_above: int) -> DataFrame:
 
 
 def _fit(rows: DataFrame, steps: int, min_rows: int) -> DataFrame:
-    """The estimate of every pair of language and source: a small table."""
+    """The estimate of every pair of language and source: a small written table."""
     pairs = written(rows.select("_lang", "_pair").distinct())
-    in_group = rows.select(F.explode(F.array("_pair", "_lang", F.lit(""))).alias("_g"), *X)
-    estimate = written(_start(in_group))
+    levels = F.array("_pair", "_lang", F.lit(""))
+    in_group = rows.select(F.explode(levels).alias("_g"), *X)
+    medians = written(_medians(in_group))
+    half = written(_estimate(_moments(_closest(_distance(in_group, medians), 0.5))))
+    whole = written(_estimate(_moments(in_group)))
+    starts = [start.withColumn("_g", F.concat(F.lit(f"{k}\x1e"), "_g")) for k, start in enumerate((medians, whole, half))]
+    estimate = written(starts[0].unionByName(starts[1]).unionByName(starts[2]))
+    names = F.flatten(F.transform(levels, lambda g: F.array(*[F.concat(F.lit(f"{k}\x1e"), g) for k in range(len(starts))])))
+    started = rows.select(F.explode(names).alias("_g"), *X)
     for _ in range(max(steps, 1)):
-        moments = written(_moments(_closest(_distance(in_group, estimate))))
-        estimate = _estimate(moments)
+        moments = written(_moments(_closest(_distance(started, estimate), SHARE)))
+        before, estimate = estimate, written(_estimate(moments))
+        moved = estimate.join(before.select("_g", F.col("_det").alias("_was")), "_g")
+        if moved.where(F.abs(F.col("_det") - F.col("_was")) > SETTLED).isEmpty():
+            break
+    told = moments.join(estimate.select("_g", "_det"), "_g").withColumn("_in", F.substring_index("_g", "\x1e", -1))
+    least = told.groupBy("_in").agg(F.min(F.struct("_det", "_g"))["_g"].alias("_g"))
+    moments = written(told.join(least.select("_g"), "_g", "left_semi").drop("_g", "_det").withColumnRenamed("_in", "_g"))
     languages = moments.join(pairs.select(F.col("_lang").alias("_g"), F.lit("").alias("_up")).distinct(), "_g")
     languages = _under(languages, moments.where("_g = ''"), min_rows)
     own = moments.join(pairs.select(F.col("_pair").alias("_g"), F.col("_lang").alias("_up")), "_g")
@@ -173,7 +195,7 @@ def _judged(rows: DataFrame, estimate: DataFrame, cutoff: float) -> DataFrame:
     return rows.withColumn("_kept", ~F.col("base_failed") & (F.col("_d2") <= cutoff))
 
 
-def judge_quality(docs: DataFrame, key: str = "doc_id", steps: int = 2, min_rows: int = 60, cutoff: float = CUTOFF) -> DataFrame:
+def judge_quality(docs: DataFrame, key: str = "doc_id", steps: int = 12, min_rows: int = 60, cutoff: float = CUTOFF) -> DataFrame:
     """One row per document: the key, the statistics, ``base_failed, distance2, kept``."""
     rows = written(_statistics(docs, [key]))
     return _judged(rows, _fit(rows, steps, min_rows), cutoff).select(
@@ -181,13 +203,13 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", steps: int = 2, min_rows
     )
 
 
-def filtered(docs: DataFrame, steps: int = 2, min_rows: int = 60, cutoff: float = CUTOFF) -> DataFrame:
+def filtered(docs: DataFrame, steps: int = 12, min_rows: int = 60, cutoff: float = CUTOFF) -> DataFrame:
     """The documents that are kept, all columns as they were.
 
-    The statistics are taken twice, once for the estimates and once beside each document, so no text is shuffled. The
-    mark keeps the filter above the statistics: pushed below, it would take them anew for every element of an array.
+    The statistics are taken once and written beside each document; the estimates read only their columns.
     """
-    fitted = _fit(written(_statistics(docs, [])), steps, min_rows)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "lang", "source", "text")
-    rows = _statistics(packed, ["_doc"]).withColumn("_mark", F.monotonically_increasing_id())
-    return _judged(rows, fitted, cutoff).where("_kept and _mark >= 0").select("_doc.*")
+    either = [c if c in docs.columns else None for c in ("lang", "source", "text")]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[c for c in either if c])
+    rows = written(_statistics(packed, ["_doc"]))
+    fitted = _fit(rows.drop("_doc"), steps, min_rows)
+    return _judged(rows, fitted, cutoff).where("_kept").select("_doc.*")
