@@ -4,55 +4,90 @@ A bidirectional window network, written in numpy, predicts every token from the
 of the conditional log-probabilities scores a document. The softmax is factored into a class and a member of the class,
 so a token costs two small softmaxes.
 
-Everything is gathered from all documents: word counts (partial counts in tasks, summed by a shuffle) give the
-vocabulary, and training runs on every partition at once. In each round every task trains a copy of the model on its
-documents of that round (each document is in one round), predicting the masked share of their tokens; the copies are
-averaged, weighted by tokens, through a shuffle of parameter blocks. What is gathered grows with the number of
-partitions, while the model itself has a fixed size. Words beyond the vocabulary share ``SPARE`` hashed ids.
-
-Words are runs without white space, A-Z lower-cased. Null and empty texts have no tokens, sum 0, mean null. Repeated rows
-count as often as they occur; an empty table gives an empty table and an untrained model.
+Everything is gathered from all documents and grows with them. Word counts (partial counts in tasks, summed by a shuffle)
+give the vocabulary: as many ids as ``GROWTH`` times the square root of the number of distinct words, a square number
+between ``LEAST_CLASSES`` and ``MOST_CLASSES`` squared. Words beyond it share one id in ``SPARE_SHARE``; such a word is
+scored as its id, times the share that its own count has in the counts of that id. These counts are held by hash in a
+table of a byte each (a sixteenth of a power of two), with half as many slots as there are words, up to ``MOST_SLOTS``;
+words of one slot share their count. Training runs on every partition at once: in each round every task trains a copy of
+the model on all its documents, predicting a share of their tokens that differs from round to round; the copies are
+averaged, weighted by tokens, in two steps, so no task gathers those of all partitions.
+
+Words are runs without white space, A-Z lower-cased. Null and empty texts have no tokens, sum 0, mean null; very long
+ones are read whole. Repeated rows count as often as they occur; an empty table gives an empty table and an untrained
+model. Only the key and ``text`` are read, so extra columns of any name do not matter.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, binary_text, written
+from .common import LOWER, binary_text, tidy, written
 
-#: Sizes of the model: CLASSES * CLASSES ids in all, of which SPARE are for words beyond the vocabulary and one is the edge.
-CLASSES, SPARE, WIDTH, HIDDEN, WINDOW = 32, 63, 16, 32, 2
-IDS = CLASSES * CLASSES
+GROWTH, LEAST_CLASSES, MOST_CLASSES, SPARE_SHARE = 2.4, 32, 512, 16
+LEAST_SLOTS, MOST_SLOTS, BLOCK_SLOTS = 1 << 16, 1 << 24, 1 << 16
+WIDTH, HIDDEN, WINDOW = 16, 32, 2
 SHARE_MASKED = 0.15
-CHUNK, STEP, REMEMBERED = 4096, 2048, 400_000
+CHUNK, STEP, REMEMBERED = 4096, 2048, 200_000
 AROUND = np.array([d for d in range(-WINDOW, WINDOW + 1) if d])
+ID_BITS = 24
 
 
 def tokens(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER).split() if text else []
 
 
+def classes_for(distinct: int) -> int:
+    return min(MOST_CLASSES, max(LEAST_CLASSES, math.ceil(math.sqrt(GROWTH * math.sqrt(distinct)))))
+
+
+def spare_ids(classes: int) -> int:
+    return classes * classes // SPARE_SHARE - 1
+
+
+def spare_and_slot(word: bytes, spare: int, slots: int) -> tuple[int, int]:
+    """The shared id (from 1) of a word beyond the vocabulary and the slot of its count."""
+    h = xxhash.xxh3_64_intdigest(word)
+    return 1 + h % spare, (h >> 30) & (slots - 1)
+
+
+@dataclass
+class Model:
+    """``classes`` squared ids: 0 is the edge of a text, then the spare ones, then the vocabulary's."""
+
+    classes: int
+    vocabulary: list[bytes]
+    counts: np.ndarray
+    spare_logs: np.ndarray
+    flat: np.ndarray | None = None
+
+
 class Words(dict):
-    """Ids of words; those beyond the vocabulary are hashed. Id 0 is the edge of a text."""
+    """Ids of words; of those beyond the vocabulary the shared id, and above ID_BITS the byte of their count."""
 
-    def __init__(self, vocabulary: list[bytes]):
-        super().__init__({w: k + 1 + SPARE for k, w in enumerate(vocabulary)})
+    def __init__(self, model: Model):
+        self.spare, self.counts = spare_ids(model.classes), model.counts
+        super().__init__({w: k + 1 + self.spare for k, w in enumerate(model.vocabulary)})
 
     def __missing__(self, word: bytes) -> int:
-        spare = 1 + zlib.crc32(word) % SPARE
-        if len(self) < REMEMBERED:
-            self[word] = spare
-        return spare
-
-    def row(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts in one row with WINDOW edges around each; positions of tokens; tokens of each text."""
+        at, slot = spare_and_slot(word, self.spare, len(self.counts))
+        value = at | int(self.counts[slot]) << ID_BITS
+        if len(self) < REMEMBERED and len(word) <= 64:
+            self[word] = value
+        return value
+
+    def row(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in one row with WINDOW edges around each; positions of tokens; tokens of each text; bytes of
+        counts beside the ids."""
         parts, counts, edge = [0] * WINDOW, [], [0] * WINDOW
         for t in texts:
             found = list(map(self.__getitem__, tokens(t)))
@@ -62,21 +97,22 @@ class Words(dict):
         counts = np.array(counts, dtype=np.int64)
         starts = np.cumsum(counts + WINDOW) - counts
         places = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        return np.array(parts, dtype=np.int32), places, counts
+        both = np.array(parts, dtype=np.int64)
+        return (both & ((1 << ID_BITS) - 1)).astype(np.int32), places, counts, both >> ID_BITS
 
 
 class Network:
     """Parameters in one row: embeddings, hidden layer, classes, members."""
 
-    SHAPES = {"e": (IDS, WIDTH), "w": (2 * WINDOW * WIDTH, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "m": (CLASSES, HIDDEN, CLASSES), "mb": (CLASSES, CLASSES)}
-
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, classes: int, flat: np.ndarray | None = None):
+        self.classes = c = classes
+        shapes = {"e": (c * c, WIDTH), "w": (2 * WINDOW * WIDTH, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, c), "cb": (c,), "m": (c, HIDDEN, c), "mb": (c, c)}
         if flat is None:
             rng = np.random.default_rng(7)
-            flat = np.concatenate([(np.zeros(s) if len(s) == 1 or n == "mb" else rng.normal(0, 0.1, s)).ravel() for n, s in self.SHAPES.items()])
+            flat = np.concatenate([(np.zeros(s) if len(s) == 1 or n == "mb" else rng.normal(0, 0.1, s)).ravel() for n, s in shapes.items()])
         self.flat = flat.astype(np.float32)
         self.p, at = {}, 0
-        for n, s in self.SHAPES.items():
+        for n, s in shapes.items():
             self.p[n] = self.flat[at : at + int(np.prod(s))].reshape(s)
             at += int(np.prod(s))
         self.squares = None
@@ -103,13 +139,12 @@ class Network:
         n = np.arange(len(h))
         c = h @ self.p["c"]
         c += self.p["cb"]
-        m = np.empty((len(h), CLASSES), dtype=np.float32)
-        cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        m = np.empty((len(h), self.classes), dtype=np.float32)
+        cuts = np.searchsorted(kind, np.arange(self.classes + 1))
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             a, b = cuts[k], cuts[k + 1]
-            if b > a:
-                np.matmul(h[a:b], self.p["m"][k], out=m[a:b])
-                m[a:b] += self.p["mb"][k]
+            np.matmul(h[a:b], self.p["m"][k], out=m[a:b])
+            m[a:b] += self.p["mb"][k]
         (c, cs), (m, ms) = self._exp(c), self._exp(m)
         logs = np.log(c[n, kind].astype(np.float64) / cs) + np.log(m[n, member].astype(np.float64) / ms)
         if probabilities:
@@ -122,50 +157,52 @@ class Network:
         for a in range(0, len(places), CHUNK):
             some = places[a : a + CHUNK]
             target = row[some]
-            order = np.argsort((target // CLASSES).astype(np.int16), kind="stable")
+            order = np.argsort((target // self.classes).astype(np.int16), kind="stable")
             target = target[order]
             _, _, h = self._hidden(row, some[order])
-            out[a + order] = self._both(h, target // CLASSES, target % CLASSES, False)[0]
+            out[a + order] = self._both(h, target // self.classes, target % self.classes, False)[0]
         return out
 
     def learn(self, row: np.ndarray, places: np.ndarray, rate: float) -> None:
-        """One Adagrad step on the masked places."""
+        """One Adagrad step on the masked places; only the embeddings and classes that occur change."""
         p, n = self.p, np.arange(len(places))
-        places = places[np.argsort(row[places] // CLASSES, kind="stable")]
-        kind, member = row[places] // CLASSES, row[places] % CLASSES
+        places = places[np.argsort(row[places] // self.classes, kind="stable")]
+        kind, member = row[places] // self.classes, row[places] % self.classes
         around, x, h = self._hidden(row, places)
         _, pc, pm, cuts = self._both(h, kind, member, True)
-        grad = Network(np.zeros_like(self.flat))
-        g, share = grad.p, 1.0 / max(len(places), 1)
+        if self.squares is None:
+            self.squares = Network(self.classes, np.full_like(self.flat, 1e-6)).p
+        share = 1.0 / max(len(places), 1)
         pc[n, kind] -= 1
         pm[n, member] -= 1
         pc *= share
         pm *= share
-        g["c"][:] = h.T @ pc
-        g["cb"][:] = pc.sum(axis=0)
+
+        def move(name, at, grad):
+            self.squares[name][at] += grad * grad
+            p[name][at] -= rate * grad / np.sqrt(self.squares[name][at])
+
         dh = pc @ p["c"].T
-        for k in range(CLASSES):
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             a, b = cuts[k], cuts[k + 1]
-            if b > a:
-                g["m"][k] = h[a:b].T @ pm[a:b]
-                g["mb"][k] = pm[a:b].sum(axis=0)
-                dh[a:b] += pm[a:b] @ p["m"][k].T
+            dh[a:b] += pm[a:b] @ p["m"][k].T
+            move("m", k, h[a:b].T @ pm[a:b])
+            move("mb", k, pm[a:b].sum(axis=0))
+        every = slice(None)
+        move("c", every, h.T @ pc)
+        move("cb", every, pc.sum(axis=0))
         dz = dh * (1 - h * h)
-        g["w"][:] = x.T @ dz
-        g["b"][:] = dz.sum(axis=0)
         dx = (dz @ p["w"].T).reshape(-1, WIDTH)
+        move("w", every, x.T @ dz)
+        move("b", every, dz.sum(axis=0))
         ids = around.ravel()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        g["e"][ids[first]] = np.add.reduceat(dx[order], first, axis=0)
-        if self.squares is None:
-            self.squares = np.full_like(self.flat, 1e-6)
-        self.squares += grad.flat * grad.flat
-        self.flat -= rate * grad.flat / np.sqrt(self.squares)
+        move("e", ids[first], np.add.reduceat(dx[order], first, axis=0))
 
 
-def count_words(docs: DataFrame, held: int = 400_000) -> DataFrame:
+def count_words(docs: DataFrame, held: int = 200_000) -> DataFrame:
     """``word`` (bytes) and ``n`` over all documents."""
 
     def count(batches):
@@ -175,74 +212,114 @@ def count_words(docs: DataFrame, held: int = 400_000) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(tokens(text))
+            for text in batch.column(0):
+                seen.update(tokens(text.as_py()))
                 if len(seen) > held:
                     yield told()
                     seen.clear()
         yield told()
 
-    return docs.select(binary_text()).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(binary_text()).mapInArrow(tidy(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, rounds: int = 2, rate: float = 0.1, block: int = 4096) -> tuple[list[bytes], np.ndarray, float]:
-    """The vocabulary (the most frequent words, as many as the model has ids for), the parameters, and the
-    log-probability of a word among those that share its hashed id."""
-    spark = docs.sparkSession
+def _rare_counts(rare: DataFrame, classes: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for each slot (sixteenths of a power of two), and the logarithm of the count of each shared id."""
+    spare = spare_ids(classes)
+
+    def run(batches):
+        for batch in batches:
+            found = [spare_and_slot(w, spare, slots) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), batch.column(1)], ["spare", "slot", "n"])
+
+    def pack(key, rows):
+        out = np.zeros(BLOCK_SLOTS, dtype=np.uint8)
+        out[rows.column("slot").to_numpy() % BLOCK_SLOTS] = rows.column("code").to_numpy()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "codes": pa.array([out.tobytes()], pa.binary())})
+
+    hashed = written(rare.mapInArrow(run, "spare int, slot int, n long"))
+    code = F.least(F.lit(255), F.round(F.log2(F.sum("n")) * 16)).cast("int")
+    by_slot = hashed.groupBy("slot").agg(code.alias("code")).withColumn("block", F.floor(F.col("slot") / BLOCK_SLOTS).cast("int"))
+    codes = np.zeros(slots, dtype=np.uint8)
+    for r in by_slot.groupBy("block").applyInArrow(pack, "block int, codes binary").toLocalIterator():
+        codes[r["block"] * BLOCK_SLOTS :][:BLOCK_SLOTS] = np.frombuffer(r["codes"], np.uint8)[: len(codes)]
+    logs = np.zeros(spare + 1)
+    for r in hashed.groupBy("spare").agg(F.sum("n").alias("n")).collect():
+        logs[r["spare"]] = math.log(r["n"])
+    return codes, logs
+
+
+def _averaged(copies: DataFrame) -> list:
+    """The weighted mean of the copies of each block: first within groups of tasks, then of these."""
+
+    def sums(key, rows):
+        weight = rows.column("weight").to_numpy()
+        parts = np.array(rows.column("part").to_pylist(), dtype=np.float64)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "weight": [weight.sum()], "part": pa.array([((weight / weight.sum()) @ parts).tolist()], pa.list_(pa.float64()))})
+
+    shape = "block int, weight double, part array<double>"
+    some = copies.groupBy("block", "task").applyInArrow(sums, shape)
+    return some.groupBy("block").applyInArrow(sums, shape).select("block", "part").collect()
+
+
+def train(docs: DataFrame, rounds: int = 2, rate: float = 0.1, block: int = 4096, tasks: int = 64) -> Model:
+    """The vocabulary, the counts beyond it and the parameters."""
+    context = docs.sparkSession.sparkContext
     counted = written(count_words(docs))
-    vocabulary = [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(IDS - 1 - SPARE).collect()]
-    beyond = counted.count() - len(vocabulary)
-    flat = Network().flat
+    distinct = counted.count()
+    classes = classes_for(distinct)
+    room = classes * classes - 1 - spare_ids(classes)
+    frequent = written(counted.orderBy(F.desc("n"), "word").limit(room))
+    vocabulary = [bytes(r["word"]) for r in frequent.orderBy(F.desc("n"), "word").collect()]
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (distinct // 2).bit_length()))
+    model = Model(classes, vocabulary, *_rare_counts(counted.join(F.broadcast(frequent.select("word")), "word", "left_anti"), classes, slots))
+    model.flat = Network(classes).flat
     for k in range(rounds):
-        sent = spark.sparkContext.broadcast((vocabulary, flat))
-
-        def fit(batches):
-            vocabulary, flat = sent.value
-            words, net, rng, seen = Words(vocabulary), Network(flat.copy()), np.random.default_rng(11 + k), 0
-            for batch in batches:
-                row, places, _ = words.row(batch.column(0).to_pylist())
-                places = places[rng.random(len(places)) < SHARE_MASKED]
-                rng.shuffle(places)
-                seen += len(places)
-                for a in range(0, len(places), STEP):
-                    net.learn(row, places[a : a + STEP], rate)
+        sent = context.broadcast(model)
+
+        def fit(batches, k=k):
+            model = sent.value
+            words, net, rng, seen, hashed = Words(model), Network(model.classes, model.flat.copy()), np.random.default_rng(11), 0, 0
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    row, places, counts, _ = words.row(whole.column(0).slice(at, 1000).to_pylist())
+                    drawn = rng.random(len(places))
+                    places = places[(drawn >= k * SHARE_MASKED) & (drawn < (k + 1) * SHARE_MASKED)]
+                    rng.shuffle(places)
+                    seen += len(places)
+                    hashed = (hashed * 31 + int(counts.sum())) % (1 << 30)
+                    for a in range(0, len(places), STEP):
+                        net.learn(row, places[a : a + STEP], rate)
             if seen:
-                parts = [net.flat[a : a + block] for a in range(0, len(net.flat), block)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts), pa.float64()), pa.array([q.tolist() for q in parts], pa.list_(pa.float32()))],
-                    ["block", "weight", "part"],
-                )
-
-        mine = docs.select(binary_text(), F.pmod(F.xxhash64("text"), F.lit(rounds)).alias("_r")).where(F.col("_r") == k).select("text")
-        copies = mine.mapInArrow(fit, "block int, weight double, part array<float>")
-
-        def average(key, batch):
-            weight = batch.column("weight").to_numpy()
-            parts = np.array(batch.column("part").to_pylist(), dtype=np.float64)
-            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([((weight / weight.sum()) @ parts).tolist()], pa.list_(pa.float64()))})
+                parts = [net.flat[a : a + block].tolist() for a in range(0, len(net.flat), block)]
+                columns = [pa.array(range(len(parts)), pa.int32()), pa.array([hashed % tasks] * len(parts), pa.int32()), pa.array([float(seen)] * len(parts), pa.float64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.list_(pa.float32()))], ["block", "task", "weight", "part"])
 
-        averaged = copies.groupBy("block").applyInArrow(average, "block int, part array<double>").collect()
+        copies = docs.select(binary_text()).mapInArrow(tidy(fit), "block int, task int, weight double, part array<float>")
+        averaged = _averaged(copies)
         if averaged:
-            flat = np.concatenate([r["part"] for r in sorted(averaged, key=lambda r: r["block"])]).astype(np.float32)
-    return vocabulary, flat, -float(np.log(max(beyond / SPARE, 1.0)))
+            model.flat = np.concatenate([r["part"] for r in sorted(averaged, key=lambda r: r["block"])]).astype(np.float32)
+    return model
 
 
-def score_documents(docs: DataFrame, model: tuple[list[bytes], np.ndarray, float], key: str = "doc_id") -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """The key, ``n_tokens``, ``log_likelihood`` (the sum) and ``mean_log_likelihood``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())])
 
     def score(batches):
-        vocabulary, flat, among = sent.value
-        words, net = Words(vocabulary), Network(flat)
+        model = sent.value
+        words, net = Words(model), Network(model.classes, model.flat)
+        shares = np.concatenate([model.spare_logs, np.zeros(model.classes * model.classes - len(model.spare_logs))])
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 some = batch.slice(a, 256)
-                row, places, counts = words.row(some.column(1).to_pylist())
-                logs = np.concatenate([[0.0], np.cumsum(net.log_probabilities(row, places) + among * (row[places] <= SPARE))])
+                row, places, counts, codes = words.row(some.column(1).to_pylist())
+                # a word beyond the vocabulary: its own count over that of its shared id; words never counted count once
+                own = np.minimum(codes[places] * (math.log(2) / 16) - shares[row[places]], 0.0)
+                logs = np.concatenate([[0.0], np.cumsum(net.log_probabilities(row, places) + own)])
                 ends = np.cumsum(counts)
                 sums = logs[ends] - logs[ends - counts]
                 means = [s / n if n else None for s, n in zip(sums.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], schema.names)
 
-    return docs.select(key, binary_text()).mapInArrow(score, schema)
+    return docs.select(key, binary_text()).mapInArrow(tidy(score), schema)
