@@ -3,10 +3,12 @@
 A notice with ``k`` allowed edits is split into ``k + 1`` pieces; where it occurs with at most ``k`` edits, one piece
 occurs exactly (pigeonhole). Aho-Corasick finds all pieces in one pass; around each, the regex library's bounded-error
 matching verifies the notice and reports its span and edits. Text is compared as its words, lower-cased in A-Z and joined
-by one blank, so line breaks and punctuation do not count as edits.
+by one blank, so line breaks and punctuation do not count as edits. Names and identifiers of licenses are too short for
+edits and are found as whole words, exactly.
 
 Null and empty texts have no words: counts 0, null places, empty labels, score 0. Repeated rows are judged one by one; an
-empty table gives an empty table.
+empty table gives an empty table. Very long texts are searched whole. Only the key and ``text`` are read, so extra
+columns of any name do not matter.
 """
 
 from __future__ import annotations
@@ -42,6 +44,16 @@ NOTICES = (
     ("reserved", "all rights reserved no part of this publication may be reproduced"),
     ("unlicense", "free and unencumbered software released into the public domain"),
 )
+#: Label and words of names and identifiers; no edits.
+NAMES = (
+    ("apache", "apache license"), ("bsd", "bsd license"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("cc0", "cc0 1 0"),
+    ("isc", "isc license"), ("mit", "mit license"), ("mpl", "mozilla public license"), ("unlicense", "the unlicense"),
+) + tuple(
+    (label, f"spdx license identifier {words}") for label, words in (
+        ("agpl", "agpl 3 0"), ("apache", "apache 2 0"), ("cc-by", "cc by 4 0"), ("cc-by-sa", "cc by sa 4 0"), ("gpl", "gpl 2 0"),
+        ("gpl", "gpl 3 0"), ("isc", "isc"), ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"), ("mit", "mit"), ("mpl", "mpl 2 0"), ("unlicense", "unlicense"),
+    )
+)
 #: One edit for so many letters.
 LETTERS_PER_EDIT = 14
 
@@ -49,8 +61,9 @@ HIT = "struct<label:string,first_word:int,last_word:int,begin:int,stop:int,edits
 
 
 class Notices:
-    def __init__(self, notices=NOTICES, per_edit: int = LETTERS_PER_EDIT):
+    def __init__(self, notices=NOTICES, names=NAMES, per_edit: int = LETTERS_PER_EDIT):
         self.notices = [(label, text, max(1, len(text) // per_edit)) for label, text in notices]
+        self.notices += [(label, f" {text} ", 0) for label, text in names]
         self.patterns = [regex.compile(f"(?e)(?:{regex.escape(t, special_only=True)}){{e<={k}}}") for _, t, k in self.notices]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, k) in enumerate(self.notices):
@@ -78,6 +91,10 @@ class Notices:
                     held.append([a, b])
         out = []
         for n, held in windows.items():
+            if not self.notices[n][2]:  # a whole piece is the occurrence
+                size = len(self.notices[n][1])
+                out += [(n, a, a + size, 0) for a0, b in held for a in range(a0, b - size + 1) if norm.startswith(self.notices[n][1], a)]
+                continue
             for a, b in held:
                 out += [(n, m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.patterns[n].finditer(norm, a, b)]
         return out
