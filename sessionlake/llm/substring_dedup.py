@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, binary_text, bloom, hex_sha256, in_bloom, written
+from .common import WordHashes, binary_text, bloom, hex_sha256, in_bloom, tidy, written
 
-GRAM, HOT = 10, 4096
+GRAM, HOT, SALTS = 10, 4096, 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,7 +140,7 @@ def shared_anchors(docs: DataFrame, key: str, window: int) -> DataFrame:
             flat = np.concatenate(anchors) if anchors else np.array([], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(keys, pa.int64())], ["anchor", "k"])
 
-    found = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), binary_text()).mapInArrow(run, "anchor long, k long")
+    found = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), binary_text()).mapInArrow(tidy(run), "anchor long, k long")
     return found.groupBy("anchor").agg(F.min("k").alias("x"), F.max("k").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("anchor", "n")
 
 
@@ -170,7 +170,7 @@ def stretches(docs: DataFrame, key: str, window: int, filter_bits: np.ndarray) -
                 [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["anchor", "k", "row", "first", "words"]
             )
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), _row(), binary_text()).mapInArrow(run, STRETCH)
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), _row(), binary_text()).mapInArrow(tidy(run), STRETCH)
 
 
 def _row():
@@ -225,7 +225,7 @@ def _shard_spans(rows: DataFrame, window: int) -> DataFrame:
                     out = []
         yield told()
 
-    return dealt.mapInArrow(run, SPANS)
+    return dealt.mapInArrow(tidy(run), SPANS)
 
 
 def _hot_spans(rows: DataFrame, window: int) -> DataFrame:
@@ -242,9 +242,10 @@ def _hot_spans(rows: DataFrame, window: int) -> DataFrame:
                         out.append((h >> 65, h & (1 << 63) - 1, k, row, first + i))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], ["h", "g", "k", "row", "at"])
 
-    windows = rows.mapInArrow(run, "h long, g long, k long, row long, at long")
-    least = windows.groupBy("h", "g").agg(F.min("k").alias("m"))
-    return windows.join(least, ["h", "g"]).where("m < k").select("k", "row", F.col("at").alias("begin"), (F.col("at") + window).alias("after"))
+    # a window of very many documents is dealt to SALTS tasks, each of which gets the smallest key of all
+    windows = written(rows.mapInArrow(run, "h long, g long, k long, row long, at long").withColumn("salt", F.pmod(F.xxhash64("k", "at"), F.lit(SALTS)).cast("int")))
+    least = windows.groupBy("h", "g").agg(F.min("k").alias("m"), F.max("k").alias("x")).where("m < x").select("h", "g", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return windows.join(least, ["h", "g", "salt"]).where("m < k").select("k", "row", F.col("at").alias("begin"), (F.col("at") + window).alias("after"))
 
 
 def removed_spans(docs: DataFrame, key: str = "doc_id", window: int = 50) -> DataFrame:
