@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -51,9 +52,20 @@ def test_urls(spark, none):
     rows = [(1, "http://A.Example.com/en/7x?q"), (2, "https://b.net/de/1"), (3, None), (4, "nothing"), (5, "http://x.org/casino"), (6, "http://x.io/free-bonus#a"), (7, "http://x.io/freebonus"), (8, "http://www.example.net/de/8")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame([(a, b, "x") for a, b in rows], "page_id long, url string, terms string")).collect()}
     assert got[1] == ("a.example.com", "/en/7x", "example.com/en/7", "allow") and got[2][2:] == ("net/de/", "allow") and got[3] == ("", "", None, "allow")
+    assert url_filter.judge_urls(none.withColumnRenamed("text", "url")).count() == 0
     assert got[4][:2] == ("", "") and [got[k][3] for k in (5, 6, 7, 8)] == ["block", "block", "allow", "block"]
 
 
+def test_urls_by_a_weighted_table(spark):
+    terms = spark.createDataFrame([("Bad", "strict", None), ("odd", "soft", 0.5), ("odder", "soft", 1.5), ("plain", "soft", None), (None, "soft", 1.0), ("", "strict", 1.0)], "term string, kind string, weight double")
+    words = url_filter.Vocabulary.from_table(terms)
+    urls = ["http://a/bad", "http://a/badly", "http://a/odd-odder", "http://a/odd.plain", "http://a/plain-plain", None, "x" * 100000 + "-bad"]
+    got = {r["page_id"]: (r["verdict"], r["score"]) for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), vocabulary=words).collect()}
+    assert [got[k] for k in range(7)] == [("block", 1.0), ("allow", 0.0), ("block", 1.0), ("allow", 0.75), ("allow", 0.5), ("allow", 0.0), ("block", 1.0)]
+    empty = url_filter.Vocabulary.from_table(terms.limit(0))
+    assert url_filter.judge_urls(spark.createDataFrame([(1, "http://a/bad")], "page_id long, url string"), vocabulary=empty).first()["verdict"] == "allow"
+
+
 def test_lm_scores_real_text_above_shuffled(spark, given, odd, none):
     model = masked_lm.train(given)
     mixed = [(i, " ".join(random.Random(i).sample(t.split(), len(t.split())))) for i, t in texts_of(given) if len(t.split()) > 50]
@@ -204,6 +216,35 @@ def test_licenses(odd, none, spark):
     assert license_scan.scan_licenses(near).first()["labels"] == "mit" and license_scan.scan_licenses(none).count() == 0
 
 
+def test_licenses_against_edit_distance():
+    """A notice is found exactly where some stretch of the text is within its edits (by the whole table of distances)."""
+    rng, notices = random.Random(7), license_scan.Notices()
+
+    def nearest(pattern, text):
+        row = [0] * (len(text) + 1)
+        for i, p in enumerate(pattern, 1):
+            last, row = row, [i] + [0] * len(text)
+            for j, c in enumerate(text, 1):
+                row[j] = min(last[j - 1] + (p != c), last[j] + 1, row[j - 1] + 1)
+        return min(row)
+
+    found = 0
+    for n, (label, notice, k) in enumerate(notices.notices):
+        for edits in range(k + 3):
+            letters = list(notice)
+            for _ in range(edits):
+                at = rng.randrange(1, len(letters) - 1)
+                letters[at : at + 1] = rng.choice([[], [rng.choice("abcxyz ")], [letters[at], "q"]])
+            text = " ".join(f" lorem {''.join(letters)} ipsum dolor ".split()).join("  ")
+            hits = {h[0]: h[3] for h in notices.search(text)}
+            least = nearest(notice, text)
+            assert (n in hits) == (least <= k) and (n not in hits or least <= hits[n] <= k), (notice, text)
+            found += n in hits
+    assert found > 60
+    told = [license_scan.scan(t.lower().replace("-", " ").replace(":", " ").replace(".", " ").encode().split(), notices)[3:] for t in ("MIT License", "SPDX-License-Identifier: Apache-2.0", "permit license x", "SPDX-License-Identifier: MPL-2.0")]
+    assert [[h[0] for h in t[1]] for t in told] == [["mit"], ["apache"], [], ["mpl"]]
+
+
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_substring_dedup(given, odd, none, hot, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
@@ -276,6 +317,18 @@ def test_added_kinds_and_context(spark):
 def test_sharding(given, odd, none):
     for docs in (odd, given):
         rows = sharding.interleave(docs, shards=40).collect()
+        told = [(r["source"], r["h"], r["doc_id"], r["text"] or "") for r in docs.selectExpr("source", "shiftrightunsigned(xxhash64(17, doc_id), 1) as h", "doc_id", "text").collect()]
+        of = Counter(r[0] for r in told)
+        ranked, seen = [], Counter()
+        for source, h, d, t in sorted(told, key=lambda r: (r[1], r[2], zlib.crc32(r[3].encode()))):
+            ranked.append(((2 * seen[source] + 1) / (2 * of[source]), "" if source is None else f"={source}", seen[source], d, source, t))
+            seen[source] += 1
+        want, used = Counter(), Counter()
+        for at, (_, _, _, d, source, t) in enumerate(sorted(ranked, key=lambda r: r[:3])):
+            shard = at * 40 // len(ranked)
+            want[(d, source, len(t.encode()) + 16, zlib.crc32(t.encode()), "rows", shard, used[shard])] += 1
+            used[shard] += 1
+        assert Counter(map(tuple, rows)) == want
         counts = Counter(r["shard"] for r in rows)
         assert len(rows) == docs.count() and max(counts.values()) - min(counts[k] for k in range(40)) <= 1
         slots = defaultdict(list)
