@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
@@ -49,14 +51,35 @@ def shared_folder(spark: SparkSession) -> str:
     return set_dir
 
 
-def written(df: DataFrame) -> DataFrame:
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables ``written`` inside are deleted at the end, but for those to be kept: what is left over must not read them."""
+    paths: list[str] = []
+    before = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """The rows written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
 
-    The files are left in ``<shared folder>/sessionlake/<application>`` for the application's life; shuffle files of the
-    rows' computation go as soon as they are written, and not only when the driver happens to collect its garbage.
+    Inside ``scratch`` the files go at its end unless they are to be kept; others are left in
+    ``<shared folder>/sessionlake/<application>`` for the application's life. Shuffle files of the rows' computation go as
+    soon as they are written, and not only when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sessionlake/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    held = _SCRATCH.get()
+    if held is not None and not keep:
+        held.append(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:

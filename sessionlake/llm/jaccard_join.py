@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WordHashes, binary_text, bloom, in_bloom, tidy, written
+from .common import LOWER, WordHashes, binary_text, bloom, in_bloom, scratch, tidy, written
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bound of the order's table of frequent shingles, and the count in one stretch of words that makes one frequent there.
@@ -47,7 +47,7 @@ FREQUENT, OFTEN, STRETCH = 1 << 17, 16, 2_000_000
 #: Parts of the hash range whose counts bound the overlap of two sets from above.
 PART_BITS = 8
 PARTS = 1 << PART_BITS
-#: Ids of candidates are broadcast up to so many (16 bytes each), else joined by a shuffle.
+#: Ids are broadcast up to so many (8 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -163,6 +163,15 @@ def _led(salted: DataFrame, heads: DataFrame, held: DataFrame, columns: list[str
     return leaders.unionByName(members).repartition("a", "s").sortWithinPartitions("a", "s", "role")
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """A written table of ids (8 bytes each), marked for broadcast up to BROADCAST_IDS of them."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _ids(salted: DataFrame) -> DataFrame:
+    return _few(written(salted.select(F.col("a").alias("id")).union(salted.select("b")).distinct()))
+
+
 def bounded(pairs: DataFrame, own: DataFrame, percent: int, together: int = 4096) -> DataFrame:
     """The pairs ``a, b`` with ``n_a, n_b, most``: an upper bound of the overlap, the sum of the smaller counts by part."""
     salted, heads = _salted(pairs, together)
@@ -179,7 +188,8 @@ def bounded(pairs: DataFrame, own: DataFrame, percent: int, together: int = 4096
                     out.append((a, b, size, n, min(size, n) if lead is None or counts is None else int(np.minimum(lead, counts).sum(dtype=np.int64))))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], ["a", "b", "n_a", "n_b", "most"])
 
-    return _led(salted, heads, own.select("id", "n", "parts"), ["n", "parts"]).mapInArrow(run, "a long, b long, n_a long, n_b long, most long")
+    counts = own.select("id", "n", "parts").join(_ids(salted), "id", "left_semi")
+    return _led(salted, heads, counts, ["n", "parts"]).mapInArrow(run, "a long, b long, n_a long, n_b long, most long")
 
 
 def _enough(overlap, percent: int):
@@ -192,10 +202,7 @@ def verify(docs: DataFrame, key: str, pairs: DataFrame, k: int, together: int =
     The text of ``a`` goes once to every ``together`` of its pairs, so a leader of many members is no single task.
     """
     salted, heads = _salted(pairs, together)
-    ids = written(salted.select(F.col("a").alias("id")).union(salted.select("b")).distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col(key).alias("id"), binary_text().alias("t")).join(ids, "id", "left_semi")
+    texts = docs.select(F.col(key).alias("id"), binary_text().alias("t")).join(_ids(salted), "id", "left_semi")
 
     def run(batches):
         hashes, lead, of = WordHashes(), np.array([], dtype=np.uint64), None
@@ -300,7 +307,7 @@ def near_links(docs: DataFrame, key: str, shingle: int = 5, percent: int = 80) -
     equal = written(alike.where("c > 1").select("sig", "rep"))  # sets of one document alone need no join
     members = sets.select("id", "n", "sig").join(equal, "sig", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     others = written(members.where("id <> rep").select("id"))
-    own = written(sets.where("n > 0").join(others, "id", "left_anti"))
+    own = sets.where("n > 0").join(_few(others), "id", "left_anti")
     entries = shared_entries(own)
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     held = written(entries.join(shared, "token", "left_semi"))
@@ -346,8 +353,9 @@ def _components_of(numbered: DataFrame, row: str, key: str, shingle: int, percen
 
 def near_components(docs: DataFrame, key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: the key, ``n_shingles, component_id`` (the smallest key that links or equal sets reach)."""
-    numbered, row = _numbered(docs.select(key, "text"))
-    found = written(_components_of(numbered, row, key, shingle, percent))
+    with scratch(docs.sparkSession):
+        numbered, row = _numbered(docs.select(key, "text"))
+        found = written(_components_of(numbered, row, key, shingle, percent), keep=True)
     several = found.groupBy("comp").agg(F.min("_key").alias("_least"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
     out = found.join(several, "comp", "left")
     return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("_least", "_key").alias("component_id"))
@@ -359,8 +367,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", shingle: int = 5, percent
     Of repeated rows one stays; rows of null keys come after all others in the order of keys.
     """
     numbered, row = _numbered(docs)
-    found = written(_components_of(numbered, row, key, shingle, percent))
-    order = F.struct(F.col("_key").isNull().alias("_none"), "_key", "_at")
-    first = found.groupBy("comp").agg(F.min(order)["_at"].alias("_at"))
-    gone = written(found.select("_at").join(first, "_at", "left_anti").withColumnRenamed("_at", row))
-    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    with scratch(docs.sparkSession):
+        found = written(_components_of(numbered, row, key, shingle, percent))
+        order = F.struct(F.col("_key").isNull().alias("_none"), "_key", "_at")
+        first = found.groupBy("comp").agg(F.min(order)["_at"].alias("_at"))
+        gone = written(found.select("_at").join(first, "_at", "left_anti").withColumnRenamed("_at", row), keep=True)
+    return numbered.join(_few(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, binary_text, tidy, written
+from .common import LOWER, binary_text, scratch, tidy, written
 
 GROWTH, LEAST_CLASSES, MOST_CLASSES, SPARE_SHARE = 2.4, 32, 512, 16
 LEAST_SLOTS, MOST_SLOTS, BLOCK_SLOTS = 1 << 16, 1 << 24, 1 << 16
@@ -261,9 +261,8 @@ def _averaged(copies: DataFrame) -> list:
     return some.groupBy("block").applyInArrow(sums, shape).select("block", "part").collect()
 
 
-def train(docs: DataFrame, rounds: int = 2, rate: float = 0.1, block: int = 4096, tasks: int = 64) -> Model:
-    """The vocabulary, the counts beyond it and the parameters."""
-    context = docs.sparkSession.sparkContext
+def _counted_model(docs: DataFrame) -> Model:
+    """All of the model that is counted and not trained."""
     counted = written(count_words(docs))
     distinct = counted.count()
     classes = classes_for(distinct)
@@ -271,8 +270,15 @@ def train(docs: DataFrame, rounds: int = 2, rate: float = 0.1, block: int = 4096
     frequent = written(counted.orderBy(F.desc("n"), "word").limit(room))
     vocabulary = [bytes(r["word"]) for r in frequent.orderBy(F.desc("n"), "word").collect()]
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (distinct // 2).bit_length()))
-    model = Model(classes, vocabulary, *_rare_counts(counted.join(F.broadcast(frequent.select("word")), "word", "left_anti"), classes, slots))
-    model.flat = Network(classes).flat
+    return Model(classes, vocabulary, *_rare_counts(counted.join(F.broadcast(frequent.select("word")), "word", "left_anti"), classes, slots))
+
+
+def train(docs: DataFrame, rounds: int = 2, rate: float = 0.1, block: int = 4096, tasks: int = 64) -> Model:
+    """The vocabulary, the counts beyond it and the parameters."""
+    context = docs.sparkSession.sparkContext
+    with scratch(docs.sparkSession):
+        model = _counted_model(docs)
+    model.flat = Network(model.classes).flat
     for k in range(rounds):
         sent = context.broadcast(model)
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_small, written
+from .common import broadcast_small, scratch, written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -165,6 +165,11 @@ def _under(own: DataFrame, above: DataFrame, rows_above: int) -> DataFrame:
 
 def _fit(rows: DataFrame, steps: int, min_rows: int) -> DataFrame:
     """The estimate of every pair of language and source: a small written table."""
+    with scratch(rows.sparkSession):
+        return written(_fitted(rows, steps, min_rows), keep=True)
+
+
+def _fitted(rows: DataFrame, steps: int, min_rows: int) -> DataFrame:
     pairs = written(rows.select("_lang", "_pair").distinct())
     levels = F.array("_pair", "_lang", F.lit(""))
     in_group = rows.select(F.explode(levels).alias("_g"), *X)
@@ -187,7 +192,7 @@ def _fit(rows: DataFrame, steps: int, min_rows: int) -> DataFrame:
     languages = moments.join(pairs.select(F.col("_lang").alias("_g"), F.lit("").alias("_up")).distinct(), "_g")
     languages = _under(languages, moments.where("_g = ''"), min_rows)
     own = moments.join(pairs.select(F.col("_pair").alias("_g"), F.col("_lang").alias("_up")), "_g")
-    return written(_estimate(_under(own, languages, min_rows)))
+    return _estimate(_under(own, languages, min_rows))
 
 
 def _judged(rows: DataFrame, estimate: DataFrame, cutoff: float) -> DataFrame:
