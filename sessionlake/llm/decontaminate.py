@@ -3,7 +3,7 @@
 Each task turns its documents into shards of words and builds a suffix array of each: the suffixes that can start a match
 (the next words are all in the benchmark, pair by pair) in the order of all words that follow, as far as an item is long,
 with the length of the common prefix of each and the one before. Every test suffix is binary-searched in that array; the
-common prefixes around the place found give every verbatim occurrence with its place and its length. Documents that hold
+common prefixes around the place found give every exact occurrence with its place and its length. Documents that hold
 one are removed. Documents never shuffle: the benchmark is cut in blocks of bounded size, of which as many as
 ``pass_bytes`` allows are broadcast and searched in one pass; with more, one pass follows the other, and only row numbers
 and places of hits are grouped.
