@@ -54,11 +54,14 @@ def _shared() -> Column:
     return F.least("end_l", "end_r") - F.greatest("start_l", "start_r")
 
 
-def overlap_ratio(spans: DataFrame, key: str, speaker: str) -> DataFrame:
-    """Time in which two speakers talk at once, summed over pairs, over the file's length; at most 1."""
+def overlap_ratio(spans: DataFrame, key: str, speaker: str, from_zero: bool = False) -> DataFrame:
+    """Time in which two speakers talk at once, summed over pairs, over the file's length; at most 1.
+
+    The length runs from the first start, or from zero, to the last end.
+    """
     pairs = overlap_join(spans, spans, key).where(F.col(f"{speaker}_l") < F.col(f"{speaker}_r"))
     shared = pairs.groupBy(key).agg(F.sum(_shared()).alias("overlap"))
-    length = spans.groupBy(key).agg((F.max("end") - F.min("start")).alias("length"))
+    length = spans.groupBy(key).agg((F.max("end") - (F.lit(0) if from_zero else F.min("start"))).alias("length"))
     ratio = F.when(F.col("length") > 0, F.least(F.lit(1.0), F.col("overlap") / F.col("length"))).otherwise(0.0)
     return length.join(shared, key, "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long"))).select(key, "overlap", ratio.alias("ratio"))
 
@@ -72,11 +75,23 @@ def coverage(segments: DataFrame, speech: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "id", F.when(F.col("_any").isNull(), 1.0).otherwise(share).alias("coverage"))
 
 
+def _centred(points: DataFrame, spans: DataFrame, key: str, *more: str) -> DataFrame:
+    centre = F.expr("(start + end) div 2")
+    at = points.select(key, "id", centre.alias("start"), *more).withColumn("end", F.col("start"))
+    return overlap_join(at, spans, key, closed=True)
+
+
+def texts_in(points: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
+    """For each span, the points whose centre lies in it: their number, and their trimmed texts joined in order of ids."""
+    found = _centred(points.withColumnRenamed(text, "_text"), spans.drop(text), key, "_text")
+    column = "_text_l" if "_text_l" in found.columns else "_text"
+    pieces = F.array_sort(F.collect_list(F.struct(F.col("id_l").alias("o"), F.trim(column).alias("t"))))
+    return found.groupBy(F.col("id_r").alias("id")).agg(F.count(F.lit(1)).alias("n_points"), F.array_join(F.transform(pieces, lambda p: p["t"]), " ").alias("heard"))
+
+
 def centres_in(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """For each span, the points whose centre lies in it, both ends included: their number and their ids in order."""
-    centre = F.expr("(start + end) div 2")
-    at = points.select(key, "id", centre.alias("start")).withColumn("end", F.col("start"))
-    found = overlap_join(at, spans, key, closed=True)
+    found = _centred(points, spans, key)
     return found.groupBy(F.col("id_r").alias("id")).agg(F.count(F.lit(1)).alias("n_points"), F.array_join(F.transform(F.array_sort(F.collect_list("id_l")), lambda x: x.cast("string")), " ").alias("points"))
 
 

@@ -1,19 +1,23 @@
 """Vector operators: nearest centroid, assignment, flips, similar pairs, rings and running centroids.
 
-Vectors are ``array<float>``; arithmetic is in double. A library of centroids is one row per ``name``. It is gathered
-into one array of at most MAX_LIBRARY vectors that goes to every task; a larger library is an error, not a slow job.
+Vectors are ``array<float>``; arithmetic is in double. A library of centroids is one row per ``name``. Vectors are scored
+against it in blocks of at most BLOCK_BYTES, broadcast one after the other, each a matrix product for a batch of vectors;
+the best so far goes from block to block beside the vector, so nothing shuffles and no library is too large.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-MAX_LIBRARY = 100_000
+BLOCK_BYTES = 32 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,53 +35,104 @@ def mean_vectors(vectors: DataFrame, by: str, vec: str) -> DataFrame:
     return each.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("centroid"))
 
 
-def with_scores(vectors: DataFrame, library: DataFrame, name: str, vec: str) -> DataFrame:
-    """Adds ``scores``: ``array<struct<name, score>>`` against every centroid of the library."""
-    if library.count() > MAX_LIBRARY:
-        raise ValueError(f"a library holds at most {MAX_LIBRARY} centroids")
-    whole = library.agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), F.col("centroid").alias("c")))).alias("_lib"))
-    rows = vectors.join(F.broadcast(whole))  # one row
-    return rows.withColumn("scores", F.transform("_lib", lambda e: F.struct(e["name"].alias("name"), cosine(F.col(vec), e["c"]).alias("score")))).drop("_lib")
-
-
-def best_of(scores: Column) -> Column:
-    """The largest score; of equal ones the first name."""
-    return F.array_min(F.transform(scores, lambda s: F.struct((-s["score"]).alias("m"), s["name"].alias("name"))))
+def _blocks(library: DataFrame, name: str) -> Iterator[tuple[list, np.ndarray]]:
+    """Names in order and their unit vectors, a block at a time."""
+    names, vectors, size = [], [], 0
+    for r in library.select(F.col(name).alias("n"), "centroid").where("n is not null and centroid is not null").orderBy("n").toLocalIterator():
+        names.append(r["n"])
+        vectors.append(r["centroid"])
+        size += 8 * len(r["centroid"])
+        if size >= BLOCK_BYTES:
+            yield names, _unit(vectors)
+            names, vectors, size = [], [], 0
+    if names:
+        yield names, _unit(vectors)
+
+
+def _unit(rows: list) -> np.ndarray:
+    v = np.array(rows, dtype=np.float64)
+    return v / (np.sqrt((v * v).sum(axis=1)) + 1e-9)[:, None]
+
+
+def best_scores(vectors: DataFrame, library: DataFrame, name: str, vec: str, own: str | None = None) -> DataFrame:
+    """Adds ``best`` and ``best_score``, of equal scores the first name; with ``own``, the best of the others and
+    ``own_score``. Null vectors and an empty library give nulls."""
+    kind = library.schema[name].dataType
+    empty = {"best": F.lit(None).cast(kind), "best_score": F.lit(None).cast("double")} | ({"own_score": F.lit(None).cast("double")} if own else {})
+    rows = vectors.withColumns(empty)
+    arrow = to_arrow_type(kind)
+    for names, matrix in _blocks(library, name):
+        sent = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+        columns, schema = rows.columns, rows.schema
+        at, mine = columns.index(vec), columns.index(own) if own else None
+        to = {c: columns.index(c) for c in empty}
+
+        def run(batches, sent=sent, columns=columns, at=at, mine=mine, to=to):
+            names, matrix = sent.value
+            place = {n: k for k, n in enumerate(names)}
+            for whole in batches:
+                for first in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(first, 1024)
+                    out = {c: batch.column(k).to_pylist() for c, k in to.items()}
+                    there = [k for k, v in enumerate(batch.column(at).is_valid().to_pylist()) if v]
+                    scores = _unit([batch.column(at)[k].as_py() for k in there]) @ matrix.T if there else np.zeros((0, len(names)))
+                    if mine is not None:
+                        for row, k in enumerate(there):
+                            j = place.get(batch.column(mine)[k].as_py())
+                            if j is not None:
+                                out["own_score"][k] = float(scores[row, j])
+                                scores[row, j] = -np.inf
+                    for row, k in enumerate(there):
+                        j = int(scores[row].argmax())
+                        s = float(scores[row, j])
+                        if s > -np.inf and (out["best_score"][k] is None or s > out["best_score"][k]):
+                            out["best"][k], out["best_score"][k] = names[j], s
+                    made = {c: pa.array(v, arrow if c == "best" else pa.float64()) for c, v in out.items()}
+                    yield pa.RecordBatch.from_arrays([made.get(c, batch.column(k)) for k, c in enumerate(columns)], columns)
+
+        rows = rows.mapInArrow(run, schema)
+    return rows
 
 
 def nearest_centroid(vectors: DataFrame, library: DataFrame, name: str, vec: str) -> DataFrame:
     """Adds ``best`` and ``best_score``; an empty library gives null and -1."""
-    rows = with_scores(vectors, library, name, vec).withColumn("_best", best_of(F.col("scores"))).drop("scores")
-    return rows.withColumn("best", F.col("_best.name")).withColumn("best_score", F.coalesce(-F.col("_best.m"), F.lit(-1.0))).drop("_best")
+    return best_scores(vectors, library, name, vec).withColumn("best_score", F.coalesce("best_score", F.lit(-1.0)))
 
 
 def flips(vectors: DataFrame, library: DataFrame, own: str, name: str, vec: str, margin: float) -> DataFrame:
     """Vectors that another centroid fits better than their own by more than the margin: adds ``other`` and ``flip``."""
-    rows = with_scores(vectors, library, name, vec)
-    others = best_of(F.filter("scores", lambda s: s["name"] != F.col(own)))
-    mine = F.get(F.filter("scores", lambda s: s["name"] == F.col(own)), F.lit(0))["score"]
-    rows = rows.withColumn("_o", others).withColumn("_mine", mine).drop("scores")
-    return rows.withColumn("other", F.col("_o.name")).withColumn("flip", F.coalesce(-F.col("_o.m") - F.col("_mine") > margin, F.lit(False))).drop("_o", "_mine")
+    rows = best_scores(vectors, library, name, vec, own).withColumnRenamed("best", "other")
+    return rows.withColumn("flip", F.coalesce(F.col("best_score") - F.col("own_score") > margin, F.lit(False))).drop("best_score", "own_score")
+
+
+def _scores_of_few(vectors: DataFrame, library: DataFrame, name: str, vec: str) -> DataFrame:
+    """Adds ``scores``: ``array<struct<name, score>>`` against a library of a few names."""
+    whole = library.agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), F.col("centroid").alias("c")))).alias("_lib"))
+    rows = vectors.join(F.broadcast(whole))  # one row
+    return rows.withColumn("scores", F.transform("_lib", lambda e: F.struct(e["name"].alias("name"), cosine(F.col(vec), e["c"]).alias("score")))).drop("_lib")
 
 
 def assign_two(clusters: DataFrame, library: DataFrame, group: str, slot: str, first, second, name: str, vec: str) -> DataFrame:
     """Of two clusters (slots 0 and 1) and two roles, the pairing with the larger sum of scores; the straight one on ties."""
-    rows = with_scores(clusters, library.where(F.col(name).isin(first, second)), name, vec)
+    rows = _scores_of_few(clusters, library.where(F.col(name).isin(first, second)), name, vec)
     score = lambda k, who: F.max(F.when(F.col(slot) == k, F.coalesce(F.get(F.filter("scores", lambda s: s["name"] == who), F.lit(0))["score"], F.lit(-1.0))))
     sums = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), (score(0, first) + score(1, second)).alias("straight"), (score(1, first) + score(0, second)).alias("crossed"))
     return sums.where("n = 2").select(group, (F.col("straight") >= F.col("crossed")).alias("is_straight"))
 
 
 def similar_pairs(vectors: DataFrame, key: str, vec: str, above: float, block: int = 512) -> DataFrame:
-    """Pairs ``a < b`` with a cosine above the threshold: blocks of vectors meet, each pair of blocks is one product."""
+    """Pairs ``a < b`` with a cosine above the threshold: blocks of vectors meet, each pair of blocks is one product.
+
+    Each block is sent once to every block from itself on, by an equi-join on the block's number; none is broadcast.
+    """
     blocks = max(1, -(-vectors.count() // block))
     packed = vectors.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v"))).alias("rows"))
-    one, two = (packed.select(F.col("_b").alias(f"b{x}"), F.col("rows").alias(f"rows{x}")) for x in "12")
-    meet = one.join(two, F.col("b1") <= F.col("b2")).repartition("b1", "b2").select("b1", "b2", "rows1", "rows2")
+    one = packed.select(F.col("_b").alias("b1"), F.col("rows").alias("rows1"), F.explode(F.sequence("_b", F.lit(blocks - 1).cast("long"))).alias("b2"))
+    two = packed.select(F.col("_b").alias("b2"), F.col("rows").alias("rows2")).hint("shuffle_merge")
+    meet = one.join(two, "b2").select("b1", "b2", "rows1", "rows2")
 
     def matrix(rows):
-        v = np.array([r["v"] for r in rows], dtype=np.float64)
-        return np.array([r["k"] for r in rows]), v / (np.sqrt((v * v).sum(axis=1)) + 1e-9)[:, None]
+        return np.array([r["k"] for r in rows]), _unit([r["v"] for r in rows])
 
     def run(batches):
         for batch in batches:

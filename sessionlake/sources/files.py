@@ -42,12 +42,12 @@ def media_listing(spark: SparkSession, folder: str) -> DataFrame:
     return _or_empty(read, spark, LISTING)
 
 
-def scan(listing: DataFrame, transcripts: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def scan(listing: DataFrame, transcripts: DataFrame, overrides: DataFrame | None = None, teacher_if_short: str | None = None) -> DataFrame:
     """The listing with ``meta`` (from the name, or an override by name), ``file_id``, ``parse_ok, needs_processing``.
 
     A name that does not parse needs processing; the others do where ``transcripts`` lacks their ``file_id``.
     """
-    meta = text.parse_name(F.regexp_replace("name", r"\.[^.]*$", ""))
+    meta = text.parse_name(F.regexp_replace("name", r"\.[^.]*$", ""), teacher_if_short)
     rows = listing
     if overrides is not None:
         rows = rows.join(overrides.select("name", F.col("meta").alias("_own")), "name", "left")
@@ -99,3 +99,42 @@ def events(lines: DataFrame, schema: str, shown: int = 200) -> DataFrame:
     rows = lines.select("value", parsed.alias("event"))
     fails = F.col("event").isNull() | F.col(f"event.{CORRUPT}").isNotNull()
     return rows.select(F.when(~fails, F.col("event").dropFields(CORRUPT)).alias("event"), F.when(fails, F.substring("value", 1, shown)).alias("error"))
+
+
+def folders_with(listing: DataFrame, names: list[str]) -> DataFrame:
+    """``folder`` and the path of each name (a struct by name) of the folders that hold files of all these names."""
+    folder = F.regexp_extract("path", r"^(.*)[\\/][^\\/]+$", 1)
+    rows = listing.where(F.col("name").isin(names)).select(folder.alias("folder"), "name", "path")
+    found = rows.groupBy("folder").agg(*[F.min(F.when(F.col("name") == n, F.col("path"))).alias(n) for n in names])
+    whole = F.lit(True)
+    for n in names:
+        whole = whole & F.col(f"`{n}`").isNotNull()
+    return found.where(whole).select("folder", F.struct(*[F.col(f"`{n}`") for n in names]).alias("paths"))
+
+
+def lessons(spark: SparkSession, folder: str, audio: str = "audio.wav", truth: str = "ground_truth.json") -> DataFrame:
+    """``folder, paths`` of the lessons below a folder: those that hold both the audio and its ground truth."""
+
+    def read():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        return folders_with(files.select("path", F.regexp_extract("path", r"[^\\/]+$", 0).alias("name")), [audio, truth])
+
+    return _or_empty(read, spark, f"folder string, paths struct<`{audio}`:string,`{truth}`:string>")
+
+
+def region_labels(whole: DataFrame, by_lesson: DataFrame) -> DataFrame:
+    """``file, start, end, label``: the aggregate's rows; of files that it lacks, those of the lessons.
+
+    A lesson's rows may name no file; they belong to the lesson's folder (``folder``).
+    """
+    own = by_lesson.select(F.coalesce("file", F.regexp_extract("folder", r"[^\\/]+$", 0)).alias("file"), "start", "end", "label")
+    return whole.select("file", "start", "end", "label").unionByName(own.join(whole.select("file").distinct(), "file", "left_anti"))
+
+
+def checked(listing: DataFrame, seen: DataFrame) -> DataFrame:
+    """The listing with ``is_fresh``: size and time are those seen (``path, size_bytes, modified, sha256``) and, where a
+    digest was seen, the content's is the same (``content``, read only for these)."""
+    before = seen.select("path", *[F.col(c).alias(f"_{c}") for c in ("size_bytes", "modified", "sha256")])
+    same = (F.col("size_bytes") == F.col("_size_bytes")) & (F.col("modified") == F.col("_modified"))
+    digest = F.when(F.col("_sha256").isNull(), True).otherwise(F.sha2("content", 256) == F.col("_sha256"))
+    return listing.join(before, "path", "left").withColumn("is_fresh", F.coalesce(same & digest, F.lit(False))).drop("_size_bytes", "_modified", "_sha256", "content")

