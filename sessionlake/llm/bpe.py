@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import binary_text, tidy
+from .common import binary_text, lean, tidy
 
 
 NEVER = 1 << 30
@@ -322,7 +322,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", with_ids:
         finally:
             encoder.t.forget()
 
-    return docs.select(key, binary_text()).mapInArrow(tidy(encode), T.StructType(fields))
+    return lean(docs).select(key, binary_text()).mapInArrow(tidy(encode), T.StructType(fields))
 
 
 def decode_ids(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

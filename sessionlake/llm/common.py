@@ -83,7 +83,7 @@ def written(df: DataFrame, keep: bool = False) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -135,6 +135,18 @@ class WordHashes(dict):
         return value
 
 
+BATCH_ROWS, ARROW_ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lean(docs: DataFrame) -> DataFrame:
+    """The documents, with the session set to hand at most BATCH_ROWS rows at a time to Python: texts are long, and the
+    buffers of a batch stand both in the JVM and in its worker."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(ARROW_ROWS)) <= BATCH_ROWS:
+        conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    return docs
+
+
 def binary_text(column: str = "text"):
     """The text as UTF-8 bytes; null stays null."""
     return F.col(column).cast("string").cast("binary")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import FOLD, alnum_words, binary_text, tidy, written
+from .common import FOLD, alnum_words, binary_text, lean, tidy, written
 
 HITS = "n_words long, hits array<struct<first:int,after:int>>, matches array<struct<item_id:string,item_word:int,doc_word:int,n_words:int>>"
 BREAK = b"|"  # never a word
@@ -243,7 +243,7 @@ def _united(done, x):
 
 def find_matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", item: str = "item_id", window: int = 10, block_bytes: int = 4 << 20, pass_bytes: int = 32 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: the key, ``n_words``, ``hits`` (word ranges, disjoint) and ``matches`` (longest ones)."""
-    rows, passes = docs.select(F.col(key), binary_text().alias("_t")), passes_of(bench, item, window, block_bytes, pass_bytes)
+    rows, passes = lean(docs).select(F.col(key), binary_text().alias("_t")), passes_of(bench, item, window, block_bytes, pass_bytes)
     first, second = next(passes), next(passes, None)
     if second is None:
         return _searched(rows, first, shard_bytes)
@@ -282,6 +282,6 @@ def decontaminated(docs: DataFrame, bench: DataFrame, item: str = "item_id", win
     names = [F.col(f"`{c}`") for c in docs.columns]
     for k, blocks in enumerate(passes_of(bench, item, window, block_bytes, pass_bytes)):
         docs = written(docs) if k else docs
-        found = _searched(docs.select(F.struct(*names).alias("_doc"), binary_text().alias("_t")), blocks, shard_bytes)
+        found = _searched(lean(docs).select(F.struct(*names).alias("_doc"), binary_text().alias("_t")), blocks, shard_bytes)
         docs = found.where(F.size("hits") == 0).select("_doc.*")
     return docs

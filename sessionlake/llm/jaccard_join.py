@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WordHashes, binary_text, bloom, in_bloom, scratch, tidy, written
+from .common import LOWER, WordHashes, binary_text, bloom, in_bloom, lean, scratch, tidy, written
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bound of the order's table of frequent shingles, and the count in one stretch of words that makes one frequent there.
-FREQUENT, OFTEN, STRETCH = 1 << 17, 16, 2_000_000
+FREQUENT, OFTEN, STRETCH = 1 << 17, 16, 1_000_000
 #: Parts of the hash range whose counts bound the overlap of two sets from above.
 PART_BITS = 8
 PARTS = 1 << PART_BITS
@@ -89,7 +89,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                     n = 0
         yield told()
 
-    counted = docs.select(binary_text()).mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = lean(docs).select(binary_text()).mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     tokens = top.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
@@ -119,12 +119,12 @@ def sets_of(docs: DataFrame, key: str, k: int, percent: int) -> DataFrame:
                 if len(s) and len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     s = s[np.argsort(np.where(tokens[at] == s, counts[at], 0), kind="stable")]
-                prefixes.append(s[: prefix_length(len(s), percent)].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.binary())], schema.names
-            )
+                prefixes.append(s[: prefix_length(len(s), percent)].view(np.int64))
+            offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes) if prefixes else np.array([], dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(parts, pa.binary())], schema.names)
 
-    return docs.select(key, binary_text()).mapInArrow(tidy(run), schema)
+    return lean(docs).select(key, binary_text()).mapInArrow(tidy(run), schema)
 
 
 def shared_entries(own: DataFrame) -> DataFrame:

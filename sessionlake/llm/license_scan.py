@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import alnum_words, binary_text
+from .common import alnum_words, binary_text, lean
 
 #: Phrases that count wherever their words stand together, with their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -157,4 +157,4 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", with_hits: bool = True)
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types[: len(fields) - 1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [f.name for f in fields])
 
-    return docs.select(key, binary_text()).mapInArrow(run, T.StructType(fields))
+    return lean(docs).select(key, binary_text()).mapInArrow(run, T.StructType(fields))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, binary_text, scratch, tidy, written
+from .common import LOWER, binary_text, lean, scratch, tidy, written
 
 GROWTH, LEAST_CLASSES, MOST_CLASSES, SPARE_SHARE = 2.4, 32, 512, 16
 LEAST_SLOTS, MOST_SLOTS, BLOCK_SLOTS = 1 << 16, 1 << 24, 1 << 16
@@ -219,7 +219,7 @@ def count_words(docs: DataFrame, held: int = 200_000) -> DataFrame:
                     seen.clear()
         yield told()
 
-    return docs.select(binary_text()).mapInArrow(tidy(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return lean(docs).select(binary_text()).mapInArrow(tidy(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _rare_counts(rare: DataFrame, classes: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +300,7 @@ def train(docs: DataFrame, rounds: int = 2, rate: float = 0.1, block: int = 4096
                 columns = [pa.array(range(len(parts)), pa.int32()), pa.array([hashed % tasks] * len(parts), pa.int32()), pa.array([float(seen)] * len(parts), pa.float64())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.list_(pa.float32()))], ["block", "task", "weight", "part"])
 
-        copies = docs.select(binary_text()).mapInArrow(tidy(fit), "block int, task int, weight double, part array<float>")
+        copies = lean(docs).select(binary_text()).mapInArrow(tidy(fit), "block int, task int, weight double, part array<float>")
         averaged = _averaged(copies)
         if averaged:
             model.flat = np.concatenate([r["part"] for r in sorted(averaged, key=lambda r: r["block"])]).astype(np.float32)
@@ -328,4 +328,4 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id") -> DataF
                 means = [s / n if n else None for s, n in zip(sums.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], schema.names)
 
-    return docs.select(key, binary_text()).mapInArrow(tidy(score), schema)
+    return lean(docs).select(key, binary_text()).mapInArrow(tidy(score), schema)

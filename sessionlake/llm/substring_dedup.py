@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, binary_text, bloom, hex_sha256, in_bloom, tidy, written
+from .common import WordHashes, binary_text, bloom, hex_sha256, in_bloom, lean, tidy, written
 
 GRAM, HOT, SALTS = 10, 4096, 16
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -140,7 +140,7 @@ def shared_anchors(docs: DataFrame, key: str, window: int) -> DataFrame:
             flat = np.concatenate(anchors) if anchors else np.array([], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(keys, pa.int64())], ["anchor", "k"])
 
-    found = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), binary_text()).mapInArrow(tidy(run), "anchor long, k long")
+    found = lean(docs).where(F.col(key).isNotNull()).select(F.col(key).cast("long"), binary_text()).mapInArrow(tidy(run), "anchor long, k long")
     return found.groupBy("anchor").agg(F.min("k").alias("x"), F.max("k").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("anchor", "n")
 
 
@@ -170,7 +170,7 @@ def stretches(docs: DataFrame, key: str, window: int, filter_bits: np.ndarray) -
                 [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["anchor", "k", "row", "first", "words"]
             )
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), _row(), binary_text()).mapInArrow(tidy(run), STRETCH)
+    return lean(docs).where(F.col(key).isNotNull()).select(F.col(key).cast("long"), _row(), binary_text()).mapInArrow(tidy(run), STRETCH)
 
 
 def _row():
