@@ -43,7 +43,7 @@ from .common import LOWER, WordHashes, binary_text, bloom, in_bloom, lean, scrat
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bound of the order's table of frequent shingles, and the count in one stretch of words that makes one frequent there.
-FREQUENT, OFTEN, STRETCH = 1 << 17, 16, 1_000_000
+FREQUENT, OFTEN, STRETCH = 1 << 19, 3, 2_000_000
 #: Parts of the hash range whose counts bound the overlap of two sets from above.
 PART_BITS = 8
 PARTS = 1 << PART_BITS
@@ -73,7 +73,9 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         hashes, held, n = WordHashes(), [], 0
 
         def told():
-            every = np.sort(np.concatenate(held)) if held else np.array([], dtype=np.uint64)
+            every = np.concatenate(held) if held else np.array([], dtype=np.uint64)
+            held.clear()
+            every.sort()
             first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.array([], dtype=np.int64)
             counts = np.diff(np.append(first, len(every)))
             often = counts >= OFTEN
@@ -85,7 +87,6 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 n += len(held[-1])
                 if n > STRETCH:
                     yield told()
-                    held.clear()
                     n = 0
         yield told()
 
