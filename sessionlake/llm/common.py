@@ -89,11 +89,6 @@ def written(df: DataFrame, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """Marks a written table of numbers for broadcast if it has at most so many rows; larger ones are joined by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def tidy(run):
     """A task's function over batches, after which the worker gives back what it held: idle Python workers stay small."""
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_small, scratch, written
+from .common import scratch, written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -36,7 +36,9 @@ CUTOFF = 50.0
 FLOOR = {"x0": 0.25, "x1": 0.04, "x2": 0.12, "x3": 0.12}
 X = tuple(FLOOR)
 #: Determinants that change by less, as logarithms, have settled.
-SETTLED = 1e-4
+SETTLED = 1e-3
+#: Pairs of language and source up to which their tables (at most nine rows of some numbers for each) are broadcast.
+MOST_SENT = 10_000
 
 
 def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -99,9 +101,14 @@ def _estimate(moments: DataFrame) -> DataFrame:
     return out.select("_g", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)], det.alias("_det"))
 
 
-def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """Adds ``_d2``, the squared distance from the estimate (a written table) of the row's group ``_g``."""
-    out = rows.join(broadcast_small(estimate.drop("_det")), "_g", "left")
+def _same(table: DataFrame) -> DataFrame:
+    return table
+
+
+def _distance(rows: DataFrame, estimate: DataFrame, sent=_same) -> DataFrame:
+    """Adds ``_d2``, the squared distance from the estimate of the row's group ``_g``. ``sent`` marks tables of a row for
+    each group, for broadcast where the groups are few."""
+    out = rows.join(sent(estimate.drop("_det")), "_g", "left")
     total = F.lit(0.0)
     for i in range(len(X)):
         y = F.col(X[i]) - F.col(f"m{i}")
@@ -118,24 +125,24 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), *means, *[F.avg(F.col(X[i]) * F.col(X[j])).alias(f"m{i}_{j}") for i in d for j in range(i + 1)])
 
 
-def _medians(rows: DataFrame) -> DataFrame:
+def _medians(rows: DataFrame, sent) -> DataFrame:
     """An estimate of each group from medians and MADs alone."""
     d = range(len(X))
     middle = written(rows.groupBy("_g").agg(*[F.percentile_approx(X[i], 0.5, 1000).alias(f"m{i}") for i in d]))
-    off = rows.join(broadcast_small(middle), "_g").groupBy("_g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[F.percentile_approx(F.abs(F.col(X[i]) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in d])
+    off = rows.join(sent(middle), "_g").groupBy("_g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[F.percentile_approx(F.abs(F.col(X[i]) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in d])
     factor = {f"l{i}{j}": F.sqrt((F.col(f"a{i}") * 1.4826) ** 2 + FLOOR[X[i]] ** 2) if i == j else F.lit(0.0) for i in d for j in range(i + 1)}
     return off.withColumns(factor | {"_det": sum((F.log(factor[f"l{i}{i}"]) * 2 for i in d), F.lit(0.0))}).select("_g", *[f"m{i}" for i in d], *factor, "_det")
 
 
-def _closest(scored: DataFrame, share: float) -> DataFrame:
+def _closest(scored: DataFrame, share: float, sent) -> DataFrame:
     """The share of each group with the smallest distances, up to a cell of the grid."""
     scored = scored.withColumn("_c", F.floor(F.log2(F.col("_d2") + 1e-6) * 32))
     counts = scored.groupBy("_g", "_c").agg(F.count(F.lit(1)).alias("_n"))
     up_to = Window.partitionBy("_g").orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     of = Window.partitionBy("_g")
     sums = counts.select("_g", "_c", F.sum("_n").over(up_to).alias("_sum"), F.sum("_n").over(of).alias("_of"))
-    last = written(sums.where(F.col("_sum") >= F.col("_of") * share).groupBy("_g").agg(F.min("_c").alias("_last")))
-    return scored.join(broadcast_small(last), "_g").where(F.col("_c") <= F.col("_last"))
+    last = sums.where(F.col("_sum") >= F.col("_of") * share).groupBy("_g").agg(F.min("_c").alias("_last"))
+    return scored.join(sent(last), "_g").where(F.col("_c") <= F.col("_last"))
 
 
 def _statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -171,18 +178,19 @@ def _fit(rows: DataFrame, steps: int, min_rows: int) -> DataFrame:
 
 def _fitted(rows: DataFrame, steps: int, min_rows: int) -> DataFrame:
     pairs = written(rows.select("_lang", "_pair").distinct())
+    sent = F.broadcast if pairs.limit(MOST_SENT + 1).count() <= MOST_SENT else _same
     levels = F.array("_pair", "_lang", F.lit(""))
     in_group = rows.select(F.explode(levels).alias("_g"), *X)
-    medians = written(_medians(in_group))
-    half = written(_estimate(_moments(_closest(_distance(in_group, medians), 0.5))))
-    whole = written(_estimate(_moments(in_group)))
+    medians = written(_medians(in_group, sent))
+    half = _estimate(_moments(_closest(_distance(in_group, medians, sent), 0.5, sent)))
+    whole = _estimate(_moments(in_group))
     starts = [start.withColumn("_g", F.concat(F.lit(f"{k}\x1e"), "_g")) for k, start in enumerate((medians, whole, half))]
     estimate = written(starts[0].unionByName(starts[1]).unionByName(starts[2]))
     names = F.flatten(F.transform(levels, lambda g: F.array(*[F.concat(F.lit(f"{k}\x1e"), g) for k in range(len(starts))])))
     started = rows.select(F.explode(names).alias("_g"), *X)
     for _ in range(max(steps, 1)):
-        moments = written(_moments(_closest(_distance(started, estimate), SHARE)))
-        before, estimate = estimate, written(_estimate(moments))
+        moments = written(_moments(_closest(_distance(started, estimate, sent), SHARE, sent)))
+        before, estimate = estimate, _estimate(moments)
         moved = estimate.join(before.select("_g", F.col("_det").alias("_was")), "_g")
         if moved.where(F.abs(F.col("_det") - F.col("_was")) > SETTLED).isEmpty():
             break
@@ -196,7 +204,8 @@ def _fitted(rows: DataFrame, steps: int, min_rows: int) -> DataFrame:
 
 
 def _judged(rows: DataFrame, estimate: DataFrame, cutoff: float) -> DataFrame:
-    rows = _distance(rows.withColumn("_g", F.col("_pair")), estimate)
+    few = estimate.limit(MOST_SENT + 1).count() <= MOST_SENT
+    rows = _distance(rows.withColumn("_g", F.col("_pair")), estimate, F.broadcast if few else _same)
     return rows.withColumn("_kept", ~F.col("base_failed") & (F.col("_d2") <= cutoff))
 
 
