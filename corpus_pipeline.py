@@ -3,6 +3,10 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir), works on all that its predecessor kept and
 returns a DataFrame, the last one the encoded documents. ``run`` applies them in order; between stages the rows are
 written to the shared folder and read again, so a stage that reads its input twice does not compute it twice.
+
+Null texts fail the quality rules; null languages, sources and doc_ids are kept as such. Of repeated rows the second
+stage keeps one, of ties in doc_id the first row. An empty table gives an empty table with the same columns, after the
+last stage with those of the encoding. Extra columns of any name pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -49,7 +53,7 @@ STAGES = [
     ("BPE encoding", encoding),
 ]
 
-#: The robust estimates, the components and the tokens are beyond SQL; tests/llm holds a brute-force version.
+#: The robust estimates, the components and the tokens are beyond SQL; tests/llm tests each stage by itself.
 ORACLE_SQL = None
 
 
