@@ -37,7 +37,7 @@ GROWTH, LEAST_CLASSES, MOST_CLASSES, SPARE_SHARE = 2.4, 32, 512, 16
 LEAST_SLOTS, MOST_SLOTS, BLOCK_SLOTS = 1 << 16, 1 << 24, 1 << 16
 WIDTH, HIDDEN, WINDOW = 16, 32, 2
 SHARE_MASKED = 0.15
-CHUNK, STEP, REMEMBERED = 4096, 2048, 200_000
+CHUNK, STEP, REMEMBERED = 4096, 4096, 200_000
 AROUND = np.array([d for d in range(-WINDOW, WINDOW + 1) if d])
 ID_BITS = 24
 
@@ -166,7 +166,7 @@ class Network:
     def learn(self, row: np.ndarray, places: np.ndarray, rate: float) -> None:
         """One Adagrad step on the masked places; only the embeddings and classes that occur change."""
         p, n = self.p, np.arange(len(places))
-        places = places[np.argsort(row[places] // self.classes, kind="stable")]
+        places = places[np.argsort((row[places] // self.classes).astype(np.int16), kind="stable")]  # by radix
         kind, member = row[places] // self.classes, row[places] % self.classes
         around, x, h = self._hidden(row, places)
         _, pc, pm, cuts = self._both(h, kind, member, True)
@@ -196,7 +196,7 @@ class Network:
         move("w", every, x.T @ dz)
         move("b", every, dz.sum(axis=0))
         ids = around.ravel()
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.uint16) if self.classes <= 256 else ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         move("e", ids[first], np.add.reduceat(dx[order], first, axis=0))
