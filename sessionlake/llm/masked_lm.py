@@ -88,16 +88,16 @@ class Words(dict):
     def row(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in one row with WINDOW edges around each; positions of tokens; tokens of each text; bytes of
         counts beside the ids."""
-        parts, counts, edge = [0] * WINDOW, [], [0] * WINDOW
+        edge = np.zeros(WINDOW, dtype=np.int64)
+        parts, counts, of = [edge], [], self.__getitem__
         for t in texts:
-            found = list(map(self.__getitem__, tokens(t)))
-            parts += found
-            parts += edge
+            found = tokens(t)
+            parts += (np.fromiter(map(of, found), dtype=np.int64, count=len(found)), edge)
             counts.append(len(found))
         counts = np.array(counts, dtype=np.int64)
         starts = np.cumsum(counts + WINDOW) - counts
         places = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        both = np.array(parts, dtype=np.int64)
+        both = np.concatenate(parts)
         return (both & ((1 << ID_BITS) - 1)).astype(np.int32), places, counts, both >> ID_BITS
 
 
@@ -115,12 +115,17 @@ class Network:
         for n, s in shapes.items():
             self.p[n] = self.flat[at : at + int(np.prod(s))].reshape(s)
             at += int(np.prod(s))
-        self.squares = None
+        self.squares, self.bounded = None, False
 
-    @staticmethod
-    def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exponentials, in place, and their sums; the scores are bounded so that none overflows."""
-        np.clip(x, -60, 60, out=x)
+    def most(self) -> float:
+        """What no score exceeds in size: hidden units lie between -1 and 1."""
+        p = self.p
+        return float(max((np.abs(p["c"]).sum(axis=0) + np.abs(p["cb"])).max(), (np.abs(p["m"]).sum(axis=1) + np.abs(p["mb"])).max()))
+
+    def _exp(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials, in place, and their sums; scores that could overflow are cut."""
+        if not self.bounded:
+            np.clip(x, -60, 60, out=x)
         np.exp(x, out=x)
         return x, x @ np.ones(x.shape[1], dtype=x.dtype)
 
@@ -154,6 +159,7 @@ class Network:
 
     def log_probabilities(self, row: np.ndarray, places: np.ndarray) -> np.ndarray:
         out = np.empty(len(places), dtype=np.float64)
+        self.bounded = self.bounded or self.most() <= 60
         for a in range(0, len(places), CHUNK):
             some = places[a : a + CHUNK]
             target = row[some]
@@ -165,6 +171,7 @@ class Network:
 
     def learn(self, row: np.ndarray, places: np.ndarray, rate: float) -> None:
         """One Adagrad step on the masked places; only the embeddings and classes that occur change."""
+        self.bounded = False
         p, n = self.p, np.arange(len(places))
         places = places[np.argsort((row[places] // self.classes).astype(np.int16), kind="stable")]  # by radix
         kind, member = row[places] // self.classes, row[places] % self.classes
