@@ -13,6 +13,10 @@ shard only, so none is broadcast whole: the reference grows with the corpus and
 more than ``HOT`` times would make one long task; their windows are told apart one by one instead: each is its own
 shard, found with partial aggregates over its hash, for which the longest match is the window itself.
 
+``against`` judges documents by a given reference instead: its texts are cut into shards of bounded size, tasks build one
+automaton of each, and these are broadcast a few at a time while every document is streamed through them. It reads all
+documents once for each pass, so it is for references that do not grow with the documents.
+
 Words are runs without white space, unchanged. Null and empty texts have none. A row without doc_id keeps its words and
 takes none from others. Rows of equal doc_id are one document:
 none removes the other's words. Windows are judged on the input. An empty table gives an empty table.
@@ -20,6 +24,9 @@ none removes the other's words. Windows are judged on the input. An empty table
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -32,6 +39,8 @@ from pyspark.sql import types as T
 from .common import WordHashes, binary_text, bloom, hex_sha256, in_bloom, lean, tidy, written
 
 GRAM, HOT, SALTS = 10, 4096, 16
+#: Words of one reference shard, and shards broadcast in one pass.
+SHARD_WORDS, PASS_SHARDS = 50_000, 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,6 +135,56 @@ class SuffixAutomaton:
         return [(a, b) for a, b in out]
 
 
+class KeyedAutomaton(SuffixAutomaton):
+    """Of texts with keys; every state also knows the smallest key under which its word sequences occur."""
+
+    def __init__(self, texts: list[tuple[int, list[bytes]]]):
+        super().__init__()
+        for _, words in texts:
+            self.add(words)
+        nexts, link, size = self.next, self.link, self.size
+        none = max((k for k, _ in texts), default=0)
+        self.least = least = [none] * len(size)
+        for k, words in texts:
+            state = 0
+            for w in words:
+                state = nexts[state][w]
+                least[state] = min(least[state], k)
+        for state in sorted(range(1, len(size)), key=size.__getitem__, reverse=True):
+            least[link[state]] = min(least[link[state]], least[state])
+
+    def covered(self, words: list[bytes], window: int, below: int | None = None) -> Iterator[tuple[int, int]]:
+        """Maximal stretches covered by windows that occur here, if asked for under a key below the given one.
+
+        Matching statistics are kept at a window's length at most, so the state is always that of the window itself.
+        """
+        nexts, link, size, least = self.next, self.link, self.size, self.least
+        state = length = 0
+        begin = after = -1
+        for i, w in enumerate(words, 1):
+            while state and w not in nexts[state]:
+                state = link[state]
+                length = size[state]
+            to = nexts[state].get(w)
+            if to is not None:
+                state, length = to, length + 1
+            if length < window:
+                continue
+            length = window
+            while size[link[state]] >= window:
+                state = link[state]
+            if below is not None and least[state] >= below:
+                continue
+            if begin >= 0 and i - window <= after:
+                after = i
+            else:
+                if begin >= 0:
+                    yield begin, after
+                begin, after = i - window, i
+        if begin >= 0:
+            yield begin, after
+
+
 def shared_anchors(docs: DataFrame, key: str, window: int) -> DataFrame:
     """``anchor`` and ``n`` (documents, at least) of the anchors that occur under two keys or more."""
 
@@ -259,10 +318,96 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", window: int = 50) -> Dat
     return _shard_spans(rows.join(hot, "anchor", "left_anti"), window).unionByName(_hot_spans(rows.join(hot, "anchor", "left_semi"), window))
 
 
+def shared_stretches(docs: DataFrame, key: str = "doc_id", window: int = 50) -> DataFrame:
+    """The corpus' own reference: different stretches around anchors of two documents or more, with their smallest key."""
+    rows = stretches(docs, key, window, bloom(written(shared_anchors(docs, key, window))))
+    return rows.groupBy("words").agg(F.min("k").alias(key)).select(key, F.col("words").cast("string").alias("text"))
+
+
+def reference_shards(reference: DataFrame, key: str, window: int, shard_words: int | None = None) -> DataFrame:
+    """``automaton``: one of every ``shard_words`` words of a task's texts. Longer texts are cut, with a window's overlap."""
+    most = shard_words or SHARD_WORDS
+
+    def run(batches):
+        held, n = [], 0
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([pickle.dumps(KeyedAutomaton(held), 5)], pa.binary())], ["automaton"])
+        for batch in batches:
+            for k, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = text.split() if text else []
+                for at in range(0, len(words) - window + 1, most):
+                    piece = words[at : at + most + window - 1]
+                    if held and n + len(piece) > most:
+                        yield told()
+                        held, n = [], 0
+                    held.append((k, piece))
+                    n += len(piece)
+        if held:
+            yield told()
+
+    return lean(reference).select(F.coalesce(F.col(key).cast("long"), F.lit(0)), binary_text()).mapInArrow(tidy(run), "automaton binary")
+
+
+def _key_or_zero(key: str):
+    return F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("k")
+
+
+def spans_in(docs: DataFrame, shards: DataFrame, key: str, window: int, earlier: bool = False) -> DataFrame:
+    """``k, row, begin, after`` of the documents' stretches that occur in the shards; ``earlier``: under a smaller key only.
+
+    Every pass broadcasts PASS_SHARDS automata and writes what it finds, so neither the driver nor a worker holds more.
+    """
+    context = docs.sparkSession.sparkContext
+    found: list[DataFrame] = []
+
+    def one_pass(blobs: list[bytes]) -> DataFrame:
+        sent = context.broadcast(blobs)
+
+        def run(batches):
+            automata = [pickle.loads(b) for b in sent.value]
+            for batch in batches:
+                out = [
+                    (k, row, a, b)
+                    for k, row, words in ((k, row, text.split() if text else []) for k, row, text in zip(*(c.to_pylist() for c in batch.columns)))
+                    for automaton in automata
+                    for a, b in automaton.covered(words, window, k if earlier else None)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], ["k", "row", "begin", "after"])
+
+        rows = lean(docs).where(F.col(key).isNotNull() if earlier else F.lit(True)).select(_key_or_zero(key), _row(), binary_text())
+        done = written(rows.mapInArrow(tidy(run), SPANS))
+        sent.destroy()
+        return done
+
+    waiting: list[bytes] = []
+    for blob in shards.toLocalIterator():
+        waiting.append(bytes(blob[0]))
+        if len(waiting) == PASS_SHARDS:
+            found.append(one_pass(waiting))
+            waiting = []
+    if waiting or not found:
+        found.append(one_pass(waiting))
+    return reduce(DataFrame.unionByName, found)
+
+
+def against(docs: DataFrame, reference: DataFrame, key: str = "doc_id", window: int = 50, earlier: bool = False, with_text: bool = True) -> DataFrame:
+    """As ``deduplicate``, of windows that occur in the reference (columns ``key`` and ``text``); a reference that is empty
+    or only of shorter texts removes nothing. ``earlier``: only of reference texts with a smaller key, so rows without one
+    are left alone; else keys do not matter and every row is judged."""
+    if earlier:
+        reference = reference.where(F.col(key).isNotNull())
+    spans = spans_in(docs, written(reference_shards(reference, key, window)), key, window, earlier)
+    return _without(docs, spans, key, with_text, F.col(key).cast("long").alias("k") if earlier else _key_or_zero(key))
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", window: int = 50, with_text: bool = True) -> DataFrame:
     """The key, ``n_words, n_removed, kept_sha256`` and, where asked for, ``kept_text``: kept words joined by one blank."""
-    spans = removed_spans(docs, key, window).groupBy("k", "row").agg(F.collect_set(F.struct("begin", "after")).alias("spans"))
-    texts = docs.select(F.col(key), F.col(key).cast("long").alias("k"), _row(), binary_text().alias("_t"))
+    return _without(docs, removed_spans(docs, key, window), key, with_text, F.col(key).cast("long").alias("k"))
+
+
+def _without(docs: DataFrame, spans: DataFrame, key: str, with_text: bool, k) -> DataFrame:
+    """The documents without the words of the spans."""
+    spans = spans.groupBy("k", "row").agg(F.collect_set(F.struct("begin", "after")).alias("spans"))
+    texts = docs.select(F.col(key), k, _row(), binary_text().alias("_t"))
     joined = texts.join(spans, ["k", "row"], "left").select(F.col(key), "_t", F.transform("spans", lambda s: s["begin"]).alias("b"), F.transform("spans", lambda s: s["after"]).alias("a"))
     fields = [docs.schema[key], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if with_text:

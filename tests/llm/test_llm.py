@@ -262,6 +262,35 @@ def test_substring_dedup(given, odd, none, hot, monkeypatch):
     assert substring_dedup.deduplicate(none).count() == 0
 
 
+@pytest.mark.parametrize("earlier", [False, True])
+def test_dedup_against_a_reference(spark, given, odd, none, earlier, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 700)
+    monkeypatch.setattr(substring_dedup, "PASS_SHARDS", 9)
+    for docs, reference in ((odd, odd), (odd, given.limit(0)), (given.where("doc_id < 40"), given.where("doc_id % 3 = 0 and doc_id < 50"))):
+        first = {}
+        for d, t in texts_of(reference):
+            w = plain(t)
+            for i in range(len(w) - 49):
+                x = tuple(w[i : i + 50])
+                first[x] = min(d, first.get(x, d))
+        want = []
+        for d, t in texts_of(docs):
+            w = plain(t)
+            hit = [(f := first.get(tuple(w[i : i + 50]))) is not None and (f < d or not earlier) for i in range(len(w) - 49)]
+            gone = {j for i, x in enumerate(hit) if x for j in range(i, i + 50)}
+            want.append((d, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone))))
+        got = substring_dedup.against(docs, reference, earlier=earlier, with_text=False)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert substring_dedup.against(none, odd, earlier=earlier).count() == 0
+
+
+def test_dedup_against_a_reference_without_keys(spark):
+    text = " ".join(map(str, range(60)))
+    docs = spark.createDataFrame([(None, text), (7, text + " more"), (8, None)], "doc_id long, text string")
+    gone = lambda earlier: {(r.doc_id, r.n_removed) for r in substring_dedup.against(docs, docs.where("doc_id is null"), earlier=earlier).collect()}
+    assert gone(False) == {(None, 60), (7, 60), (8, 0)} and gone(True) == {(None, 0), (7, 0), (8, 0)}
+
+
 def test_personal_data(given, odd, none):
     forms = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
