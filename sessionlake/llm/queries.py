@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard_join, license_scan, masked_lm, pii, quality, sharding, substring_dedup, url_filter
+from . import bpe, byte_bpe, decontaminate, jaccard_join, license_scan, masked_lm, periodic_runs, pii, quality, resampling, sharding, substring_dedup, url_filter
 from .common import table
 
 
@@ -57,9 +59,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), word_bpe(), with_ids=False)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=Fraction(10, 100))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.detect(periodic_runs.planted(table(spark, sf_dir, "documents")), with_runs=False, with_text=False)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_lm_scoring, op3_decontamination, op4_jaccard_join, op5_license_scan,
     op6_substring_dedup, op7_pii, op8_sharding, op9_quality, op10_bpe,
+    op11_byte_bpe, op12_resampling, op13_periodic_runs,
 )}
 
 _TERMS = {k: "[" + ",".join(f"'{t}'" for t in v) + "]" for k, v in (("strict", url_filter.STRICT), ("soft", url_filter.SOFT))}
