@@ -8,7 +8,7 @@ run is composed of its neighbours' payloads: CRCs are linear, so the CRC of ``a
 length of ``b``, xor that of ``b``. No feature is ever written out as text.
 
 The dictionary holds the most frequent words, ``DICTIONARY`` at most, of up to ``LONGEST_WORD`` bytes; all words are
-counted exactly, in tasks first. Bucket counts are summed the same way; what reaches the driver is one row a bucket. Gains
+counted exactly, in tasks first, and only those of the dictionary reach the driver. Bucket counts are summed the same way; what reaches the driver is one row a bucket. Gains
 go to the tasks as one array of that many numbers. Documents are drawn by rank without one sorted task: counts by score
 (a score is a whole number within some ten thousand) give the least score drawn and each score's first rank, and only
 documents of one score are put in order together. Noise spreads documents over scores, so no score holds a large share;
@@ -124,7 +124,9 @@ def _dictionary(words: tuple[bytes, ...]) -> Dictionary:
 
 
 def frequent_words(texts: DataFrame, most: int = DICTIONARY) -> tuple[bytes, ...]:
-    """The most frequent words of up to LONGEST_WORD bytes; ties in the words' order. All are counted."""
+    """The words of up to LONGEST_WORD bytes that occur most often, ``most`` of them or fewer: counts fall into steps of an
+    eighth of a power of two, and steps are taken whole from the highest down. All words are counted; those that occur
+    once are left out."""
 
     def count(batches):
         held: Counter[bytes] = Counter()
@@ -143,8 +145,15 @@ def frequent_words(texts: DataFrame, most: int = DICTIONARY) -> tuple[bytes, ...
             yield told()
 
     counts = texts.select(binary_text()).mapInArrow(tidy(count), "word binary, n long").where(F.length("word") <= LONGEST_WORD)
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return tuple(bytes(r["word"]) for r in top.select("word").collect())
+    with scratch(texts.sparkSession):
+        often = written(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("step", F.floor(F.log2("n") * 8).cast("int")))
+        room, least = most, None
+        for r in often.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():  # a few hundred rows
+            room, least = room - r["n"], r["step"] if room >= r["n"] else least
+            if room < 0:
+                break
+        words = [] if least is None else often.where(F.col("step") >= least).select("word").toArrow().column(0).to_pylist()
+    return tuple(sorted(words))
 
 
 def bucket_counts(texts: DataFrame, words: tuple[bytes, ...], buckets: int, longest: int) -> np.ndarray:
