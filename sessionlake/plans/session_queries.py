@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text
-from sessionlake.operators import corpus, intervals, library, matching, measures, polish, regions, registry, speakers, summaries  # noqa: F401
+from sessionlake.operators import corpus, intervals, library, matching, measures, polish, redo, regions, registry, speakers, summaries  # noqa: F401
 from sessionlake.streaming import fold
 
 from .bindings import _S, _spans, _t, bound
@@ -258,18 +258,66 @@ def q_universal_unit(spark, sf_dir):
     return means.select("label", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-@bound("""with e as (select vec_id, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as pos from embeddings where vec_id % 50 = 0), n as (select vec_id, sqrt(sum(x * x)) + 1e-9 as n from e group by 1)
+@bound("""with e as (select vec_id, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as pos from embeddings), n as (select vec_id, sqrt(sum(x * x)) + 1e-9 as n from e group by 1)
 select vec_id as person_id, name, 0 as row_no, cast(pos - 1 as int) as pos, round(x / n, 6) as x from e join n using (vec_id), (values ('universal'), ('recent')) t(name)""")
 def q_bootstrap(spark, sf_dir):
-    rows = library.bootstrap(_t(spark, sf_dir, "embeddings").where("vec_id % 50 = 0"), "vec_id", "embedding")
+    rows = library.bootstrap(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return rows.select("person_id", "name", "row_no", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-@bound()
+def _clusters(spark, sf_dir):
+    """Two vectors a file; the session's teacher and student are labels, of which those below 8 are registered."""
+    vectors = _t(spark, sf_dir, "embeddings")
+    clusters = vectors.selectExpr("vec_id div 2 as file_id", "concat('S', vec_id % 2) as cluster_label", "embedding as vec", "label")
+    role = lambda k: F.max(F.when(F.col("cluster_label") == f"S{k}", F.col("label"))).cast("string")
+    sessions = clusters.groupBy("file_id").agg(role(0).alias("teacher_id"), role(1).alias("student_id"))
+    library_ = vectors.where("vec_id % 7 = 0").selectExpr("cast(label as string) as person_id", "concat('r', vec_id % 3) as name", "cast(vec_id as int) as row_no", "embedding as vec")
+    persons = vectors.where("label < 8").selectExpr("cast(label as string) as id").distinct()
+    return clusters.drop("label"), sessions, library_, persons
+
+
+@bound("""with e as (select vec_id, label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as pos from embeddings),
+n as (select vec_id, sqrt(sum(x * x)) + 1e-9 as n from e group by 1),
+s as (select a.vec_id // 2 as file_id, a.label as t, b.label as s from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 2 = 0),
+p as (select vec_id, vec_id // 2 as file_id, vec_id % 2 as k, role, case role when 'teacher' then t else s end as who from embeddings join s on s.file_id = vec_id // 2, (values ('teacher'), ('student')) r(role)),
+d as (select p.vec_id, role, l.vec_id as lib, sum(a.x * b.x) / (any_value(na.n) * any_value(nb.n)) as c from p join embeddings l on l.label = p.who and l.vec_id % 7 = 0 and l.label < 8
+  join e a on a.vec_id = p.vec_id join e b on b.vec_id = l.vec_id and b.pos = a.pos join n na on na.vec_id = p.vec_id join n nb on nb.vec_id = l.vec_id group by 1, 2, 3),
+b as (select p.vec_id, file_id, k, p.role, who, coalesce(max(c), -1) as score, coalesce(arg_max(lib, c), -1) as lib from p left join d on d.vec_id = p.vec_id and d.role = p.role group by all),
+f as (select file_id, sum(score) filter ((k = 0) = (role = 'teacher')) >= sum(score) filter ((k = 0) <> (role = 'teacher')) as straight from b group by 1)
+select file_id, 'S' || k as cluster_label, who::varchar as person_id, round(case when who < 8 then score else 1 end, 6) as confidence,
+case when who >= 8 then 'universal' when lib < 0 then '' else 'r' || lib % 3 end as region, who >= 8 as is_new from b join f using (file_id) where ((k = 0) = (role = 'teacher')) = straight""")
+def q_identify(spark, sf_dir):
+    found, _ = redo.identify(*_clusters(spark, sf_dir))
+    return found.withColumn("confidence", F.round("confidence", 6)).select("file_id", "cluster_label", "person_id", "confidence", "region", "is_new")
+
+
+@bound("""with r as (select l_suppkey as p, l_orderkey as s, l_linenumber % 6 as reg, sum(l_quantity::bigint) as l, count(*) as n, sum(cast(l_tax * 100 as bigint)) as c, any_value(l_suppkey % 3) as role from lineitem group by 1, 2, 3),
+g as (select p, s, case when reg in (0, 5) then 'speaking' else 'sung_' || ['low', 'mid', 'high', 'full'][reg] end as reg, sum(l) as l, sum(n) as n, sum(c) as c, any_value(role) as role from r group by 1, 2, 3),
+u as (select p, s, sum(l) as seconds, (sum(c) / sum(n)::double + 60) / 100 as conf, max(l) >= 30 as long, any_value(role) as role from g group by 1, 2),
+a as (select *, case when conf >= 0.65 then 1 else 0 end as ok, min(case when conf >= 0.65 and long then s end) over (partition by p) as first from u),
+b as (select *, case when s > first and conf >= 0.67 and long then row_number() over (partition by p, s > first and conf >= 0.67 and long order by s) end as k from a),
+t as (select *, max(case when k = 2 then s end) over (partition by p) as third from b),
+j as (select *, case when ok = 0 then 'r' when s > first and s <= coalesce(third, s) and conf < 0.67 then 'h' when not long then 's' else 'u' end as d from t),
+c as (select j.p, string_agg(reg || ':' || n, ',' order by reg) as counts from (select p, reg, count(*) as n from g join j using (p, s) where d = 'u' and l >= 30 group by 1, 2) j group by 1)
+select p::varchar as person_id, count(*) filter (d = 'u') as n_updated, count(*) filter (d = 'h') as n_held, count(*) filter (d = 'r') as n_rejected, count(*) filter (d = 's') as n_short,
+cast(coalesce(sum(seconds) filter (d = 'u'), 0) as bigint) as seconds, count(*) filter (d = 'u' and role = 0) as as_teacher, count(*) filter (d = 'u' and role = 1) as as_student,
+cast(greatest(0, 3 - count(*) filter (d = 'u')) as int) as remaining, coalesce(max(counts), '') as counts, lpad((max(s) filter (d = 'u'))::varchar, 12, '0') as last_updated from j left join c using (p) group by p""")
 def q_library_update(spark, sf_dir):
-    """Updates of labels' voices in the order of vectors, folded; tested against a loop."""
-    rows = _t(spark, sf_dir, "embeddings").selectExpr("label", "vec_id div 20 as session", "concat('r', vec_id % 3) as region", "embedding as vec", "cast(vec_id % 40 as double) as seconds", "0.6D + (vec_id % 7) / 20.0D as confidence")
-    return library.fold_updates(rows, "label", "session")
+    """Orders as sessions, suppliers as persons: gates, counters, hours and trust over all lines; vectors are tested apart."""
+    lines = _t(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey as file_id", "cast(l_suppkey as string) as speaker_id", "element_at(array('speaking', 'sung_low', 'sung_mid', 'sung_high', 'sung_full', 'universal'), cast(l_linenumber % 6 + 1 as int)) as matched_region",
+        "0D as start", "cast(cast(l_quantity as bigint) as double) as end", "(cast(l_tax * 100 as bigint) + 60) / 100D as speaker_confidence")
+    persons = _t(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as string) as id", "cast(null as string) as first_seen")
+    pairs = lines.select("file_id", F.col("speaker_id").alias("person_id")).distinct()
+    roles = pairs.selectExpr("file_id", "person_id", "case when cast(person_id as bigint) % 3 = 0 then 'teacher' when cast(person_id as bigint) % 3 = 1 then 'student' end as role")
+    voices = lines.selectExpr("file_id", "speaker_id as person_id", "case when matched_region = 'universal' then 'speaking' else matched_region end as region").distinct().withColumn("vec", F.expr("array(1D, 0D)"))
+    blank = _t(spark, sf_dir, "orders").selectExpr("o_orderkey as file_id", "lpad(cast(o_orderkey as string), 12, '0') as date", "cast(null as string) as teacher_id", "cast(null as string) as student_id")
+    updates = library.session_updates(lines, blank, voices).drop("role").join(roles, ["file_id", "person_id"])
+    out = library.fold_library(updates, library.state_of(library.new_persons(persons), voices.limit(0).selectExpr("person_id", "region as name", "0 as row_no", "vec")), new_floor=0.67, min_seconds=30.0)
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("person.region_session_counts")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return out.join(pairs.select("person_id").distinct(), "person_id").select(
+        "person_id", "n_updated", "n_held", "n_rejected", "n_short", F.round(F.col("person.total_hours") * 3600).cast("long").alias("seconds"), F.col("person.n_sessions_as_teacher").alias("as_teacher"), F.col("person.n_sessions_as_student").alias("as_student"),
+        F.col("person.bootstrap_sessions_remaining").alias("remaining"), told.alias("counts"), F.col("person.last_updated").alias("last_updated"))
 
 
 @bound("""with p as (select c_custkey, c_nationkey as k, c_mktsegment as r, c_custkey % 4 as n from customer),

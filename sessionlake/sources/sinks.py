@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
-def _version(spark: SparkSession, path: str) -> int | None:
+def version(spark: SparkSession, path: str) -> int | None:
+    """The number of the version last pointed to."""
     try:
         return spark.read.schema("v long").parquet(f"{path}/pointer").agg(F.max("v")).first()[0]
     except AnalysisException as error:
@@ -24,7 +24,7 @@ def replace(rows: DataFrame, path: str) -> int:
     at a time.
     """
     spark = rows.sparkSession
-    v = (_version(spark, path) or 0) + 1
+    v = (version(spark, path) or 0) + 1
     rows.write.mode("overwrite").parquet(f"{path}/data/v={v}")
     spark.range(v, v + 1, 1, 1).toDF("v").write.mode("append").parquet(f"{path}/pointer")
     return v
@@ -32,7 +32,7 @@ def replace(rows: DataFrame, path: str) -> int:
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The version last pointed to; None where nothing was ever written."""
-    v = _version(spark, path)
+    v = version(spark, path)
     return None if v is None else spark.read.parquet(f"{path}/data/v={v}")
 
 
@@ -70,8 +70,5 @@ def finalize(transcript: DataFrame, index: DataFrame, transcripts_path: str, ind
 
 
 def write_library(library: DataFrame, path: str, ring: int = 10) -> int:
-    """The voice library ``person_id, name, row_no, vec`` as the table's next version; rings keep their last rows."""
-    kept = F.col("name") != "recent"
-    last = F.max(F.when(F.col("name") == "recent", F.col("row_no"))).over(Window.partitionBy("person_id"))
-    rows = library.withColumn("_last", last).where(kept | (F.col("row_no") > F.col("_last") - ring)).drop("_last")
-    return replace(rows, path)
+    """The voice library ``person_id, name, row_no, vec`` as the table's next version; rings keep their first rows, the newest."""
+    return replace(library.where((F.col("name") != "recent") | (F.col("row_no") < ring)), path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions import text
 from sessionlake.functions import phonetics
-from sessionlake.operators import corpus, intervals, library, matching, measures, polish
+from sessionlake.operators import corpus, intervals, matching, measures, polish
 from sessionlake.plans import bindings
 from sessionlake.streaming import fold
 
@@ -197,36 +197,6 @@ def test_patches_in_order(spark):
     assert once == {**dict.fromkeys(range(1, 15)), **want, 2: "original_mismatch", 4: "phonetic_keys_differ"}
 
 
-def test_library_updates_against_a_loop(spark):
-    rng = np.random.default_rng(4)
-    rows = [(p, s, reg, rng.normal(size=3).tolist(), float(rng.integers(2, 30)), float(0.55 + rng.random() * 0.4)) for p in ("a", "b") for s in range(25) for reg in ("low", "mid") if rng.random() < 0.8]
-    df = spark.createDataFrame(rows, "person string, session int, region string, vec array<double>, seconds double, confidence double").repartition(5)
-    got = {r["person"]: r for r in library.fold_updates(df, "person", "session").collect()}
-    for p in ("a", "b"):
-        left, at, counts, ring, n, hours = 3, {}, {}, [], [0, 0, 0, 0], 0.0
-        for s in range(25):
-            some = [r for r in rows if r[:2] == (p, s)]
-            if not some:
-                continue
-            sure, long = sum(r[5] for r in some) / len(some), [r for r in some if r[4] >= 10]
-            kind = 2 if sure < 0.65 else 1 if left in (1, 2) and sure < 0.75 else 3 if not long else 0
-            n[kind] += 1
-            if kind:
-                continue
-            for _, _, reg, v, _, _ in long:
-                k, v = counts.get(reg, 0), np.array(v)
-                if k:
-                    v = (at[reg] * k + v) / (k + 1)
-                    v /= np.linalg.norm(v) + 1e-9
-                at[reg], counts[reg] = v, k + 1
-            u = np.mean([at[r[2]] for r in long], axis=0)
-            ring.append(u / (np.linalg.norm(u) + 1e-9))
-            left, hours = max(0, left - 1), hours + sum(r[4] for r in some) / 3600
-        r = got[p]
-        assert [r["n_updates"], r["n_held"], r["n_rejected"], r["n_short"], r["remaining"]] == [*n, left] and n[0] > 10
-        assert r["counts"] == counts and r["hours"] == pytest.approx(hours) and np.allclose(r["ring"], ring[-10:]) and np.allclose(r["universal"], ring[-1])
-
-
 def test_vectors_in_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(k, k % 7, rng.normal(size=4).tolist() if k else None) for k in range(60)], "id long, g long, v array<double>")

@@ -121,4 +121,4 @@ def test_finalize_and_library(spark, tmp_path):
     rows = [("p", "recent", k, [float(k)]) for k in range(14)] + [("p", "universal", 0, [1.0])]
     sinks.write_library(spark.createDataFrame(rows, "person_id string, name string, row_no int, vec array<double>"), str(tmp_path / "l"))
     kept = sinks.current(spark, str(tmp_path / "l")).collect()
-    assert sorted(r["row_no"] for r in kept if r["name"] == "recent") == list(range(4, 14)) and len(kept) == 11
+    assert sorted(r["row_no"] for r in kept if r["name"] == "recent") == list(range(10)) and len(kept) == 11
