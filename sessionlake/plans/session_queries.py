@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text
-from sessionlake.operators import corpus, intervals, library, matching, measures, polish, redo, regions, registry, speakers, summaries  # noqa: F401
+from sessionlake.operators import corpus, intervals, library, matching, measures, polish, redo, regions, registry, signals, speakers, summaries  # noqa: F401
 from sessionlake.streaming import fold
 
 from .bindings import _S, _spans, _t, bound
@@ -465,3 +465,33 @@ l as (select user_id, max(en) as n from s group by 1)
 select user_id, coalesce(o, 0) as overlap, least(1.0::double, coalesce(o, 0)::double / n) as ratio from l left join p using (user_id)""")
 def q_overlap_of_end(spark, sf_dir):
     return intervals.overlap_ratio(_spans(spark, sf_dir), "user_id", "kind", from_zero=True)
+
+
+_PIECES = """s as (select user_id as file_id, event_id as seg_idx, event_type as cluster_label, cast(floor(value * 10) / 10 as double) as st from events),
+n as (select user_id as file_id, 400 as n from events group by 1),
+g as (select file_id, seg_idx, cluster_label, cast(st * 4 as bigint) as f, (seg_idx % 9) / 4.0 as l from (select file_id, seg_idx, cluster_label, floor(st) as st from s)),
+u as (select *, coalesce(sum(l) over (partition by file_id, cluster_label order by l desc, seg_idx rows between unbounded preceding and 1 preceding), 0) as used,
+  row_number() over (partition by file_id, cluster_label order by l desc, seg_idx) - 1 as place from g join n using (file_id) where n - f >= 2),
+t as (select *, least(l, 6 - least(6, used)) as take from u),
+p as (select file_id, cluster_label, place::int as place, f as first, least(n, f + cast(floor(take * 4) as bigint)) as after from t where take > 0.1)"""
+
+
+def _pieces(spark, sf_dir):
+    events = _t(spark, sf_dir, "events")
+    segments = events.selectExpr("user_id as file_id", "event_id as seg_idx", "event_type as cluster_label", "floor(floor(value * 10) / 10) * 1D as start").withColumn("end", F.col("start") + F.col("seg_idx") % 9 / 4)
+    ends = events.select(F.col("user_id").alias("file_id")).distinct().withColumn("n", F.lit(400).cast("long"))
+    return signals.cluster_pieces(segments, ends, budget=6.0, rate=4)
+
+
+@bound(f"with {_PIECES} select * from p where after - first >= 2")
+def q_cluster_pieces(spark, sf_dir):
+    return _pieces(spark, sf_dir)
+
+
+@bound(f"""with {_PIECES} select file_id, cluster_label, count(*) as n_samples, cast(sum(i * 7 + file_id % 13) as bigint) as total from (select file_id, cluster_label, unnest(range(first, after)) as i from p where after - first >= 2) group by 1, 2""")
+def q_cut_pieces(spark, sf_dir):
+    """Samples of files of 400, in blocks of 16, put together for each cluster."""
+    blocks = _t(spark, sf_dir, "events").select(F.col("user_id").alias("file_id")).distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))))
+    blocks = blocks.withColumn("samples", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (F.col("block") * 16 + i) * 7 + F.col("file_id") % 13))
+    cut = signals.cut(_pieces(spark, sf_dir), blocks, 16)
+    return cut.groupBy("file_id", "cluster_label").agg(F.sum(F.size("samples")).alias("n_samples"), F.sum(F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 from ..operators.regions import sample_bounds
 
 RATE = 16000
+#: Samples a block: half a minute.
+BLOCK = 30 * RATE
 PROBE = "streams array<struct<codec_name:string,bit_rate:string>>, format struct<duration:string,bit_rate:string>"
 ENTRIES = "stream=codec_name,bit_rate:format=duration,bit_rate"
 
@@ -47,8 +50,8 @@ def probed(listing: DataFrame, tool: str = "ffprobe", timeout: float = 15) -> Da
     )
 
 
-def wav_signal(content: bytes) -> tuple[int, np.ndarray]:
-    """Rate and samples (-1 to 1, the mean of the channels) of a WAV file of whole or floating numbers."""
+def _form(content: bytes) -> tuple[int, int, int, int, memoryview]:
+    """Rate, channels, kind, bits and the data of a WAV file."""
     if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, form = 12, None
@@ -59,16 +62,24 @@ def wav_signal(content: bytes) -> tuple[int, np.ndarray]:
             kind, channels, rate = (int.from_bytes(body[a:b], "little") for a, b in ((0, 2), (2, 4), (4, 8)))
             if kind == 0xFFFE:  # the extended form names the kind at the start of its identifier
                 kind = int.from_bytes(body[24:26], "little")
-            form = kind, channels, rate, int.from_bytes(body[14:16], "little")
+            form = rate, channels, kind, int.from_bytes(body[14:16], "little")
         elif name == b"data" and form:
-            kind, channels, rate, bits = form
-            samples = _numbers(kind, bits, body)
-            whole = len(samples) // channels * channels
-            return rate, samples[:whole].reshape(-1, channels).mean(axis=1, dtype=np.float32)
+            return *form, body
         at += 8 + size + size % 2
     raise ValueError("no samples")
 
 
+def _mixed(channels: int, kind: int, bits: int, body: memoryview) -> np.ndarray:
+    samples = _numbers(kind, bits, body)
+    return samples[: len(samples) // channels * channels].reshape(-1, channels).mean(axis=1, dtype=np.float32)
+
+
+def wav_signal(content: bytes) -> tuple[int, np.ndarray]:
+    """Rate and samples (-1 to 1, the mean of the channels) of a WAV file of whole or floating numbers."""
+    rate, *form, body = _form(content)
+    return rate, _mixed(*form, body)
+
+
 def _numbers(kind: int, bits: int, body: memoryview) -> np.ndarray:
     raw = body[: len(body) // (bits // 8) * (bits // 8)]
     if kind == 3:
@@ -84,24 +95,70 @@ def _numbers(kind: int, bits: int, body: memoryview) -> np.ndarray:
     return (np.frombuffer(raw, {16: "<i2", 32: "<i4"}[bits]) / 2.0 ** (bits - 1)).astype(np.float32)
 
 
-def resampled(signal: np.ndarray, rate: int, to: int = RATE, zeros: int = 32) -> np.ndarray:
-    """The signal at another rate, by a windowed sinc of ``zeros`` crossings on each side, a block at a time."""
-    if rate == to or not len(signal):
-        return signal
+def _resampled_part(part: Callable[[int, int], np.ndarray], rate: int, to: int, begin: int, end: int, zeros: int = 32) -> np.ndarray:
+    """Samples ``begin`` to ``end`` at the new rate; ``part`` gives samples of the signal, zeros beyond it."""
     cut = min(1.0, to / rate)
     reach = int(np.ceil(zeros / cut))
-    padded = np.pad(signal.astype(np.float64), reach + 1)
-    n, offsets = int(np.ceil(len(signal) * to / rate)), np.arange(-reach, reach + 1)
-    out = np.empty(n, np.float32)
-    for begin in range(0, n, 4096):
-        places = np.arange(begin, min(n, begin + 4096)) * (rate / to)
+    offsets, out = np.arange(-reach, reach + 1), np.empty(end - begin, np.float32)
+    for first in range(begin, end, 4096):
+        places = np.arange(first, min(end, first + 4096)) * (rate / to)
         centre = np.floor(places).astype(np.int64)
+        near = part(int(centre[0]) - reach, int(centre[-1]) + reach + 1).astype(np.float64)
         away = places[:, None] - (centre[:, None] + offsets)
         window = np.where(np.abs(away) <= reach, 0.5 + 0.5 * np.cos(np.pi * away / reach), 0.0)
-        out[begin : begin + len(places)] = (padded[centre[:, None] + offsets + reach + 1] * np.sinc(cut * away) * window).sum(axis=1) * cut
+        out[first - begin : first - begin + len(places)] = (near[centre[:, None] + offsets - (centre[0] - reach)] * np.sinc(cut * away) * window).sum(axis=1) * cut
     return out
 
 
+def _padded(signal: np.ndarray) -> Callable[[int, int], np.ndarray]:
+    n = len(signal)
+    return lambda a, b: np.pad(signal[max(0, a) : max(0, min(n, b))], (max(0, -a), max(0, b - max(n, a))))
+
+
+def resampled(signal: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
+    """The signal at another rate, by a windowed sinc, a block at a time."""
+    if rate == to or not len(signal):
+        return signal
+    return _resampled_part(_padded(signal), rate, to, 0, int(np.ceil(len(signal) * to / rate)))
+
+
+def wav_blocks(content: bytes, to: int = RATE, size: int = BLOCK) -> Iterator[np.ndarray]:
+    """A WAV file's samples at the rate, ``size`` at a time: no more of the signal is decoded at once than a block needs."""
+    rate, channels, kind, bits, body = _form(content)
+    wide = channels * bits // 8
+    n = len(body) // wide if wide else 0
+
+    def part(a: int, b: int) -> np.ndarray:
+        held = _mixed(channels, kind, bits, body[max(0, a) * wide : max(0, min(n, b)) * wide])
+        return np.pad(held, (max(0, -a), max(0, b - max(n, a))))
+
+    total = n if rate == to else int(np.ceil(n * to / rate))
+    for begin in range(0, total, size):
+        end = min(total, begin + size)
+        yield part(begin, end) if rate == to else _resampled_part(part, rate, to, begin, end)
+
+
+def signal_blocks(files: DataFrame, rate: int = RATE, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Of ``path, content``: ``path, block, samples`` with ``size`` samples a block but the last, and ``path, error``.
+
+    A recording is many rows, so that no row, task or group holds a whole one; the files' own bytes are one row each, as
+    the source reads them. A file that breaks off has no blocks. Both results read the files.
+    """
+    schema = T.StructType.fromDDL("path string, block long, samples array<float>, error string")
+
+    def decode(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    for k, block in enumerate(wav_blocks(content or b"", rate, size)):
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int64()), pa.array([block], pa.list_(pa.float32())), pa.array([None], pa.string())], schema.names)
+                except (ValueError, KeyError, ArithmeticError) as error:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.float32())), pa.array([f"{type(error).__name__}: {error}"])], schema.names)
+
+    rows = files.select("path", "content").mapInArrow(decode, schema)
+    return rows.where("error is null").drop("error"), rows.where("error is not null").select("path", "error")
+
+
 def signals(files: DataFrame, rate: int = RATE) -> tuple[DataFrame, DataFrame]:
     """Of ``path, content`` (as the binaryFile source reads them): ``path, samples`` at the rate, and ``path, error``.
 
