@@ -6,6 +6,8 @@ patches are applied one after the other, so a later one sees what an earlier one
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions.phonetics import same_sound
+from sessionlake.functions.text import first_json_array
+
+from .corpus import chunks
 
 #: Fixed names of the reasons against a patch, in the order in which they are asked.
 REASONS = (
@@ -137,3 +142,62 @@ def apply_patches(patches: DataFrame, words: DataFrame, glossary: list[str], thr
     one = words.select(key, F.col("segment_index").cast("int"), "word_index", "word", "probability").groupBy(key, "segment_index")
     two = patches.select(key, F.col("segment_index").cast("int"), "patch_no", "word_index", "original", "proposed").groupBy(key, "segment_index")
     return one.cogroup(two).applyInPandas(fold, shape)
+
+
+SAID = "array<struct<start:double,end:double,speaker_id:string,text:string>>"
+
+
+def asked(backend: Callable[[str], str | None], at_once: int = 8, seconds: float = 120.0) -> Callable[[Column], Column]:
+    """A function of a column of prompts that gives the backend's replies: ``at_once`` calls in a task at a time.
+
+    A call that fails or takes longer than ``seconds`` has no reply (null); its thread is left to itself, so it delays
+    neither the other calls nor the task's end.
+    """
+
+    def together(prompts: list[str | None]) -> list[str | None]:
+        replies: dict[int, str | None] = {}
+
+        def call(k: int, prompt: str) -> None:
+            try:
+                replies[k] = backend(prompt)
+            except Exception:  # whatever a backend raises, the chunk stays as it was
+                replies[k] = None
+
+        threads = [threading.Thread(target=call, args=(k, p), daemon=True) for k, p in enumerate(prompts) if p is not None]
+        for t in threads:
+            t.start()
+        until = time.monotonic() + seconds
+        for t in threads:
+            t.join(max(0.0, until - time.monotonic()))
+        told = dict(replies)
+        return [told.get(k) for k in range(len(prompts))]
+
+    @F.pandas_udf("string")
+    def replies(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            prompts = batch.tolist()
+            yield pd.Series([r for k in range(0, len(prompts), at_once) for r in together(prompts[k : k + at_once])], dtype=object)
+
+    return replies.asNondeterministic()
+
+
+def polished(segments: DataFrame, ask: Callable[[Column], Column], size: int = 200, overlap: int = 2, within: float = 0.001, by: str = "file_id", order: str = "seg_idx") -> DataFrame:
+    """Segments whose ``text`` a backend polished, with ``polished``: chunks of ``size`` that share ``overlap`` go out.
+
+    Of a reply the first JSON array counts. It is taken if it has the chunk's length and each segment its times (to
+    ``within`` seconds) and its speaker; then only the texts are, a missing text leaving the segment as it was. Of shared
+    segments the earlier chunk's version stays. Without a valid reply a chunk's segments come back unpolished: rows and
+    their order never change.
+    """
+    own = [c for c in segments.columns if c != "polished"]
+    each = chunks(segments.select(*own), by, order, size, overlap)
+    row = F.struct(F.col(order).alias("_o"), "keep", F.struct(*own).alias("row"))
+    held = each.groupBy(by, "chunk").agg(F.array_sort(F.collect_list(row), lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)).alias("_rows"))
+    prompt = F.to_json(F.transform("_rows", lambda r: F.struct(*[r["row"][c].alias(c) for c in ("start", "end", "speaker_id", "text")])))
+    told = held.select("_rows", F.from_json(first_json_array(ask(prompt)), SAID).alias("_said"))
+    near = lambda a, b: F.abs(a - b) <= within
+    pairs = F.zip_with("_rows", "_said", lambda r, s: F.coalesce(near(r["row"]["start"], s["start"]) & near(r["row"]["end"], s["end"]) & r["row"]["speaker_id"].eqNullSafe(s["speaker_id"]), F.lit(False)))
+    valid = F.coalesce((F.size("_rows") == F.size("_said")) & F.forall(pairs, lambda p: p), F.lit(False))
+    out = told.select(valid.alias("_valid"), "_said", F.posexplode("_rows").alias("_k", "_r")).where("_r.keep")
+    new = F.when(F.col("_valid"), F.get("_said", F.col("_k"))["text"])
+    return out.select("_r.row.*", new.alias("_new")).withColumns({"text": F.coalesce("_new", "text"), "polished": F.col("_new").isNotNull()}).drop("_new")

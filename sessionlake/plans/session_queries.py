@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text
-from sessionlake.operators import corpus, intervals, library, matching, measures, polish, redo, regions, registry, signals, speakers, summaries  # noqa: F401
+from sessionlake.operators import corpus, intervals, library, matching, measures, polish, redo, regions, registry, shaping, signals, speakers, summaries  # noqa: F401
 from sessionlake.streaming import fold
 
 from .bindings import _S, _spans, _t, bound
@@ -495,3 +495,32 @@ def q_cut_pieces(spark, sf_dir):
     blocks = blocks.withColumn("samples", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (F.col("block") * 16 + i) * 7 + F.col("file_id") % 13))
     cut = signals.cut(_pieces(spark, sf_dir), blocks, 16)
     return cut.groupBy("file_id", "cluster_label").agg(F.sum(F.size("samples")).alias("n_samples"), F.sum(F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))
+
+
+@bound(f"""with {_S},
+w as (select user_id, id, k, st + k * ((en - st) // 4) as ws, st + (k + 1) * ((en - st) // 4) as we from s, (values (0), (1), (2), (3)) t(k)),
+o as (select w.id, k, t.kind, sum(least(we, t.en) - greatest(ws, t.st)) as d from w join s t on t.user_id = w.user_id and t.id % 2 = 1 and ws < t.en and t.st < we group by 1, 2, 3),
+b as (select id, k, arg_min(kind, (-d, kind)) as label from o group by 1, 2)
+select id as event_id, string_agg(coalesce(label, '-'), ',' order by k) as labels from w left join b using (id, k) group by 1""")
+def q_words_speakers(spark, sf_dir):
+    """Events as segments of four words each, every second event as a turn of its kind."""
+    rows = _spans(spark, sf_dir)
+    quarter = (F.col("end") - F.col("start")).cast("long")
+    quarter = F.floor(quarter / 4)
+    word = lambda k: F.struct((F.col("start") + k * quarter).alias("start"), (F.col("start") + (k + 1) * quarter).alias("end"))
+    segments = rows.select("user_id", "id", "start", "end", F.array(*[word(k) for k in range(4)]).alias("words"))
+    out = shaping.speakers_of_words(segments, rows.where("id % 2 = 1"), "user_id", "words", "kind", bucket=6 * intervals.HOUR)
+    return out.select(F.col("id").alias("event_id"), F.array_join(F.transform("words", lambda w: F.coalesce(w["cluster_label"], F.lit("-"))), ",").alias("labels"))
+
+
+@bound(r"""with w as (select conv_id, turn, text, string_split(text, ' ') as w from conversations),
+e as (select conv_id, turn, unnest(w) as x, generate_subscripts(w, 1) - 1 as i from w),
+k as (select conv_id, turn, count(*) as n_words, string_agg(regexp_replace(x, '^\s+|\s+$', '', 'g'), '|' order by i) as said, sum(case when i % 3 = 0 then 0 else i end)::double as score from e where i % 5 <> 0 and i % 7 <> 0 group by 1, 2)
+select conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') as text, coalesce(n_words, 0) as n_words, coalesce(said, '') as said, coalesce(score, 0) as score from w left join k using (conv_id, turn)""")
+def q_aligned(spark, sf_dir):
+    """Turns of conversations as segments; words at places divisible by 5 lack a start, by 7 an end, by 3 a score."""
+    rows = _t(spark, sf_dir, "conversations")
+    word = lambda x, i: F.struct(x.alias("word"), F.when(i % 5 != 0, i * 0.5).alias("start"), F.when(i % 7 != 0, i * 0.5 + 0.5).alias("end"), F.when(i % 3 != 0, i).alias("score"))
+    out = shaping.aligned(rows.withColumn("words", F.transform(F.split("text", " "), word)))
+    at = "words_wav2vec2"
+    return out.select("conv_id", "turn", "text", F.size(at).cast("long").alias("n_words"), F.array_join(F.transform(at, lambda w: w["word"]), "|").alias("said"), F.aggregate(at, F.lit(0.0), lambda s, w: s + w["score"]).alias("score"))
