@@ -1,8 +1,10 @@
 """Vector operators: nearest centroid, assignment, flips, similar pairs, rings and running centroids.
 
 Vectors are ``array<float>``; arithmetic is in double. A library of centroids is one row per ``name``. Vectors are scored
-against it in blocks of at most BLOCK_BYTES, broadcast one after the other, each a matrix product for a batch of vectors;
-the best so far goes from block to block beside the vector, so nothing shuffles and no library is too large.
+against it in blocks of at most BLOCK_BYTES, each a matrix product for a batch of vectors, PASS_BLOCKS of them a pass over
+the vectors; the best so far goes from pass to pass beside the vector, by way of a checkpoint, so nothing shuffles, a task
+has one Python worker with one pass's blocks, and what was broadcast for a pass is freed after it. The library comes to the
+driver a block at a time; each pass reads the vectors once, so time grows with the library's size.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-BLOCK_BYTES = 32 << 20
+from sessionlake.sources.shared import shared_folder
+
+BLOCK_BYTES, PASS_BLOCKS = 32 << 20, 4
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -60,38 +64,47 @@ def best_scores(vectors: DataFrame, library: DataFrame, name: str, vec: str, own
     kind = library.schema[name].dataType
     empty = {"best": F.lit(None).cast(kind), "best_score": F.lit(None).cast("double")} | ({"own_score": F.lit(None).cast("double")} if own else {})
     rows = vectors.withColumns(empty)
-    arrow = to_arrow_type(kind)
-    for names, matrix in _blocks(library, name):
-        sent = vectors.sparkSession.sparkContext.broadcast((names, matrix))
-        columns, schema = rows.columns, rows.schema
-        at, mine = columns.index(vec), columns.index(own) if own else None
-        to = {c: columns.index(c) for c in empty}
-
-        def run(batches, sent=sent, columns=columns, at=at, mine=mine, to=to):
-            names, matrix = sent.value
-            place = {n: k for k, n in enumerate(names)}
+    arrow, context = to_arrow_type(kind), vectors.sparkSession.sparkContext
+    columns, schema = rows.columns, rows.schema
+    at, mine = columns.index(vec), columns.index(own) if own else None
+    to = {c: columns.index(c) for c in empty}
+
+    def one_pass(rows: DataFrame, sent: list) -> DataFrame:
+        def run(batches):
+            blocks = [(names, matrix, {n: k for k, n in enumerate(names)}) for names, matrix in (b.value for b in sent)]
             for whole in batches:
                 for first in range(0, whole.num_rows, 1024):
                     batch = whole.slice(first, 1024)
                     out = {c: batch.column(k).to_pylist() for c, k in to.items()}
                     there = [k for k, v in enumerate(batch.column(at).is_valid().to_pylist()) if v]
-                    scores = _unit([batch.column(at)[k].as_py() for k in there]) @ matrix.T if there else np.zeros((0, len(names)))
-                    if mine is not None:
-                        for row, k in enumerate(there):
-                            j = place.get(batch.column(mine)[k].as_py())
-                            if j is not None:
-                                out["own_score"][k] = float(scores[row, j])
-                                scores[row, j] = -np.inf
-                    for row, k in enumerate(there):
-                        j = int(scores[row].argmax())
-                        s = float(scores[row, j])
-                        if s > -np.inf and (out["best_score"][k] is None or s > out["best_score"][k]):
-                            out["best"][k], out["best_score"][k] = names[j], s
+                    held = _unit([batch.column(at)[k].as_py() for k in there]) if there else None
+                    for names, matrix, place in blocks if there else ():
+                        scores = held @ matrix.T
+                        if mine is not None:
+                            for row, k in enumerate(there):
+                                j = place.get(batch.column(mine)[k].as_py())
+                                if j is not None:
+                                    out["own_score"][k] = float(scores[row, j])
+                                    scores[row, j] = -np.inf
+                        for row, (k, j) in enumerate(zip(there, scores.argmax(axis=1).tolist())):
+                            s = float(scores[row, j])
+                            if s > -np.inf and (out["best_score"][k] is None or s > out["best_score"][k]):
+                                out["best"][k], out["best_score"][k] = names[j], s
                     made = {c: pa.array(v, arrow if c == "best" else pa.float64()) for c, v in out.items()}
                     yield pa.RecordBatch.from_arrays([made.get(c, batch.column(k)) for k, c in enumerate(columns)], columns)
 
-        rows = rows.mapInArrow(run, schema)
-    return rows
+        return rows.mapInArrow(run, schema)
+
+    sent: list = []
+    for block in _blocks(library, name):
+        if len(sent) == PASS_BLOCKS:
+            shared_folder(vectors.sparkSession)
+            rows = one_pass(rows, sent).checkpoint()
+            for b in sent:
+                b.destroy()
+            sent = []
+        sent.append(context.broadcast(block))
+    return one_pass(rows, sent) if sent else rows
 
 
 def nearest_centroid(vectors: DataFrame, library: DataFrame, name: str, vec: str) -> DataFrame:
@@ -123,7 +136,8 @@ def assign_two(clusters: DataFrame, library: DataFrame, group: str, slot: str, f
 def similar_pairs(vectors: DataFrame, key: str, vec: str, above: float, block: int = 512) -> DataFrame:
     """Pairs ``a < b`` with a cosine above the threshold: blocks of vectors meet, each pair of blocks is one product.
 
-    Each block is sent once to every block from itself on, by an equi-join on the block's number; none is broadcast.
+    Keys are of any type that orders. Each block is sent once to every block from itself on, by an equi-join on the block's
+    number; none is broadcast.
     """
     blocks = max(1, -(-vectors.count() // block))
     packed = vectors.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v"))).alias("rows"))
@@ -131,20 +145,24 @@ def similar_pairs(vectors: DataFrame, key: str, vec: str, above: float, block: i
     two = packed.select(F.col("_b").alias("b2"), F.col("rows").alias("rows2")).hint("shuffle_merge")
     meet = one.join(two, "b2").select("b1", "b2", "rows1", "rows2")
 
+    kind = vectors.schema[key].dataType
+    arrow = to_arrow_type(kind)
+
     def matrix(rows):
-        return np.array([r["k"] for r in rows]), _unit([r["v"] for r in rows])
+        return [r["k"] for r in rows], _unit([r["v"] for r in rows])
 
     def run(batches):
         for batch in batches:
             for same, x, y in zip((a == b for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 (ka, va), (kb, vb) = matrix(x), matrix(y)
                 cos = va @ vb.T
-                i, j = np.nonzero(cos > above)
-                a, b, c = ka[i], kb[j], cos[i, j]
-                keep = a < b if same else a != b
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(c[keep])], ["a", "b", "cosine"])
+                met = [(ka[i], kb[j], c) for i, j, c in zip(*map(np.ndarray.tolist, np.nonzero(cos > above)), cos[cos > above].tolist())]
+                met = [(min(a, b), max(a, b), c) for a, b, c in met if (a < b if same else a != b)]
+                columns = zip(*met) if met else [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, (arrow, arrow, pa.float64()))], ["a", "b", "cosine"])
 
-    return meet.mapInArrow(run, "a long, b long, cosine double")
+    told = kind.simpleString()
+    return meet.mapInArrow(run, f"a {told}, b {told}, cosine double")
 
 
 def recent(vectors: DataFrame, by: str, order: str, size: int = 10) -> DataFrame:

@@ -78,3 +78,13 @@ def phase_pairs(rows: DataFrame, by: str, kind: str, start: str, begins: str, en
     w = Window.partitionBy(by).orderBy(start, order)
     both = rows.where(F.col(kind).isin(begins, ends)).withColumns({"_k": F.lead(kind).over(w), "_s": F.lead(start).over(w)})
     return both.where((F.col(kind) == begins) & (F.col("_k") == ends)).withColumn("elapsed", F.col("_s") - F.col(start)).drop("_k", "_s")
+
+
+def display_order(files: DataFrame, by: str, sort: str, name: str = "name", key: str = "id") -> DataFrame:
+    """Adds ``place``: the row's number, from 0, in the order in which its group (``by``) is shown.
+
+    ``sort`` is the name column, in which marks and case come after letters (a, A, á, b), or a number, the largest first.
+    Ties come in order of ``key``; missing values last.
+    """
+    order = F.asc_nulls_last(F.collate(name, "UNICODE")) if sort == name else F.desc_nulls_last(sort)
+    return files.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order, key)) - 1)

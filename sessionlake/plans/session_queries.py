@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions import text
 from sessionlake.operators import corpus, intervals, library, matching, measures, polish, redo, regions, registry, shaping, signals, speakers, summaries  # noqa: F401
-from sessionlake.streaming import fold
+from sessionlake.streaming import commands, fold
 
 from .bindings import _S, _spans, _t, bound
 
@@ -524,3 +524,21 @@ def q_aligned(spark, sf_dir):
     out = shaping.aligned(rows.withColumn("words", F.transform(F.split("text", " "), word)))
     at = "words_wav2vec2"
     return out.select("conv_id", "turn", "text", F.size(at).cast("long").alias("n_words"), F.array_join(F.transform(at, lambda w: w["word"]), "|").alias("said"), F.aggregate(at, F.lit(0.0), lambda s, w: s + w["score"]).alias("score"))
+
+
+@bound(r"""with i as (select l_orderkey, l_linenumber, l_linenumber % 7 = 0 as everything, case l_linenumber % 4 when 0 then '' when 1 then ' 12 h' when 2 then 'x' else l_quantity::bigint::varchar end as threshold,
+case when l_suppkey % 3 = 0 then '  ' else ' p' || l_suppkey || ' ' end as student, case l_linenumber % 3 when 0 then '-0.5' when 1 then '.' || l_partkey || 'e-1z' else 'none' end as confidence from lineitem)
+select l_orderkey, l_linenumber, case when everything then true end as "all", case when not everything then try_cast(regexp_extract(threshold, '^\s*([+-]?[0-9]+)', 1) as bigint) end as threshold,
+case when not everything then nullif(trim(student), '') end as student, case when not everything and l_linenumber % 3 = 1 then nullif(round(('0.' || regexp_extract(confidence, '[0-9]+'))::double / 10, 9), 0) end as confidence_below from i""")
+def q_redo_filters(spark, sf_dir):
+    typed = _t(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_linenumber % 7 = 0 as everything", "case l_linenumber % 4 when 0 then '' when 1 then ' 12 h' when 2 then 'x' else cast(cast(l_quantity as bigint) as string) end as threshold",
+        "case when l_suppkey % 3 = 0 then '  ' else concat(' p', l_suppkey, ' ') end as student", "cast(null as string) as teacher", "case l_linenumber % 3 when 0 then '-0.5' when 1 then concat('.', l_partkey, 'e-1z') else 'none' end as confidence", "' ' as after")
+    return commands.redo_filters(typed).withColumn("confidence_below", F.round("confidence_below", 9)).drop("teacher", "after")
+
+
+@bound("""select c_custkey, row_number() over (partition by c_nationkey order by c_name, c_custkey) - 1 as by_name, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) - 1 as by_size from customer""")
+def q_display_order(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer")
+    named = summaries.display_order(rows, "c_nationkey", "c_name", "c_name", "c_custkey").withColumnRenamed("place", "by_name")
+    return summaries.display_order(named, "c_nationkey", "c_acctbal", "c_name", "c_custkey").select("c_custkey", "by_name", F.col("place").alias("by_size"))
