@@ -22,8 +22,10 @@ from .corpus import chunks
 #: Fixed names of the reasons against a patch, in the order in which they are asked.
 REASONS = (
     "invalid_segment_index", "invalid_word_index", "empty_text", "no_change", "missing_word_metadata", "original_mismatch",
-    "no_word_confidence_and_not_glossary", "word_confidence_above_threshold", "phonetic_keys_differ",
+    "no_word_confidence_and_not_glossary", "word_confidence_above_threshold", "unknown_phonetic_gate", "phonetic_keys_differ",
 )
+#: The one test of sounds there is; any other name refuses what the glossary does not know.
+GATE = "metaphone_ro_fold"
 
 
 def by_sung(rows: DataFrame, region: str = "region") -> tuple[DataFrame, DataFrame]:
@@ -67,7 +69,7 @@ def introduced(before: Column, after: Column) -> Column:
     return F.array_sort(F.array_except(F.coalesce(after, none), F.coalesce(before, none)))
 
 
-def judge_patches(patches: DataFrame, words: DataFrame, glossary: list[str], threshold: float = 0.6, sounds: Callable[[Column, Column], Column] = same_sound, key: str = "file_id") -> DataFrame:
+def judge_patches(patches: DataFrame, words: DataFrame, glossary: list[str], threshold: float = 0.6, sounds: Callable[[Column, Column], Column] = same_sound, key: str = "file_id", gate: str = GATE) -> DataFrame:
     """Adds ``rejection_reason`` (null: accepted) to each patch, judged by the words as they were at first.
 
     ``words`` holds ``key, segment_index, word_index, word, probability``; a segment without words has one row of null
@@ -81,7 +83,7 @@ def judge_patches(patches: DataFrame, words: DataFrame, glossary: list[str], thr
     missing = lambda c: F.col(c).isNull()
     asked = (
         missing("segment_index") | missing("_segment") | (F.col("segment_index") < 0), missing("word_index") | (F.col("word_index") < 0), (old == "") | (new == ""), old == new,
-        missing("_there"), F.coalesce("_word", F.lit("")) != old, missing("_p") & ~known, F.col("_p") >= threshold, ~known & ~sounds(old, new),
+        missing("_there"), F.coalesce("_word", F.lit("")) != old, missing("_p") & ~known, F.col("_p") >= threshold, ~known & F.lit(gate != GATE), ~known & ~sounds(old, new),
     )
     reason = F.lit(None).cast("string")
     for name, holds in reversed(list(zip(REASONS, asked))):
@@ -89,7 +91,7 @@ def judge_patches(patches: DataFrame, words: DataFrame, glossary: list[str], thr
     return rows.withColumn("rejection_reason", reason).drop("_segment", "_word", "_p", "_there")
 
 
-def apply_patches(patches: DataFrame, words: DataFrame, glossary: list[str], threshold: float = 0.6, key: str = "file_id") -> DataFrame:
+def apply_patches(patches: DataFrame, words: DataFrame, glossary: list[str], threshold: float = 0.6, key: str = "file_id", gate: str = GATE) -> DataFrame:
     """``key, segment_index, text, n_applied, rejected`` of every segment that has words or patches.
 
     A patch is judged by the words that those before it (by ``patch_no``) left: their order matters only within a
@@ -123,8 +125,12 @@ def apply_patches(patches: DataFrame, words: DataFrame, glossary: list[str], thr
             return REASONS[6]
         if sure is not None and sure >= threshold:
             return REASONS[7]
+        if known:
+            return None
+        if gate != GATE:
+            return REASONS[8]
         a = sound_key(old)
-        return None if known or (a and a == sound_key(new)) else REASONS[8]
+        return None if a and a == sound_key(new) else REASONS[9]
 
     def fold(keys: tuple, w: pd.DataFrame, p: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
         held = None if w.empty else {int(r.word_index): (r.word or "", None if pd.isna(r.probability) else r.probability) for r in w.itertuples() if not pd.isna(r.word_index)}

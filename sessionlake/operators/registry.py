@@ -92,9 +92,21 @@ def update_gate(
     return judged.select(key, "decision", F.when(down, left - 1).otherwise(left).alias("remaining"))
 
 
+#: Glossaries of up to so many variants are looked up inside a text's array of words.
+FEW_VARIANTS = 10_000
+
+
 def glossary_hits(docs: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """``key, term, n``: how often the words (letters a-z) of a text are variants (``term, variant``) of a term."""
-    words = docs.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("variant"))
+    """``key, term, n``: how often the words (letters a-z) of a text are variants (``term, variant``) of a term.
+
+    Words that are no variants go before the texts are taken apart, unless the glossary has too many to be sent along:
+    then every word meets it in a join. The hits are the same.
+    """
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    few = terms.select("variant").where("variant is not null").distinct().limit(FEW_VARIANTS + 1).collect()
+    if len(few) <= FEW_VARIANTS:
+        found = F.filter(found, lambda w: w.isin([r["variant"] for r in few]))
+    words = docs.select(key, F.explode(found).alias("variant"))
     return words.join(terms, "variant").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 

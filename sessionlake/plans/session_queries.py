@@ -116,8 +116,7 @@ select p.file_id, p.patch_no, case when s.file_id is null or p.segment_index < 0
 from p left join s on s.file_id = p.file_id and s.segment_index = p.segment_index left join w on w.file_id = p.file_id and w.segment_index = p.segment_index and w.word_index = p.word_index""")
 def q_patch_gate(spark, sf_dir):
     lines = _t(spark, sf_dir, "lineitem")
-    lines.createOrReplaceTempView("lineitem_for_patches")
-    sql = lambda s: spark.sql(s.replace("from lineitem", "from lineitem_for_patches"))
+    sql = lambda s: spark.sql(s.replace("from lineitem", "from {lines}"), lines=lines)
     words = sql(f"{_WORDS} union all select l_orderkey, l_linenumber, 1, 'word', l_tax * 10 from lineitem where l_linenumber % 2 = 0 union all select l_orderkey, l_linenumber, 2, case when l_suppkey % 2 = 0 then 'word' else 'else' end, 0.1D from lineitem")
     alike = lambda a, b: F.substring(a, 3, 1) == F.substring(b, 3, 1)  # noqa: E731  the phonetic key is tested apart
     return polish.judge_patches(sql(_PATCH), words, ["Term"], 0.6, alike).select("file_id", "patch_no", "rejection_reason")
@@ -224,8 +223,7 @@ c as (select *, case when own then low else sp1 end as a, case when own then low
  case when own then low + 0.5 * (high - low) else mi1 end as e, case when own then low + 0.75 * (high - low) else mi2 end as f from b)
 select c_custkey, round(b::double, 6) as speech_end, round(d::double, 6) as low_end, case when c_custkey % 7 = 0 then 'speaking' when middle between a and b and spread <= 0.08 then 'speaking' when held then 'sung_full' when middle >= c and middle < d then 'sung_low' when middle >= e and middle < f then 'sung_mid' else 'sung_high' end as region from c""")
 def q_pitch_region(spark, sf_dir):
-    _t(spark, sf_dir, "customer").createOrReplaceTempView("customer_for_bands")
-    rows = spark.sql(_PERSON.replace("from customer", "from customer_for_bands")).withColumn("bands", regions.person_bands(F.col("kind"), F.col("low"), F.col("high")))
+    rows = spark.sql(_PERSON.replace("from customer", "from {persons}"), persons=_t(spark, sf_dir, "customer")).withColumn("bands", regions.person_bands(F.col("kind"), F.col("low"), F.col("high")))
     middle = F.when(F.col("c_custkey") % 7 != 0, F.col("middle"))
     region = regions.pitch_region(middle, F.col("spread"), F.col("held"), F.col("bands"))
     return rows.select("c_custkey", F.round("bands.speaking.hi", 6).alias("speech_end"), F.round("bands.sung_low.hi", 6).alias("low_end"), region.alias("region"))

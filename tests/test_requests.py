@@ -5,7 +5,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from sessionlake.operators import matching, registry, regions, summaries
+from sessionlake.operators import matching, polish, registry, regions, summaries
 from sessionlake.streaming import commands
 
 GIVEN = [
@@ -66,3 +66,21 @@ def test_display_names_and_sung_labels(spark):
     assert [r[0] for r in rows.select(registry.display(F.col("n"), F.col("m"))).collect()] == ["Ann", "Ann", "Ann (II)"]
     labels = spark.createDataFrame([("sung_low",), ("speaking",), ("unsung",), (None,)], "l string")
     assert [bool(r[0]) for r in labels.select(regions.is_sung(F.col("l"))).collect()] == [True, False, False, False]
+
+
+def test_glossaries_of_any_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Right rights, LEFT wrong right"), (2, None), (3, "")], "doc_id int, text string")
+    terms = spark.createDataFrame([("right", "right"), ("right", "rights"), ("left", "left"), ("both", "right"), ("none", None)], "term string, variant string")
+    few = sorted(map(tuple, registry.glossary_hits(docs, terms, "doc_id").collect()))
+    monkeypatch.setattr(registry, "FEW_VARIANTS", 1)
+    assert few == sorted(map(tuple, registry.glossary_hits(docs, terms, "doc_id").collect())) == [(1, "both", 2), (1, "left", 1), (1, "right", 3)]
+    assert registry.glossary_hits(docs, terms.limit(0), "doc_id").count() == 0
+
+
+def test_an_unknown_gate_refuses_what_the_glossary_does_not_know(spark):
+    words = spark.createDataFrame([("f", 0, k, "word", 0.1) for k in range(3)], "file_id string, segment_index int, word_index int, word string, probability double")
+    patches = spark.createDataFrame([("f", 1, 0, 0, "word", "ward"), ("f", 2, 0, 1, "word", "term"), ("f", 3, 0, 2, "word", "zzz")], "file_id string, patch_no int, segment_index int, word_index int, original string, proposed string")
+    said = lambda gate: [r[0] for r in polish.judge_patches(patches, words, ["term"], gate=gate).orderBy("patch_no").select("rejection_reason").collect()]
+    assert said("other") == ["unknown_phonetic_gate", None, "unknown_phonetic_gate"] and said(polish.GATE) == [None, None, "phonetic_keys_differ"]
+    (row,) = polish.apply_patches(patches, words, ["term"], gate="other").collect()
+    assert row["text"] == "word term word" and {r["reason"] for r in row["rejected"]} == {"unknown_phonetic_gate"}
