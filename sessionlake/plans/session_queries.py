@@ -8,6 +8,7 @@ from sessionlake.functions import text
 from sessionlake.operators import corpus, intervals, library, matching, measures, polish, redo, regions, registry, shaping, signals, speakers, summaries  # noqa: F401
 from sessionlake.streaming import commands, fold
 
+from . import calibration
 from .bindings import _S, _spans, _t, bound
 
 _ROLE = "case when o_orderkey % 3 = 0 then 'teacher' when o_orderkey % 3 = 1 then 'student' end"
@@ -540,3 +541,13 @@ def q_display_order(spark, sf_dir):
     rows = _t(spark, sf_dir, "customer")
     named = summaries.display_order(rows, "c_nationkey", "c_name", "c_name", "c_custkey").withColumnRenamed("place", "by_name")
     return summaries.display_order(named, "c_nationkey", "c_acctbal", "c_name", "c_custkey").select("c_custkey", "by_name", F.col("place").alias("by_size"))
+
+
+@bound("""with v as (select * from (values ('discount', 0, 0.02), ('discount', 1, 0.05), ('discount', 2, 0.0), ('tax', 0, 0.04), ('tax', 1, 0.07)) t(knob, place, value)),
+m as (select v.*, case knob when 'discount' then l_discount else l_tax end < value as low, l_quantity::bigint as q from lineitem, v),
+s as (select knob, place, value, count(*) filter (low) as n_flagged, avg(q) filter (low) - avg(q) filter (not low) as separation from m group by 1, 2, 3)
+select knob, value::double as value, n_flagged, round(separation, 9) as separation from s where separation is not null qualify row_number() over (partition by knob order by separation desc, place) = 1""")
+def q_recommended_knobs(spark, sf_dir):
+    knobs = {"discount": ("l_discount", (0.02, 0.05, 0.0)), "tax": ("l_tax", (0.04, 0.07))}
+    rows = _t(spark, sf_dir, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("long"))
+    return calibration.recommended(calibration.swept(rows, "l_quantity", knobs)).select("knob", "value", "n_flagged", F.round("separation", 9).alias("separation"))
