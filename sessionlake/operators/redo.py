@@ -1,10 +1,10 @@
-"""Redo: sessions recomputed from what is stored, with the library as it stands now.
+"""Sessions taken into a corpus, and redone: recomputed from what is stored, with the library as it stands now.
 
 A corpus is a folder: ``voices`` (versioned STATE of the library), ``clusters`` (``file_id, cluster_label, vec``), and
 ``sessions`` and ``segments``, both partitioned by one column of theirs (``part``), a date or the file itself. ``redo``
 identifies the speakers of the chosen files anew, lets given steps verify and polish the segments, makes the library's
 universal centroids anew and stamps the sessions with the library's version. Counters, hours, rings and region centroids
-stay, so a redo counts nothing twice.
+stay, so a redo counts nothing twice. ``ingest`` does the same for new files and folds their voices into the library.
 
 Results are staged first and laid over the corpus after: only the partitions that hold a chosen file are written, with the
 other files of such a partition carried along; all other partitions keep their files. Laying over can be repeated: after a
@@ -109,18 +109,8 @@ def registered(persons: DataFrame, assigned: DataFrame, sessions: DataFrame) ->
     return persons.select("id", "display_name", "default_role").unionByName(new.groupBy("id").agg(F.first("display_name").alias("display_name"), F.max("default_role").alias("default_role")))
 
 
-def redo(spark: SparkSession, base: str, chosen: DataFrame, names: DataFrame, processed_at: str, part: str = "date", turns: DataFrame | None = None, polish: Callable[[DataFrame], DataFrame] | None = None, **gates) -> int:
-    """Redoes the chosen files (``file_id``) of the corpus at ``base``; returns the number of the staged redo.
-
-    ``names`` are the persons' ``id, display_name, default_role``; ``turns`` are voices of short segments for
-    ``verified``; ``polish`` takes the spoken segments that are not polished yet and returns them. ``processed_at`` goes
-    into the sessions, and the version of ``voices`` into their ``voices_version``, where they have that column. Files without two clusters stay as they are. Persons that a chosen file names and that are not
-    registered are bootstrapped from their cluster; of several such files the first one's.
-    """
-    state = current(spark, f"{base}/voices")
-    held = {t: spark.read.parquet(f"{base}/{t}") for t in STORED}
-    clusters = spark.read.parquet(f"{base}/clusters").join(chosen.select("file_id"), "file_id", "left_semi")
-    sessions = meta(held["sessions"].join(chosen.select("file_id"), "file_id", "left_semi"))
+def _processed(state: DataFrame, sessions: DataFrame, segments: DataFrame, clusters: DataFrame, names: DataFrame, processed_at: str, number: int | None, turns: DataFrame | None, polish: Callable[[DataFrame], DataFrame] | None):
+    """Segments, sessions (with ``teacher_id, student_id``) and the state before any update, with new persons in it."""
     assigned, refused = identify(clusters, sessions, library_rows(state), person_rows(state))
     sessions = sessions.join(refused.select("file_id"), "file_id", "left_anti")
     known = registered(names, assigned, sessions)
@@ -131,26 +121,98 @@ def redo(spark: SparkSession, base: str, chosen: DataFrame, names: DataFrame, pr
     new = new_persons(fresh.select(F.col("person_id").alias("id"), F.col("date").cast("string").alias("first_seen")))
     state = state.unionByName(state_of(new, bootstrap(fresh, "person_id", "vec")), allowMissingColumns=True)
 
-    rows = attributed(held["segments"].join(sessions.select("file_id"), "file_id", "left_semi"), assigned, sessions, known)
+    rows = attributed(segments.join(sessions.select("file_id"), "file_id", "left_semi"), assigned, sessions, known)
     if turns is not None:
         rows = verified(rows, turns, clusters, assigned, known)
     if polish is not None:
         open_ones = ~F.col("sung") & ~F.coalesce("polished", F.lit(False))
         rows = rows.where(~open_ones).unionByName(polish(rows.where(open_ones)), allowMissingColumns=True)
     order = Window.partitionBy("file_id").orderBy(F.coalesce("start", F.lit(0.0)), F.col("sung"), "seg_idx")
-    rows = rows.withColumn("seg_idx", (F.row_number().over(order) - 1).cast(held["segments"].schema["seg_idx"].dataType))
-
-    number = (max((int(r[0]) for r in _staged(spark, base)), default=0)) + 1
-    stage = f"{base}/redo/n={number}"
-    touched = held["sessions"].join(sessions.select("file_id"), "file_id", "left_semi").select(part).distinct()
-    for name, made in (("segments", rows), ("sessions", None)):
-        if made is None:
-            stamp = {"processed_at": F.lit(processed_at), "voices_version": F.lit(version(spark, f"{base}/voices")).cast("long")}
-            made = sessions.drop("participants", "teacher_id", "student_id").join(participants(assigned, sessions, known), "file_id", "left").withColumns(stamp)
-        old = held[name].join(touched, part, "left_semi").join(sessions.select("file_id"), "file_id", "left_anti")
-        old.unionByName(made.select(*[c for c in held[name].columns if c in made.columns]), allowMissingColumns=True).write.mode("overwrite").parquet(f"{stage}/{name}")
-    updates = session_updates(spark.read.parquet(f"{stage}/segments").join(sessions.select("file_id"), "file_id", "left_semi"), sessions, _no_voices(spark))
-    fold_library(updates, state, redo=True, **gates).select(*state.columns).write.mode("overwrite").parquet(f"{stage}/voices")
+    rows = rows.withColumn("seg_idx", (F.row_number().over(order) - 1).cast(segments.schema["seg_idx"].dataType))
+    stamp = {"processed_at": F.lit(processed_at), "voices_version": F.lit(number).cast("long")}
+    made = sessions.drop("participants").join(participants(assigned, sessions, known), "file_id", "left").withColumns(stamp)
+    return rows, made, state
+
+
+def _next_stage(spark: SparkSession, base: str) -> tuple[int, str]:
+    number = max((int(n) for n, _ in _staged(spark, base)), default=0) + 1
+    return number, f"{base}/redo/n={number}"
+
+
+def _write_stage(stage: str, held: dict[str, DataFrame | None], made: dict[str, DataFrame], part: str) -> None:
+    """The made rows, with what else their partitions hold."""
+    touched, files = made["sessions"].select(part).distinct(), made["sessions"].select("file_id")
+    for name, rows in made.items():
+        old = held[name]
+        if old is not None:
+            rows = rows.select(*[c for c in old.columns if c in rows.columns])
+            rows = old.join(touched, part, "left_semi").join(files, "file_id", "left_anti").unionByName(rows, allowMissingColumns=True)
+        rows.write.mode("overwrite").parquet(f"{stage}/{name}")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def redo(spark: SparkSession, base: str, chosen: DataFrame, names: DataFrame, processed_at: str, part: str = "date", turns: DataFrame | None = None, polish: Callable[[DataFrame], DataFrame] | None = None, **gates) -> int:
+    """Redoes the chosen files (``file_id``) of the corpus at ``base``; returns the number of the staged redo.
+
+    ``names`` are the persons' ``id, display_name, default_role``; ``turns`` are voices of short segments for
+    ``verified``; ``polish`` takes the spoken segments that are not polished yet and returns them. ``processed_at`` goes
+    into the sessions, and the version of ``voices`` into their ``voices_version``, where they have that column. Files
+    without two clusters stay as they are. Persons that a chosen file names and that are not registered are bootstrapped
+    from their cluster; of several such files the first one's.
+    """
+    held = {t: spark.read.parquet(f"{base}/{t}") for t in STORED}
+    clusters = spark.read.parquet(f"{base}/clusters").join(chosen.select("file_id"), "file_id", "left_semi")
+    sessions = meta(held["sessions"].join(chosen.select("file_id"), "file_id", "left_semi"))
+    rows, made, state = _processed(current(spark, f"{base}/voices"), sessions, held["segments"], clusters, names, processed_at, version(spark, f"{base}/voices"), turns, polish)
+    number, stage = _next_stage(spark, base)
+    _write_stage(stage, held, {"segments": rows, "sessions": made}, part)
+    updates = session_updates(spark.read.parquet(f"{stage}/segments").join(made.select("file_id"), "file_id", "left_semi"), made, _no_voices(spark))
+    return _laid_over(spark, base, number, stage, part, fold_library(updates, state, redo=True, **gates), state.columns)
+
+
+def ingest(
+    spark: SparkSession, base: str, sessions: DataFrame, segments: DataFrame, clusters: DataFrame, names: DataFrame, voices: Callable[[DataFrame], DataFrame],
+    processed_at: str, part: str = "date", turns: DataFrame | None = None, polish: Callable[[DataFrame], DataFrame] | None = None, **gates,
+) -> int | None:
+    """Takes new sessions into the corpus at ``base``, which may be empty; returns the number of the stage, None where
+    nothing was new.
+
+    ``sessions`` hold ``file_id, date, language, teacher_id, student_id`` and more, ``segments`` what recognition and
+    diarization gave (``file_id, date, seg_idx, start, end, text, cluster_label`` and more), ``clusters`` the voices of the
+    files' clusters. Files that the corpus has are passed over, so a run that was cut off is simply run again. ``voices``
+    takes the attributed segments and returns what their regions sound like (``signals.region_voices``); they are folded
+    into the library in order of date. All files of one call are identified by the library as it was before it: where one
+    day's voices should serve the next day's identification, call once a day. Other parameters are those of ``redo``.
+    """
+    held = {t: _stored(spark, f"{base}/{t}") for t in STORED}
+    if held["sessions"] is not None:
+        sessions = sessions.join(held["sessions"].select("file_id"), "file_id", "left_anti")
+    if sessions.isEmpty():
+        return None
+    fresh = lambda df: df.join(sessions.select("file_id"), "file_id", "left_semi")
+    segments, clusters = fresh(segments), fresh(clusters)
+    for name, kind in (("region", "string"), ("polished", "boolean")):
+        if name not in segments.columns:
+            segments = segments.withColumn(name, F.lit(None).cast(kind))
+    number, stage = _next_stage(spark, base)
+    clusters.write.mode("overwrite").parquet(f"{stage}/clusters")
+    clusters = spark.read.parquet(f"{stage}/clusters")
+    state = current(spark, f"{base}/voices")
+    if state is None:
+        nobody = new_persons(spark.createDataFrame([], "id string, first_seen string"))
+        state = state_of(nobody, spark.createDataFrame([], "person_id string, name string, row_no int, vec array<double>"))
+    rows, made, state = _processed(state, sessions, segments, clusters, names, processed_at, (version(spark, f"{base}/voices") or 0) + 1, turns, polish)
+    _write_stage(stage, held, {"segments": rows, "sessions": made.drop("teacher_id", "student_id") if held["sessions"] is None else made}, part)
+    new = fresh(spark.read.parquet(f"{stage}/segments"))
+    return _laid_over(spark, base, number, stage, part, fold_library(session_updates(new, made, voices(new)), state, **gates), state.columns)
+
+
+def _laid_over(spark: SparkSession, base: str, number: int, stage: str, part: str, folded: DataFrame, columns: list[str]) -> int:
+    folded.select(*columns).write.mode("overwrite").parquet(f"{stage}/voices")
     spark.createDataFrame([(part,)], "part string").coalesce(1).write.mode("overwrite").parquet(f"{stage}/ready")
     finish(spark, base)
     return number
@@ -183,10 +245,13 @@ def finish(spark: SparkSession, base: str) -> None:
     for name in ("segments", "sessions"):  # the sessions last: they say what was redone
         rows = spark.read.parquet(f"{stage}/{name}").hint("rebalance", part)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(f"{base}/{name}")
+    if (clusters := _stored(spark, f"{stage}/clusters")) is not None:
+        stored = _stored(spark, f"{base}/clusters")
+        added = clusters if stored is None else clusters.join(stored.select("file_id").distinct(), "file_id", "left_anti")
+        added.write.mode("append").parquet(f"{base}/clusters")
     told = lambda state: state.select(F.to_json(F.struct(*sorted(state.columns))).alias("j"))
-    new = spark.read.parquet(f"{stage}/voices")
-    old, fresh = told(current(spark, f"{base}/voices")), told(new)
-    if not (old.exceptAll(fresh).isEmpty() and fresh.exceptAll(old).isEmpty()):
+    new, old = spark.read.parquet(f"{stage}/voices"), current(spark, f"{base}/voices")
+    if old is None or not (told(old).exceptAll(told(new)).isEmpty() and told(new).exceptAll(told(old)).isEmpty()):
         replace(new, f"{base}/voices")
     for n, _ in staged:
         if int(n) < max(whole):

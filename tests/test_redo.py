@@ -218,3 +218,48 @@ def test_an_unfinished_stage_is_not_laid_over(spark, tmp_path):
     spark.range(1).write.parquet(f"{base}/redo/n=1/segments")
     redo.finish(spark, base)
     assert rows_of(spark, base) == before
+
+
+def test_ingest_day_by_day(spark, tmp_path):
+    """Ann teaches bob on three days; both are bootstrapped on the first, known on the others."""
+    base, e = str(tmp_path), np.eye(4)
+    days = [f"2024-02-0{d}" for d in (1, 2, 3)]
+    sessions = [(f"g{k}", d, "en", "ann", "bob") for k, d in enumerate(days)]
+    segments, clusters = [], []
+    for k, d in enumerate(days):
+        swap = k == 2  # on the third day the labels are the other way round
+        clusters += [(f"g{k}", "S0", (e[1] if swap else e[0]).tolist()), (f"g{k}", "S1", (e[0] if swap else e[1]).tolist())]
+        segments += [(f"g{k}", d, i, i * 20.0, i * 20.0 + 19.0, f" text {i}", f"S{i % 2}") for i in range(4)]
+    ss = spark.createDataFrame(sessions, "file_id string, date string, language string, teacher_id string, student_id string")
+    gs = spark.createDataFrame(segments, "file_id string, date string, seg_idx int, start double, end double, text string, cluster_label string")
+    cs = spark.createDataFrame(clusters, "file_id string, cluster_label string, vec array<double>")
+    names = spark.createDataFrame([], "id string, display_name string, default_role string")
+    made = {"ann": e[0] + 0.2 * e[2], "bob": e[1] + 0.2 * e[3]}
+
+    def voices(rows):
+        sound = lambda p: F.array(*map(F.lit, made[p].tolist()))
+        heard = rows.select("file_id", F.col("speaker_id").alias("person_id"), F.lit("speaking").alias("region")).distinct()
+        return heard.withColumn("vec", F.when(F.col("person_id") == "ann", sound("ann")).otherwise(sound("bob")))
+
+    for d in days:
+        assert redo.ingest(spark, base, ss.where(F.col("date") <= d), gs, cs, names, voices, "now") is not None
+    assert redo.ingest(spark, base, ss, gs, cs, names, voices, "later") is None
+    who = {(r["file_id"], r["cluster_label"]): (r["speaker_id"], r["speaker_role"]) for r in spark.read.parquet(f"{base}/segments").collect()}
+    want = {("g0", "S0"): "ann", ("g0", "S1"): "bob", ("g1", "S0"): "ann", ("g1", "S1"): "bob", ("g2", "S0"): "bob", ("g2", "S1"): "ann"}
+    assert who == {k: (p, {"ann": "teacher", "bob": "student"}[p]) for k, p in want.items()}
+    assert spark.read.parquet(f"{base}/segments").count() == 12 and spark.read.parquet(f"{base}/clusters").count() == 6
+    held = {r["person_id"]: r for r in sinks.current(spark, f"{base}/voices").collect()}
+    for p, role in (("ann", "teacher"), ("bob", "student")):
+        person = held[p]["person"]
+        assert person[f"n_sessions_as_{role}"] == 3 and person["bootstrap_sessions_remaining"] == 0 and person["region_session_counts"] == {"speaking": 3} and person["last_updated"] == days[2]
+        v = made[p]
+        for n in (1, 2):
+            v = unit((v * n + made[p]) / (n + 1))
+        assert np.allclose(held[p]["centroids"]["speaking"], v) and len(held[p]["ring"]) == 4
+    assert [r["voices_version"] for r in spark.read.parquet(f"{base}/sessions").orderBy("file_id").collect()] == [1, 2, 3]
+    before = rows_of(spark, base)
+    redo.redo(spark, base, ss.select("file_id"), names, "now")  # what was taken in can be redone
+    after = rows_of(spark, base)
+    assert len(after[0]) == len(before[0]) and {k: v for k, v in who.items()} == {(r["file_id"], r["cluster_label"]): (r["speaker_id"], r["speaker_role"]) for r in spark.read.parquet(f"{base}/segments").collect()}
+    again = {r["person_id"]: r["person"] for r in sinks.current(spark, f"{base}/voices").collect()}
+    assert again == {p: held[p]["person"] for p in held}
