@@ -13,8 +13,8 @@ range minimum by a sparse table. The sorted samples are made when the first pair
 that do not repeat never pay for them.
 
 Null and empty texts have no words and no runs: counts 0, null places, digests of empty strings. Repeated rows are judged
-one by one; null keys stay null; an empty table gives an empty table. Very long texts are judged whole: memory is about
-700 bytes a word in one task for texts that repeat, a tenth of it for others. Only the key and ``text`` are read, so
+one by one; null keys stay null; an empty table gives an empty table. Very long texts are judged whole: memory is some 150
+bytes a word in one task for texts that repeat, beside the words themselves, and less for others. Only the key and ``text`` are read, so
 extra columns of any name do not matter.
 """
 
