@@ -488,4 +488,4 @@ def test_pipeline_stages_keep_what_they_should(spark, given, none):
 
 
 def test_queries_are_all_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
