@@ -9,7 +9,7 @@ driver a block at a time; each pass reads the vectors once, so time grows with t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 from sessionlake.sources.shared import shared_folder
 
 BLOCK_BYTES, PASS_BLOCKS = 32 << 20, 4
+#: Pivots of the search for similar pairs, and what rounding may take from an angle.
+PIVOTS, SLACK = 32, 1e-6
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -133,17 +135,80 @@ def assign_two(clusters: DataFrame, library: DataFrame, group: str, slot: str, f
     return sums.where("n = 2").select(group, (F.col("straight") >= F.col("crossed")).alias("is_straight"))
 
 
+def _directions(rows: list) -> np.ndarray:
+    v = np.array(rows, dtype=np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return v / np.sqrt((v * v).sum(axis=1))[:, None]
+
+
+def _celled(pivots: np.ndarray) -> Callable[[Column], Column]:
+    """``cell, angles`` of a vector: its two nearest pivots as one number, and its angles to all; cell -1 without a direction."""
+    k = len(pivots)
+
+    @F.pandas_udf("cell int, angles array<double>")
+    def celled(vecs: pd.Series) -> pd.DataFrame:
+        angles = np.arccos(np.clip(_directions(vecs.tolist()) @ pivots.T, -1.0, 1.0))
+        near = np.argsort(angles, axis=1)[:, :2]
+        cell = np.where(np.isnan(angles).any(axis=1), -1, near[:, 0] * k + near[:, 1])
+        return pd.DataFrame({"cell": cell.astype("int32"), "angles": list(angles)})
+
+    return celled
+
+
+def meeting_cells(lo: np.ndarray, hi: np.ndarray, within: float) -> np.ndarray:
+    """Which cells may hold two vectors whose angle is at most ``within``, from their least and largest angles to each pivot.
+
+    Angles obey the triangle inequality, so angles to one pivot differ by no more than the angle of the two vectors.
+    """
+    near = np.ones((len(lo), len(lo)), dtype=bool)
+    for k in range(lo.shape[1]):
+        apart = lo[:, k][:, None] - hi[:, k][None, :] > within
+        near &= ~(apart | apart.T)
+    return near
+
+
+def _cells(vectors: DataFrame, key: str, vec: str, above: float, block: int) -> tuple[DataFrame, pa.Table]:
+    """The vectors with ``_cell``, and the cells that meet: ``c1, c2, parts1, parts2``, each pair once, also with itself.
+
+    Up to PIVOTS vectors serve as pivots, so there are fewer than PIVOTS squared cells, whose boxes fit the driver however
+    many vectors there are. Thresholds below 0 and tables of few blocks make one cell.
+    """
+    n = vectors.count()
+    few = min(PIVOTS, n // (4 * block)) if above >= 0 else 0
+    pivots = _directions([r[0] for r in vectors.orderBy(F.xxhash64(key)).limit(few).select(vec).collect()]) if few > 1 else np.empty((0, 0))
+    pivots = pivots[~np.isnan(pivots).any(axis=1)]
+    table = lambda *columns: pa.table(dict(zip(("c1", "c2", "parts1", "parts2"), (pa.array(c, pa.int32()) for c in columns))))
+    if len(pivots) < 2:
+        parts = [max(1, -(-n // block))]
+        return vectors.withColumn("_cell", F.pmod(F.xxhash64(key), F.lit(1)).cast("int")), table([0], [0], parts, parts)  # no constant, so the joins keep their keys
+    celled = vectors.withColumn("_c", _celled(pivots)(vec))
+    bound = lambda f: F.array(*[f(F.get("_c.angles", F.lit(k))) for k in range(len(pivots))])
+    boxes = celled.where("_c.cell >= 0").groupBy("_c.cell").agg(F.count(F.lit(1)).alias("n"), bound(F.min).alias("lo"), bound(F.max).alias("hi")).orderBy("cell").collect()
+    lo, hi = (np.array([r[c] for r in boxes], dtype=np.float64).reshape(len(boxes), len(pivots)) for c in ("lo", "hi"))
+    one, two = np.nonzero(np.triu(meeting_cells(lo, hi, float(np.arccos(min(1.0, above))) + SLACK)))
+    cell, parts = np.array([r["cell"] for r in boxes], dtype=np.int64), np.array([-(-r["n"] // block) for r in boxes], dtype=np.int64)
+    return celled.where("_c.cell >= 0").withColumn("_cell", F.col("_c.cell")).drop("_c"), table(cell[one], cell[two], parts[one], parts[two])
+
+
 def similar_pairs(vectors: DataFrame, key: str, vec: str, above: float, block: int = 512) -> DataFrame:
     """Pairs ``a < b`` with a cosine above the threshold: blocks of vectors meet, each pair of blocks is one product.
 
-    Keys are of any type that orders. Each block is sent once to every block from itself on, by an equi-join on the block's
-    number; none is broadcast.
+    Vectors are put into cells by their two nearest pivots; cells too far apart for the threshold never meet, and a cell is
+    cut into blocks by hash, so one that holds many vectors is many tasks. Each block is sent once to every block it meets,
+    by an equi-join on the block's number; only the list of cells is broadcast. Pruning never loses a pair. Keys are of any
+    type that orders. Null vectors, and with a threshold of 0 or more those of length 0 or with NaN, are in no pair.
     """
-    blocks = max(1, -(-vectors.count() // block))
-    packed = vectors.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v"))).alias("rows"))
-    one = packed.select(F.col("_b").alias("b1"), F.col("rows").alias("rows1"), F.explode(F.sequence("_b", F.lit(blocks - 1).cast("long"))).alias("b2"))
-    two = packed.select(F.col("_b").alias("b2"), F.col("rows").alias("rows2")).hint("shuffle_merge")
-    meet = one.join(two, "b2").select("b1", "b2", "rows1", "rows2")
+    placed, cells = _cells(vectors.where(F.col(vec).isNotNull()), key, vec, above, block)
+    meeting = vectors.sparkSession.createDataFrame(cells)
+    parts = meeting.where("c1 = c2").select(F.col("c1").alias("_cell"), F.col("parts1").alias("_parts"))
+    packed = (
+        placed.join(F.broadcast(parts), "_cell").withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
+        .groupBy("_cell", "_part").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v"))).alias("rows"))
+    )
+    one = packed.select(F.col("_cell").alias("c1"), F.col("_part").alias("p1"), F.col("rows").alias("rows1")).join(F.broadcast(meeting), "c1")
+    one = one.select("c1", "p1", "rows1", "c2", F.explode(F.sequence(F.when(F.col("c1") == F.col("c2"), F.col("p1")).otherwise(0), F.col("parts2") - 1)).alias("p2"))
+    two = packed.select(F.col("_cell").alias("c2"), F.col("_part").alias("p2"), F.col("rows").alias("rows2")).hint("shuffle_merge")
+    meet = one.join(two, ["c2", "p2"]).select(((F.col("c1") == F.col("c2")) & (F.col("p1") == F.col("p2"))).alias("same"), "rows1", "rows2")
 
     kind = vectors.schema[key].dataType
     arrow = to_arrow_type(kind)
@@ -153,7 +218,7 @@ def similar_pairs(vectors: DataFrame, key: str, vec: str, above: float, block: i
 
     def run(batches):
         for batch in batches:
-            for same, x, y in zip((a == b for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for same, x, y in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 (ka, va), (kb, vb) = matrix(x), matrix(y)
                 cos = va @ vb.T
                 met = [(ka[i], kb[j], c) for i, j, c in zip(*map(np.ndarray.tolist, np.nonzero(cos > above)), cos[cos > above].tolist())]
