@@ -89,6 +89,11 @@ def last_of_pairs(rows: DataFrame, a: str, b: str, order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
+def to_json_records(rows: DataFrame, value: str) -> DataFrame:
+    """One JSON text a row, with every column, nulls too; ``from_json_records`` with the rows' schema gives them back."""
+    return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias(value))
+
+
 def from_json_records(lines: DataFrame, value: str, schema: str) -> DataFrame:
     """Records of a fixed schema from JSON text: unknown keys go, missing ones are null, broken text gives nulls."""
     return lines.withColumn("_r", F.from_json(value, schema)).select(*[c for c in lines.columns if c != value], "_r.*")

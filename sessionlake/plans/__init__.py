@@ -1,3 +1,3 @@
 """Queries over the driver's tables, bound to operators."""
 
-from . import bindings, session_queries  # noqa: F401  (the second adds to the first's tables)
+from . import bindings, registry_queries, session_queries  # noqa: F401  (the others add to the first's tables)

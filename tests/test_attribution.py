@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlake.operators import attribution, signals
+from sessionlake.operators.corpus import from_json_records, to_json_records
 
 RATE, SIZE = 1000, 700
 SEGMENT = "file_id string, seg_idx int, start double, end double, region string, text string, speaker_id string, speaker_confidence double, words array<struct<word: string, start: double, end: double>>"
@@ -124,3 +125,11 @@ def test_no_rows(spark, corpus):
     embed = signals.embedded(loader(), "none", RATE)
     assert attribution.sung_attributed(none, blocks, SIZE, embed, who, known, rate=RATE).collect() == []
     assert attribution.words_attributed(none, blocks, SIZE, embed, who, known, rate=RATE).where(F.lit(True)).collect() == []
+
+
+def test_records_keep_nulls_and_nesting(spark):
+    rows = spark.createDataFrame([("a", None, [1.5, 2.0], {"low": 3}), ("b\n\"x", "n", [], {}), (None, "", None, None)], "id string, name string, pitch_range_hz array<double>, counts map<string, long>")
+    told = to_json_records(rows, "line")
+    assert '"name":null' in told.first()["line"]
+    back = from_json_records(told, "line", "id string, name string, pitch_range_hz array<double>, counts map<string, long>")
+    assert back.collect() == rows.collect()
