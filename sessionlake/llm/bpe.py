@@ -8,8 +8,9 @@ goes on to the digest of the ids and to the decoder, so nothing of a text's leng
 where they are asked for). The decoder is a state machine from ids to text that keeps what it cannot tell yet between
 chunks: whether a token came before, or an unfinished UTF-8 sequence, as the tokenizer's own decoder asks for.
 
-Rules of the text side (NFC, white space to blanks, lower case letter by letter, the split pattern, special tokens that
-are cut out first) are read from the tokenizer's file; the file's path is a parameter. Null texts are empty texts: no
+Of the text side the split pattern and the special tokens, which are cut out first, are read from the tokenizer's file; the
+file's path is a parameter. Normalisation (NFC, white space to blanks, lower case letter by letter) and the kind of split
+(matches, as byte letters) are fixed: a file that asks for others is refused with what it asks for. Null texts are empty texts: no
 tokens. Repeated rows are encoded one by one; an empty table gives an empty table. Only the key and ``text`` are read, so
 extra columns of any name do not matter.
 """
@@ -173,6 +174,27 @@ class Transducer:
         self.room = self.cached_bytes
 
 
+#: Fixed: steps of normalisation and splitting that encoding follows.
+NORMALIZED, SPLIT = ("NFC", "Replace", "Lowercase"), ("Split", "ByteLevel")
+
+
+def _steps(told: dict | None, inner: str) -> tuple[str, ...]:
+    """Types of a normalizer's or pre-tokenizer's steps, in order."""
+    return tuple(s["type"] for s in (told or {}).get(inner, [told] if told else []))
+
+
+def check_rules(path: str) -> None:
+    """ValueError unless the file's rules for texts are those that the encoder follows."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    asked = _steps(told["normalizer"], "normalizers"), _steps(told["pre_tokenizer"], "pretokenizers")
+    if asked != (NORMALIZED, SPLIT):
+        raise ValueError(f"{path}: texts are normalized by {asked[0]} and split by {asked[1]}; only {NORMALIZED} and {SPLIT} are encoded")
+    replace, split = told["normalizer"]["normalizers"][1], told["pre_tokenizer"]["pretokenizers"][0]
+    if replace["pattern"] != {"Regex": r"\s+"} or replace["content"] != " " or not split["invert"] or split["behavior"] != "Removed":
+        raise ValueError(f"{path}: white space is replaced by {replace}, words are split by {split}")
+
+
 class Encoder:
     def __init__(self, path: str):
         self.path, self.m = path, Merges(path)
@@ -300,6 +322,7 @@ class Decoder:
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Returns the key, ``n_tokens, ids_sha256, decoded_sha256`` and, where asked for, ``ids`` (array of int)."""
+    check_rules(path)
     kind = docs.schema[key]
     fields = [kind, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:

@@ -19,6 +19,7 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import alnum_words, binary_text, lean
@@ -100,9 +101,20 @@ class Notices:
         return out
 
 
-@functools.lru_cache(1)
-def _notices() -> Notices:
-    return Notices()
+@functools.lru_cache(2)
+def _notices(notices: tuple, names: tuple) -> Notices:
+    """One for each Python worker and list of notices."""
+    return Notices(notices, names)
+
+
+def notices_of(rows: DataFrame, most: int = 10_000) -> tuple[tuple, tuple]:
+    """Notices and names from rows ``label, words, edits`` (``edits`` false: found exactly, as a name), as arguments for
+    ``scan_licenses``. Words are taken as those of texts; rows without words or label go; more than ``most`` are an error."""
+    told = rows.where("label is not null").select("label", F.col("words").cast("string").alias("words"), F.coalesce("edits", F.lit(True)).alias("edits")).distinct().limit(most + 1).collect()
+    if len(told) > most:
+        raise ValueError(f"more than {most} notices")
+    held = sorted((r["label"], b" ".join(alnum_words((r["words"] or "").encode())).decode(), r["edits"]) for r in told)
+    return tuple((la, w) for la, w, e in held if w and e), tuple((la, w) for la, w, e in held if w and not e)
 
 
 def scan(words: list[bytes], notices: Notices) -> tuple[int, int | None, int | None, list[str], list[tuple], float]:
@@ -131,10 +143,11 @@ def scan(words: list[bytes], notices: Notices) -> tuple[int, int | None, int | N
     return len(starts), min(starts, default=None), max(starts, default=None), base, sorted(hits, key=lambda h: (h[3], h[4], h[0])), score
 
 
-def scan_licenses(docs: DataFrame, key: str = "doc_id", with_hits: bool = True) -> DataFrame:
+def scan_licenses(docs: DataFrame, key: str = "doc_id", with_hits: bool = True, notices=NOTICES, names=NAMES) -> DataFrame:
     """The key, ``n_words, n_base, first_word, last_word, base_labels, labels, score`` and ``hits`` (notices found).
 
-    ``begin`` and ``stop`` of a hit are letters of the normalised text (one blank before the first word).
+    ``begin`` and ``stop`` of a hit are letters of the normalised text (one blank before the first word). Other notices and
+    names than the fixed ones may be given, as from ``notices_of``; phrases stay.
     """
     fields = [docs.schema[key]] + [T.StructField(n, t) for n, t in (
         ("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType()),
@@ -144,13 +157,15 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", with_hits: bool = True)
         fields.append(T.StructField("hits", T.ArrayType(T._parse_datatype_string(HIT))))
     hit = pa.struct([("label", pa.string()), *((n, pa.int32()) for n in ("first_word", "last_word", "begin", "stop", "edits"))])
 
+    notices, names = tuple(map(tuple, notices)), tuple(map(tuple, names))
+
     def run(batches):
-        notices = _notices()
+        held = _notices(notices, names)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
                 words = alnum_words(text)
-                n, first, last, base, hits, score = scan(words, notices)
+                n, first, last, base, hits, score = scan(words, held)
                 labels = {*base, *(h[0] for h in hits)}
                 rows.append((len(words), n, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, [dict(zip([f.name for f in hit], h)) for h in hits]))
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(hit)]

@@ -27,12 +27,15 @@ PATTERNS = {
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
     "secret": "(?<![A-Za-z0-9])(?:"
     "A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])"
-    "|gh[pousr]_[A-Za-z0-9]{36,255}"
-    "|xox[abeprs]-[A-Za-z0-9-]{10,250}"
+    "|gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[A-Za-z0-9_-]{20,64}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,64}"
+    "|xox[abeprs]-[A-Za-z0-9-]{10,250}|hooks\\.slack\\.com/services/T[A-Z0-9]{6,20}/B[A-Z0-9]{6,20}/[A-Za-z0-9]{16,64}"
+    "|[sr]k_(?:live|test)_[A-Za-z0-9]{16,128}|AIza[0-9A-Za-z_-]{35}|SG\\.[A-Za-z0-9_-]{16,64}\\.[A-Za-z0-9_-]{16,64}|sk-(?=[A-Za-z0-9_-]{0,64}[0-9])[A-Za-z0-9_-]{20,256}"
     "|eyJ[A-Za-z0-9_-]{8,}+\\.eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+"
-    "|(?:[Pp]ass(?:word|wd)|PASSWORD|[Ss]ecret(?:[_-]key)?|SECRET(?:_KEY)?|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_?KEY)"
-    "[\\x20\\t]{0,3}[:=][\\x20\\t]{0,3}[\"']?(?=[^\\s\"'<>]{0,64}[0-9])[^\\s\"'<>]{8,}+[\"']?)"
-    "|-----BEGIN[A-Z ]{0,30} PRIVATE KEY-----",
+    "|[Bb]earer[\\x20](?=[A-Za-z0-9._~+/-]{0,64}[0-9])[A-Za-z0-9._~+/-]{20,}+=*|AccountKey=[A-Za-z0-9+/]{40,}+=*"
+    "|(?:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb(?:\\+srv)?|rediss?|amqps?)://[^\\s/:@\"'<>]{1,64}:[^\\s/@\"'<>]{3,128}@"
+    "|(?i:pass(?:word|wd|phrase)|pwd|secret(?:[_-]?access)?(?:[_-]?key)?|(?:api|access|auth|account)[_-]?key|token)"
+    "[\"']?[\\x20\\t]{0,3}[:=][\\x20\\t]{0,3}[\"']?(?=[^\\s\"'<>]{0,64}[0-9])[^\\s\"'<>]{8,}+[\"']?)"
+    "|-----BEGIN[A-Z ]{0,30} PRIVATE KEY(?: BLOCK)?-----",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Words nearby that speak for a kind, words that speak against it, the score without either and with the former.
