@@ -171,22 +171,26 @@ def _cells(vectors: DataFrame, key: str, vec: str, above: float, block: int) ->
     """The vectors with ``_cell``, and the cells that meet: ``c1, c2, parts1, parts2``, each pair once, also with itself.
 
     Up to PIVOTS vectors serve as pivots, so there are fewer than PIVOTS squared cells, whose boxes fit the driver however
-    many vectors there are. Thresholds below 0 and tables of few blocks make one cell.
+    many vectors there are. Thresholds below 0, tables of few blocks and cells that save nothing make one cell.
     """
     n = vectors.count()
     few = min(PIVOTS, n // (4 * block)) if above >= 0 else 0
     pivots = _directions([r[0] for r in vectors.orderBy(F.xxhash64(key)).limit(few).select(vec).collect()]) if few > 1 else np.empty((0, 0))
     pivots = pivots[~np.isnan(pivots).any(axis=1)]
     table = lambda *columns: pa.table(dict(zip(("c1", "c2", "parts1", "parts2"), (pa.array(c, pa.int32()) for c in columns))))
+    whole = [max(1, -(-n // block))]
+    one_cell = vectors.withColumn("_cell", F.pmod(F.xxhash64(key), F.lit(1)).cast("int")), table([0], [0], whole, whole)  # no constant, so the joins keep their keys
     if len(pivots) < 2:
-        parts = [max(1, -(-n // block))]
-        return vectors.withColumn("_cell", F.pmod(F.xxhash64(key), F.lit(1)).cast("int")), table([0], [0], parts, parts)  # no constant, so the joins keep their keys
+        return one_cell
     celled = vectors.withColumn("_c", _celled(pivots)(vec))
     bound = lambda f: F.array(*[f(F.get("_c.angles", F.lit(k))) for k in range(len(pivots))])
     boxes = celled.where("_c.cell >= 0").groupBy("_c.cell").agg(F.count(F.lit(1)).alias("n"), bound(F.min).alias("lo"), bound(F.max).alias("hi")).orderBy("cell").collect()
     lo, hi = (np.array([r[c] for r in boxes], dtype=np.float64).reshape(len(boxes), len(pivots)) for c in ("lo", "hi"))
     one, two = np.nonzero(np.triu(meeting_cells(lo, hi, float(np.arccos(min(1.0, above))) + SLACK)))
-    cell, parts = np.array([r["cell"] for r in boxes], dtype=np.int64), np.array([-(-r["n"] // block) for r in boxes], dtype=np.int64)
+    cell, rows = (np.array([r[c] for r in boxes], dtype=np.int64) for c in ("cell", "n"))
+    parts = -(-rows // block)
+    if (rows[one] * parts[two]).sum() >= n * whole[0] / 2:  # as many rows sent as by blocks of all vectors
+        return one_cell
     return celled.where("_c.cell >= 0").withColumn("_cell", F.col("_c.cell")).drop("_c"), table(cell[one], cell[two], parts[one], parts[two])
 
 

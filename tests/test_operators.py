@@ -174,10 +174,9 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_sound_keys():
-    keys = {"Thompson": "TMSN", "metaphone": "MTFN", "knight": "NFT", "wrack": "RK", "photo": "FT", "school": "SKL", "church": "XRX", "science": "SNS", "judge": "JJ", "laugh": "LF", "bomb": "BM", "xylo": "SL", "action": "AKXN", "that": "0T", "quick": "KK", "inimă": "INM", "": "", "123": ""}
+    keys = {"metaphone": "MTFN", "wrack": "RK", "photo": "FT", "school": "SKL", "church": "XRX", "science": "SNS", "judge": "JJ", "laugh": "LF", "bomb": "BM", "xylo": "SL", "action": "AKXN", "that": "0T", "quick": "KK", "inimă": "INM", "": "", "123": ""}
     for word, key in keys.items():
-        if word not in ("Thompson", "knight"):  # th before m, and gh before t, are read by their letters
-            assert phonetics.sound_key(word) == key, word
+        assert phonetics.sound_key(word) == key, word
     assert phonetics.sound_key("inimă") == phonetics.sound_key("inima") and phonetics.sound_key("glas") != phonetics.sound_key("vocea")
 
 
