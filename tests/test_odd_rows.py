@@ -41,3 +41,12 @@ def test_empty_turns_are_short(told):
     got, want = told("q_sample_bounds", events={"event_id": [1, 2, 3, 4], "value": [0.0, 2.99, 3.0, 150.0]})
     assert [r[3] for r in want] == [True, True, False, False]
     assert got == want
+
+
+def test_empty_words_and_turns_within_each_other(told):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(1, 0, 0, 60.0, "view"), (2, 0, 10, 0.0, "click"), (4, 1, 0, 60.0, "view"), (5, 1, 10, 0.0, "click"), (7, 2, 0, 0.0, "view"), (9, 2, 0, 30.0, "error"), (8, 2, 30, 0.0, "click")]
+    got, want = told("q_words_speakers", events={
+        "event_id": [r[0] for r in rows], "user_id": [r[1] for r in rows], "ts": [at + datetime.timedelta(minutes=r[2]) for r in rows], "value": [r[3] for r in rows], "event_type": [r[4] for r in rows]})
+    assert dict(want)[2] == "view,view,view,view" and dict(want)[4] == "click,-,-,-"
+    assert got == want
