@@ -2,8 +2,8 @@
 
 Segments have ``file_id, seg_idx, start, end, region, text, speaker_id, speaker_confidence`` and more; ``candidates`` are
 the persons of each file (``file_id, person_id``), the library has ``person_id, name, row_no, vec``. A voice meets its
-file's candidates and then their vectors, both by equi-joins. A person who takes part in a third of all files is many
-tasks: the library's rows, a few dozen a person, go along with each of SALTS parts of the voices.
+file's candidates by an equi-join and passes by their vectors in parts: a person who takes part in a third of all files is
+many tasks.
 """
 
 from __future__ import annotations
@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions.text import sung_marker
 
-from .matching import cosine
+from .matching import nearest_of_group
 from .regions import is_sung
 from .signals import cut, lengths
 from .speakers import word_votes
 
-SALTS = 16
 #: Seconds that a word's window has at least; the embedder takes nothing shorter.
 LEAST = 0.5
 
@@ -28,10 +27,9 @@ LEAST = 0.5
 def best_persons(voices: DataFrame, key: list[str], candidates: DataFrame, library: DataFrame) -> DataFrame:
     """``key, best, best_region, best_score``: of the candidates of a voice's file (``file_id`` is in the key) the one with
     the nearest vector, of equal ones the lower id and name; voices without any candidate's vector have no row."""
-    salted = voices.select(*key, "vec", F.pmod(F.xxhash64(*key), F.lit(SALTS)).alias("_salt")).join(candidates.select("file_id", "person_id").distinct(), "file_id")
-    known = library.where("vec is not null").select("person_id", "name", F.col("vec").alias("_c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    near = F.min(F.struct((-cosine(F.col("vec"), F.col("_c"))).alias("minus"), "person_id", "name"))
-    best = salted.join(known, ["person_id", "_salt"]).groupBy(*key).agg(near.alias("b"))
+    each = voices.select(*key, "vec").join(candidates.select("file_id", "person_id").distinct(), "file_id")
+    found = nearest_of_group(each, library.select("person_id", "name", "vec"), "person_id", key, ["name"])
+    best = found.groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("minus"), "person_id", "name")).alias("b"))
     return best.select(*key, F.col("b.person_id").alias("best"), F.col("b.name").alias("best_region"), (-F.col("b.minus")).alias("best_score"))
 
 

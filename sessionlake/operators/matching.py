@@ -10,18 +10,25 @@ driver a block at a time; each pass reads the vectors once, so time grows with t
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from sessionlake.sources.shared import shared_folder
 
 BLOCK_BYTES, PASS_BLOCKS = 32 << 20, 4
+#: Vectors of a group that a task holds at most, vectors that pass them at least, and scores taken at once.
+HELD, PASSING, SCORES = 32768, 4096, 1 << 22
+#: What rounding may take from a cosine.
+NEAR = 1e-9
 #: Pivots of the search for similar pairs, and what rounding may take from an angle.
 PIVOTS, SLACK = 32, 1e-6
 
@@ -109,6 +116,105 @@ def best_scores(vectors: DataFrame, library: DataFrame, name: str, vec: str, own
     return one_pass(rows, sent) if sent else rows
 
 
+def _matrix(vecs: pa.Array) -> np.ndarray:
+    """Lists of numbers of one length as rows of doubles."""
+    if len(pc.unique(pc.list_value_length(vecs))) > 1:
+        raise ValueError("vectors of different lengths")
+    return vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vecs), -1)
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products row by row, summed in order of the positions, so that equal rows give equal sums."""
+    out = np.zeros(len(a))
+    for x, y in zip(a.T, b.T):
+        out += x * y
+    return out
+
+
+def _norms(a: np.ndarray) -> np.ndarray:
+    return np.sqrt(_dots(a, a)) + 1e-9
+
+
+def past_held(rows: DataFrame, part: list[str], order: list[str], hold: Callable, meet: Callable, schema) -> DataFrame:
+    """Streams the rows of each part that pass (``_passes``) by those that are held, which come first, in ``order``.
+
+    A part is one task's: ``hold`` makes something of all the batches held, and ``meet`` of that and a batch of what passes
+    the batches that come out. So a task keeps what is held of one part and one batch, however many rows pass. What passes
+    a part where nothing is held gives nothing.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small rows do not end in one task
+    dealt = rows.repartition(tasks, *part).sortWithinPartitions(*part, "_passes", *order)
+
+    def run(batches):
+        at, parts, made = None, [], None
+        for batch in batches:
+            first = 0
+            for (key, passes), run in groupby(zip(zip(*(batch.column(c).to_pylist() for c in part)), batch.column("_passes").to_pylist())):
+                n = sum(1 for _ in run)
+                some, first = batch.slice(first, n), first + n
+                if key != at:
+                    at, parts, made = key, [], None
+                if not passes:
+                    parts.append(some)
+                elif parts or made is not None:
+                    if made is None:
+                        made, parts = hold(parts), []
+                    yield from meet(made, some)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def nearest_of_group(rows: DataFrame, library: DataFrame, group: str, keys: list[str], names: list[str], vec: str = "vec") -> DataFrame:
+    """``keys, group, score, names``: the vector of its group that is nearest to a row's, of equal ones the first by ``names``.
+
+    Rows of groups without vectors, and null vectors, are left out. A group's rows are cut into parts as large as its
+    vectors (at least PASSING) that pass by these, so what is sent is no more than some times the rows and the vectors,
+    however they grow, and pairs are nowhere rows. Groups of more than HELD vectors are cut, too; then a row has a nearest
+    one from each cut, and the caller takes the best. Scores are cosines as ``cosine`` sums them: of those that a matrix
+    product finds within rounding of the best.
+    """
+    kind = rows.schema[group].dataType
+    rows, library = rows.where(F.col(vec).isNotNull() & F.col(group).isNotNull()), library.where(F.col(vec).isNotNull()).withColumn(group, F.col(group).cast(kind))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).join(library.groupBy(group).agg(F.count(F.lit(1)).alias("_m")), group)
+    sizes = sizes.select(group, F.ceil(F.col("_m") / HELD).alias("_cuts"), F.ceil(F.col("_n") / F.greatest(F.lit(PASSING), F.least(F.lit(HELD), "_m"))).alias("_parts"))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    dealt = lambda of, c: F.pmod(F.xxhash64(*of), F.col(c))
+    vector = F.col(vec).cast("array<double>") if rows.schema[vec].dataType != library.schema[vec].dataType else F.col(vec)
+    passing = rows.join(sizes, group).select(group, each("_cuts").alias("_cut"), dealt(keys, "_parts").alias("_part"), F.lit(True).alias("_passes"), vector.alias("_v"), F.struct(*keys).alias("_key"))
+    held = library.join(sizes, group).select(group, dealt(names, "_cuts").alias("_cut"), each("_parts").alias("_part"), F.lit(False).alias("_passes"), vector.alias("_v"), F.struct(*names).alias("_name"))
+
+    called = names
+
+    def hold(batches):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        vecs, names = _matrix(table["_v"].combine_chunks()), table["_name"].combine_chunks()
+        _, first = np.unique(np.ascontiguousarray(vecs).view(f"V{8 * vecs.shape[1]}").ravel(), return_index=True)  # of copies the first name
+        first.sort()
+        vecs, names = vecs[first], names.take(pa.array(first))
+        norms = _norms(vecs)
+        return vecs, norms, (vecs / norms[:, None]).T.copy(), names
+
+    def meet(held, batch):
+        vecs, norms, units, names = held
+        step = max(1, SCORES // len(vecs))
+        for a in range(0, batch.num_rows, step):
+            some = batch.slice(a, step)
+            mine = _matrix(some.column("_v"))
+            own = _norms(mine)
+            scores = (mine / own[:, None]) @ units
+            if not (np.isfinite(own).all() and np.isfinite(norms).all()):
+                scores[~np.isfinite(scores)] = -np.inf
+            row, at = np.nonzero(scores >= (scores.max(axis=1) - NEAR)[:, None])
+            exact = _dots(mine[row], vecs[at]) / (own[row] * norms[at])
+            order = np.lexsort((at, -exact, row))
+            best = order[np.unique(row[order], return_index=True)[1]]
+            made = [*some.column("_key").flatten(), some.column(group), pa.array(exact[best]), *names.take(pa.array(at[best])).flatten()]
+            yield pa.RecordBatch.from_arrays(made, [*keys, group, "score", *called])
+
+    shape = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in [*keys, group]] + [T.StructField("score", T.DoubleType())] + [T.StructField(c, library.schema[c].dataType) for c in names])
+    return past_held(held.unionByName(passing, allowMissingColumns=True), [group, "_cut", "_part"], ["_name"], hold, meet, shape)
+
+
 def nearest_centroid(vectors: DataFrame, library: DataFrame, name: str, vec: str) -> DataFrame:
     """Adds ``best`` and ``best_score``; an empty library gives null and -1."""
     return best_scores(vectors, library, name, vec).withColumn("best_score", F.coalesce("best_score", F.lit(-1.0)))

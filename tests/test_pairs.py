@@ -1,5 +1,8 @@
 """Similar pairs with cells that never meet, against all pairs."""
 
+import functools
+import math
+
 import numpy as np
 import pytest
 
@@ -45,3 +48,25 @@ def test_far_cells_never_meet(spark):
 def test_no_rows_and_one_row(spark):
     assert matching.similar_pairs(spark.createDataFrame([], SCHEMA), "id", "v", 0.5).collect() == []
     assert matching.similar_pairs(spark.createDataFrame([("a", [1.0, 2.0])], SCHEMA), "id", "v", 0.5).collect() == []
+
+
+def test_nearest_of_group_in_cuts_and_parts(spark, monkeypatch):
+    """Groups of several parts and cuts, copies in the library, zero vectors, groups without vectors, and no join of pairs."""
+    rng = np.random.default_rng(4)
+    rows = [(k, f"g{k % 5 if k % 2 else 0}", rng.normal(size=6).round(1).tolist() if k else None) for k in range(300)] + [(300, None, [1.0] * 6), (301, "g1", [0.0] * 6)]
+    library = [(f"g{k % 4}", f"n{(k * 7) % 50:02}", rng.normal(size=6).round(1).astype("float32").tolist()) for k in range(40)]
+    library += [(g, "m" + n, v) for g, n, v in library] + [("g0", "z", None), ("g0", "y", [0.0] * 6)]
+    a, b = spark.createDataFrame(rows, "id long, g string, vec array<double>"), spark.createDataFrame(library, "g string, name string, vec array<float>")
+    dot = lambda x, y: functools.reduce(lambda s, pq: s + pq[0] * pq[1], zip(x, y), 0.0)
+    cos = lambda x, y: dot(x, y) / ((math.sqrt(dot(x, x)) + 1e-9) * (math.sqrt(dot(y, y)) + 1e-9))
+    held = [(r["g"], r["name"], r["vec"]) for r in b.where("vec is not null").collect()]
+    want = {k: min((-cos(v, w), n) for h, n, w in held if h == g) for k, g, v in rows if v is not None and any(h == g for h, _, _ in held)}
+    for cut, least in ((32768, 4096), (7, 3)):
+        monkeypatch.setattr(matching, "HELD", cut)
+        monkeypatch.setattr(matching, "PASSING", least)
+        found = matching.nearest_of_group(a, b, "g", ["id"], ["name"])
+        assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no product pair by pair
+        got = {}
+        for r in found.collect():
+            got[r["id"]] = min(got.get(r["id"], (9, "")), (-r["score"], r["name"]))
+        assert got == want and len(want) > 200
