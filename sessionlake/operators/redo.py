@@ -23,7 +23,7 @@ from sessionlake.functions.text import sung_marker
 from sessionlake.sources.sinks import current, replace, version
 
 from .library import bootstrap, fold_library, library_rows, new_persons, person_rows, session_updates, state_of
-from .matching import cosine
+from .matching import cosine, nearest_of_group
 from .speakers import STUDENT, TEACHER, last_of_role, speaker_columns
 
 STORED = ("sessions", "segments")
@@ -52,9 +52,11 @@ def identify(clusters: DataFrame, sessions: DataFrame, library: DataFrame, perso
         F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_id").alias("person_id")) for r in (TEACHER, STUDENT)])).alias("p"),
     ).select("file_id", "cluster_label", "vec", "_one", "p.*")
     known = persons.select(F.col("id").alias("person_id"), F.lit(True).alias("_known")).distinct()
-    vectors = library.join(known, "person_id", "left_semi").select("person_id", "name", "row_no", F.col("vec").alias("_c"))
-    scored = each.join(vectors, "person_id", "left")
-    best = F.min(F.when(F.col("_c").isNotNull(), F.struct((-cosine(F.col("vec"), F.col("_c"))).alias("minus"), "name", "row_no")))
+    vectors = library.join(known, "person_id", "left_semi").select("person_id", "name", "row_no", "vec")
+    key = ["file_id", "cluster_label", "_one", "role"]
+    found = nearest_of_group(each, vectors, "person_id", key, ["name", "row_no"]).select(*key, "person_id", F.struct((-F.col("score")).alias("minus"), "name", "row_no").alias("b"))
+    scored = each.select(*key, "person_id").unionByName(found, allowMissingColumns=True)  # those without vectors stay
+    best = F.min("b")
     top = scored.groupBy("file_id", "cluster_label", "_one", "role", "person_id").agg(best.alias("b")).select(
         "file_id", "cluster_label", "_one", "role", "person_id", F.coalesce(-F.col("b.minus"), F.lit(-1.0)).alias("score"), F.coalesce("b.name", F.lit("")).alias("region"))
     known = top.join(known, "person_id", "left")
