@@ -27,6 +27,8 @@ from sessionlake.sources.shared import shared_folder
 BLOCK_BYTES, PASS_BLOCKS = 32 << 20, 4
 #: Vectors of a group that a task holds at most, vectors that pass them at least, and scores taken at once.
 HELD, PASSING, SCORES = 32768, 4096, 1 << 22
+#: Pairs found that go out at once.
+PAIRS = 100_000
 #: What rounding may take from a cosine.
 NEAR = 1e-9
 #: Pivots of the search for similar pairs, and what rounding may take from an angle.
@@ -62,8 +64,8 @@ def _blocks(library: DataFrame, name: str) -> Iterator[tuple[list, np.ndarray]]:
         yield names, _unit(vectors)
 
 
-def _unit(rows: list) -> np.ndarray:
-    v = np.array(rows, dtype=np.float64)
+def _unit(rows: list | np.ndarray) -> np.ndarray:
+    v = np.asarray(rows, dtype=np.float64)
     return v / (np.sqrt((v * v).sum(axis=1)) + 1e-9)[:, None]
 
 
@@ -300,44 +302,63 @@ def _cells(vectors: DataFrame, key: str, vec: str, above: float, block: int) ->
     return celled.where("_c.cell >= 0").withColumn("_cell", F.col("_c.cell")).drop("_c"), table(cell[one], cell[two], parts[one], parts[two])
 
 
-def similar_pairs(vectors: DataFrame, key: str, vec: str, above: float, block: int = 512) -> DataFrame:
-    """Pairs ``a < b`` with a cosine above the threshold: blocks of vectors meet, each pair of blocks is one product.
+def similar_pairs(vectors: DataFrame, key: str, vec: str, above: float, block: int | None = None) -> DataFrame:
+    """Pairs ``a < b`` with a cosine above the threshold: vectors pass by blocks of others, each batch one product.
 
     Vectors are put into cells by their two nearest pivots; cells too far apart for the threshold never meet, and a cell is
-    cut into blocks by hash, so one that holds many vectors is many tasks. Each block is sent once to every block it meets,
-    by an equi-join on the block's number; only the list of cells is broadcast. Pruning never loses a pair. Keys are of any
-    type that orders. Null vectors, and with a threshold of 0 or more those of length 0 or with NaN, are in no pair.
+    cut into blocks by hash, so one that holds many vectors is many tasks. Each vector is sent once to every block it meets
+    (of two blocks of a cell one passes by the other, by turns); only the list of cells is broadcast. A task holds one block
+    and the scores of a batch, however many vectors pass. Blocks have a 64th of the vectors, between 512 and 8192. Pruning
+    never loses a pair. Keys are of any type that orders. Null vectors, and with a threshold of 0 or more those of length 0
+    or with NaN, are in no pair.
     """
-    placed, cells = _cells(vectors.where(F.col(vec).isNotNull()), key, vec, above, block)
+    vectors = vectors.where(F.col(vec).isNotNull())
+    placed, cells = _cells(vectors, key, vec, above, block or min(8192, max(512, vectors.count() // 64)))
     meeting = vectors.sparkSession.createDataFrame(cells)
     parts = meeting.where("c1 = c2").select(F.col("c1").alias("_cell"), F.col("parts1").alias("_parts"))
-    packed = (
-        placed.join(F.broadcast(parts), "_cell").withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
-        .groupBy("_cell", "_part").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v"))).alias("rows"))
-    )
-    one = packed.select(F.col("_cell").alias("c1"), F.col("_part").alias("p1"), F.col("rows").alias("rows1")).join(F.broadcast(meeting), "c1")
-    one = one.select("c1", "p1", "rows1", "c2", F.explode(F.sequence(F.when(F.col("c1") == F.col("c2"), F.col("p1")).otherwise(0), F.col("parts2") - 1)).alias("p2"))
-    two = packed.select(F.col("_cell").alias("c2"), F.col("_part").alias("p2"), F.col("rows").alias("rows2")).hint("shuffle_merge")
-    meet = one.join(two, ["c2", "p2"]).select(((F.col("c1") == F.col("c2")) & (F.col("p1") == F.col("p2"))).alias("same"), "rows1", "rows2")
+    rows = placed.join(F.broadcast(parts), "_cell").select("_cell", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_part"), F.col(key).alias("_k"), F.col(vec).alias("_v"))
+    held = rows.select(F.col("_cell").alias("_c1"), F.col("_part").alias("_p1"), F.lit(False).alias("_passes"), F.lit(False).alias("_same"), "_k", "_v")
+    # block p of a cell of n passes by itself and the half of the others before it; of two that face each other the lower one
+    n, p = F.col("parts2"), F.col("_part")
+    before = F.floor((n - 1) / 2).cast("int") + F.when((n % 2 == 0) & (p < n / 2), 1).otherwise(0)
+    steps = F.sequence(F.lit(0), F.when(F.col("c1") == F.col("c2"), before).otherwise(F.col("parts1") - 1))
+    met = rows.join(F.broadcast(meeting), F.col("_cell") == F.col("c2")).select("c1", "c2", "parts2", "_part", "_k", "_v", F.explode(steps).alias("_step"))
+    own = F.col("c1") == F.col("c2")
+    passing = met.select(
+        F.col("c1").alias("_c1"), F.when(own, F.pmod(p - F.col("_step"), n)).otherwise(F.col("_step")).cast("int").alias("_p1"), F.lit(True).alias("_passes"),
+        (own & (F.col("_step") == 0)).alias("_same"), "_k", "_v")
+
+    def hold(batches):
+        table = pa.Table.from_batches(batches)
+        return table["_k"].combine_chunks(), _unit(_matrix(table["_v"].combine_chunks())).T.copy()
+
+    def meet(held, batch):
+        names, units = held
+        step = max(1, SCORES // len(names))
+        for first in range(0, batch.num_rows, step):
+            some = batch.slice(first, step)
+            cos = _unit(_matrix(some.column("_v"))) @ units
+            at, to = np.nonzero(cos > above)
+            same = some.column("_same").to_numpy(zero_copy_only=False)  # in its own block a pair is met from both sides
+            for k in range(0, len(at), PAIRS):
+                i, j = at[k : k + PAIRS], to[k : k + PAIRS]
+                x, y = some.column("_k").take(pa.array(i)), names.take(pa.array(j))
+                lower = _lower(x, y)
+                kept = pc.or_(lower, pc.and_(_lower(y, x), pa.array(~same[i])))
+                made = [pc.if_else(lower, x, y), pc.if_else(lower, y, x), pa.array(cos[i, j])]
+                yield pa.RecordBatch.from_arrays(made, ["a", "b", "cosine"]).filter(kept)
 
     kind = vectors.schema[key].dataType
-    arrow = to_arrow_type(kind)
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("cosine", T.DoubleType())])
+    return past_held(held.unionByName(passing), ["_c1", "_p1"], ["_same"], hold, meet, schema)
 
-    def matrix(rows):
-        return [r["k"] for r in rows], _unit([r["v"] for r in rows])
 
-    def run(batches):
-        for batch in batches:
-            for same, x, y in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                (ka, va), (kb, vb) = matrix(x), matrix(y)
-                cos = va @ vb.T
-                met = [(ka[i], kb[j], c) for i, j, c in zip(*map(np.ndarray.tolist, np.nonzero(cos > above)), cos[cos > above].tolist())]
-                met = [(min(a, b), max(a, b), c) for a, b, c in met if (a < b if same else a != b)]
-                columns = zip(*met) if met else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, (arrow, arrow, pa.float64()))], ["a", "b", "cosine"])
-
-    told = kind.simpleString()
-    return meet.mapInArrow(run, f"a {told}, b {told}, cosine double")
+def _lower(x: pa.Array, y: pa.Array) -> pa.Array:
+    """Whether ``x`` is smaller than ``y``, row by row; also of types that Arrow does not compare."""
+    try:
+        return pc.less(x, y)
+    except pa.ArrowNotImplementedError:
+        return pa.array([a < b for a, b in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
 
 
 def recent(vectors: DataFrame, by: str, order: str, size: int = 10) -> DataFrame:

@@ -70,3 +70,16 @@ def test_nearest_of_group_in_cuts_and_parts(spark, monkeypatch):
         for r in found.collect():
             got[r["id"]] = min(got.get(r["id"], (9, "")), (-r["score"], r["name"]))
         assert got == want and len(want) > 200
+
+
+def test_a_task_holds_one_block(spark, monkeypatch):
+    """Pairs go out in small batches, each vector passes by half of the blocks, and every pair comes once."""
+    rng = np.random.default_rng(6)
+    rows = [(f"p{k:03}", v) for k, v in enumerate(rng.normal(size=(200, 4)).round(1).tolist())]
+    monkeypatch.setattr(matching, "SCORES", 64)
+    monkeypatch.setattr(matching, "PAIRS", 10)
+    for block in (20, 21, 23, 400):  # an even and an odd number of blocks, and one
+        found = matching.similar_pairs(spark.createDataFrame(rows, SCHEMA), "id", "v", 0.2, block=block)
+        got = [(r["a"], r["b"]) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == _brute(rows, 0.2)
+        assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()  # no block is a row, so no batch holds many
