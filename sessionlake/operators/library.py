@@ -8,8 +8,12 @@ tables back. A person's state is small: a vector a region and RING more.
 
 from __future__ import annotations
 
+from collections import deque
+from math import sqrt
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,54 +121,82 @@ class _Voice:
         self.counts = dict(self.person["region_session_counts"] or [])
         self.seen = list(self.person["observed_regions"] or [])
         self.left = self.person["bootstrap_sessions_remaining"] or 0
+        self.universal = row["universal"]
+        self.ring = deque(row["ring"] or [], RING)
         self.did, self.drift = dict.fromkeys(("n_updated", "n_held", "n_rejected", "n_short"), 0), 0.0
 
-    def take(self, u: dict, rule: dict) -> None:
-        if (u["confidence"] or 0.0) < rule["floor"]:
+    def take(self, confidence: float, regions: list, rule: dict, told: tuple) -> None:
+        """``regions``: name, seconds and vector of each region heard; ``told``: role, seconds and date of the session."""
+        if confidence < rule["floor"]:
             self.did["n_rejected"] += 1
-        elif 0 < self.left < rule["trust"] and (u["confidence"] or 0.0) < rule["new_floor"]:
+        elif 0 < self.left < rule["trust"] and confidence < rule["new_floor"]:
             self.did["n_held"] += 1
         else:
-            touched = self.touch([r for r in u["regions"] if (r["seconds"] or 0.0) >= rule["min_seconds"] and (rule["redo"] or r["vec"] is not None)], rule["redo"])
+            least, redo = rule["min_seconds"], rule["redo"]
+            touched = self.touch([r for r in regions if (r[1] or 0.0) >= least and (redo or r[2] is not None)], redo)
             if touched:
-                mean = np.mean(touched, axis=0)
-                self.row["universal"] = (mean / (np.linalg.norm(mean) + 1e-9)).tolist()
+                mean = touched[0]
+                for v in touched[1:]:
+                    mean = mean + v
+                mean = mean / len(touched)
+                self.universal = mean / (sqrt(mean.dot(mean)) + 1e-9)
             self.did["n_updated" if touched else "n_short"] += 1
-            if touched and not rule["redo"]:
-                self.count(u)
+            if touched and not redo:
+                self.count(*told)
 
-    def touch(self, regions: list[dict], redo: bool) -> list[np.ndarray]:
+    def touch(self, regions: list, redo: bool) -> list[np.ndarray]:
         """The centroids of the regions heard, blended with the new vectors unless these are in them already."""
         out = []
-        for r in regions:
-            name, prior = r["region"], self.at.get(r["region"])
+        for name, _, v in regions:
+            prior = self.at.get(name)
             if redo and prior is None:
                 continue
             if not redo:
-                v, k = np.asarray(r["vec"], dtype=np.float64), self.counts.get(name, 0)
+                k = self.counts.get(name, 0)
                 if prior is not None:
                     v = (prior * k + v) / (k + 1)
-                    v = v / (np.linalg.norm(v) + 1e-9)
-                    self.drift = max(self.drift, 1.0 - float(prior @ v / (np.linalg.norm(prior) * np.linalg.norm(v) + 1e-9)))
+                    v /= sqrt(v.dot(v)) + 1e-9
+                    self.drift = max(self.drift, 1.0 - float(prior.dot(v)) / (sqrt(prior.dot(prior) * v.dot(v)) + 1e-9))
+                else:
+                    v = v.copy()  # a view would keep its batch
                 self.at[name], self.counts[name] = v, k + 1
-                if name not in self.seen:
+                if k == 0 and name not in self.seen:
                     self.seen.append(name)
             if name in REGIONS:
                 out.append(self.at[name])
         return out
 
-    def count(self, u: dict) -> None:
+    def count(self, role: str | None, seconds: float | None, date: str | None) -> None:
         p = self.person
-        self.row["ring"] = [self.row["universal"], *(self.row["ring"] or [])][:RING]
-        if u["role"] in ("teacher", "student"):
-            p[f"n_sessions_as_{u['role']}"] = (p[f"n_sessions_as_{u['role']}"] or 0) + 1
-        p["total_hours"] = (p["total_hours"] or 0.0) + (u["seconds"] or 0.0) / 3600.0
-        p["last_updated"], p["first_seen"] = u["date"], p["first_seen"] if p["first_seen"] is not None else u["date"]
+        self.ring.appendleft(self.universal)
+        if role in ("teacher", "student"):
+            p[f"n_sessions_as_{role}"] = (p[f"n_sessions_as_{role}"] or 0) + 1
+        p["total_hours"] = (p["total_hours"] or 0.0) + (seconds or 0.0) / 3600.0
+        p["last_updated"], p["first_seen"] = date, p["first_seen"] if p["first_seen"] is not None else date
         self.left = max(0, self.left - 1)
 
     def told(self) -> dict:
         person = self.person | {"observed_regions": self.seen, "region_session_counts": list(self.counts.items()), "bootstrap_sessions_remaining": self.left}
-        return self.row | {"person": person, "centroids": [(r, v.tolist()) for r, v in self.at.items()], "drift": self.drift} | self.did
+        held = {"centroids": list(self.at.items()), "universal": self.universal, "ring": list(self.ring)}
+        return self.row | {"person": person} | held | {"drift": self.drift} | self.did
+
+
+def _each_update(batch: pa.RecordBatch):
+    """Person, state, confidence, regions and the rest of each row, column by column; a region's vector is a view of all."""
+    update = batch.column("update")
+    col = dict(zip((f.name for f in update.type), update.flatten()))
+    regions = col["regions"]
+    flat = regions.flatten()
+    name, seconds, vec = flat.flatten()
+    starts, numbers = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(vec), 0).to_numpy())]).tolist(), vec.flatten().to_numpy(zero_copy_only=False)
+    vecs = [numbers[a:b] if there else None for a, b, there in zip(starts, starts[1:], vec.is_valid().to_pylist())]
+    heard, at = list(zip(name.to_pylist(), seconds.to_pylist(), vecs)), 0
+    held = batch.column("held")
+    known = held.is_valid().to_pylist()
+    rows = zip(batch.column("person_id").to_pylist(), known, col["confidence"].to_pylist(), pc.fill_null(pc.list_value_length(regions), 0).to_pylist(), col["role"].to_pylist(), col["seconds"].to_pylist(), col["date"].to_pylist())
+    for k, (person, state, confidence, n, *told) in enumerate(rows):
+        yield person, held[k].as_py() if state else None, confidence or 0.0, heard[at : at + n], told
+        at += n
 
 
 def fold_library(updates: DataFrame, state: DataFrame, floor: float = 0.65, new_floor: float = 0.75, trust: int = 3, min_seconds: float = 10.0, redo: bool = False) -> DataFrame:
@@ -193,14 +225,13 @@ def fold_library(updates: DataFrame, state: DataFrame, floor: float = 0.65, new_
     def run(batches):
         voice, out = None, []
         for batch in batches:
-            for first in range(0, batch.num_rows, 200):
-                for row in batch.slice(first, 200).to_pylist():
-                    if row["held"] is not None:
-                        if voice is not None:
-                            out.append(voice.told())
-                        voice = _Voice(row["held"])
-                    elif voice is not None and voice.row["person_id"] == row["person_id"]:
-                        voice.take(row["update"], rule)
+            for person, state, confidence, regions, told in _each_update(batch):
+                if state is not None:
+                    if voice is not None:
+                        out.append(voice.told())
+                    voice = _Voice(state)
+                elif voice is not None and voice.row["person_id"] == person:
+                    voice.take(confidence, regions, rule, told)
                 if len(out) >= 200:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
                     out = []

@@ -263,3 +263,17 @@ def test_ingest_day_by_day(spark, tmp_path):
     assert len(after[0]) == len(before[0]) and {k: v for k, v in who.items()} == {(r["file_id"], r["cluster_label"]): (r["speaker_id"], r["speaker_role"]) for r in spark.read.parquet(f"{base}/segments").collect()}
     again = {r["person_id"]: r["person"] for r in sinks.current(spark, f"{base}/voices").collect()}
     assert again == {p: held[p]["person"] for p in held}
+
+
+def test_updates_are_read_column_by_column(spark, empty_state):
+    """Null regions' vectors, updates without regions and several batches of one person; no update becomes a Python struct."""
+    import pyarrow as pa
+
+    heard = [("speaking", 20.0, [1.0, 0.0]), ("sung_low", 5.0, None)]
+    update = pa.array([None, {"file_id": "f", "date": "d", "role": "teacher", "confidence": None, "seconds": 3.0, "regions": [dict(zip(("region", "seconds", "vec"), r)) for r in heard]}, {"file_id": "g", "date": "e", "role": None, "confidence": 0.9, "seconds": None, "regions": []}],
+                      pa.struct([("file_id", pa.string()), ("date", pa.string()), ("role", pa.string()), ("confidence", pa.float64()), ("seconds", pa.float64()), ("regions", pa.list_(pa.struct([("region", pa.string()), ("seconds", pa.float64()), ("vec", pa.list_(pa.float64()))])))]))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 3), pa.array([{"person_id": "a"}, None, None]), update], ["person_id", "held", "update"])
+    got = list(library._each_update(batch))
+    assert got[0][1] == {"person_id": "a"} and got[1][1] is None and got[1][4] == ["teacher", 3.0, "d"] and got[2][2:] == (0.9, [], [None, None, "e"])
+    (r1, s1, v1), (r2, s2, v2) = got[1][3]
+    assert (r1, s1, v1.tolist(), r2, s2, v2) == ("speaking", 20.0, [1.0, 0.0], "sung_low", 5.0, None) and got[1][2] == 0.0
