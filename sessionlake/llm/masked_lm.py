@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,8 @@ GROWTH, LEAST_CLASSES, MOST_CLASSES, SPARE_SHARE = 2.4, 32, 512, 16
 LEAST_SLOTS, MOST_SLOTS, BLOCK_SLOTS = 1 << 16, 1 << 24, 1 << 16
 WIDTH, HIDDEN, WINDOW = 16, 32, 2
 SHARE_MASKED = 0.15
-CHUNK, STEP, REMEMBERED = 4096, 4096, 200_000
+CHUNK, STEP, AT_ONCE = 4096, 4096, 1 << 14
 AROUND = np.array([d for d in range(-WINDOW, WINDOW + 1) if d])
-ID_BITS = 24
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -56,8 +56,14 @@ def spare_ids(classes: int) -> int:
 
 def spare_and_slot(word: bytes, spare: int, slots: int) -> tuple[int, int]:
     """The shared id (from 1) of a word beyond the vocabulary and the slot of its count."""
-    h = xxhash.xxh3_64_intdigest(word)
-    return 1 + h % spare, (h >> 30) & (slots - 1)
+    ids, at = spares_and_slots([word], spare, slots)
+    return int(ids[0]), int(at[0])
+
+
+def spares_and_slots(words: list[bytes], spare: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many words."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    return (1 + h % np.uint64(spare)).astype(np.int32), ((h >> np.uint64(30)) & np.uint64(slots - 1)).astype(np.int32)
 
 
 @dataclass
@@ -71,34 +77,43 @@ class Model:
     flat: np.ndarray | None = None
 
 
-class Words(dict):
-    """Ids of words; of those beyond the vocabulary the shared id, and above ID_BITS the byte of their count."""
+class Words:
+    """Ids of words, and the bytes of the counts of those beyond the vocabulary.
+
+    Most distinct words of a large corpus lie beyond it, and most of these are rare, so nothing is remembered of them:
+    words are looked up and hashed by calls for many at once, and no Python code runs for a single word.
+    """
 
     def __init__(self, model: Model):
         self.spare, self.counts = spare_ids(model.classes), model.counts
-        super().__init__({w: k + 1 + self.spare for k, w in enumerate(model.vocabulary)})
+        self.known = {w: k + 1 + self.spare for k, w in enumerate(model.vocabulary)}
 
-    def __missing__(self, word: bytes) -> int:
-        at, slot = spare_and_slot(word, self.spare, len(self.counts))
-        value = at | int(self.counts[slot]) << ID_BITS
-        if len(self) < REMEMBERED and len(word) <= 64:
-            self[word] = value
-        return value
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.fromiter(map(self.known.get, words, repeat(0)), dtype=np.int32, count=len(words))
+        codes = np.zeros(len(words), dtype=np.uint8)
+        beyond = ids == 0  # the edge's id, which no word has
+        ids[beyond], slots = spares_and_slots(list(compress(words, beyond.tobytes())), self.spare, len(self.counts))
+        codes[beyond] = self.counts[slots]
+        return ids, codes
 
     def row(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in one row with WINDOW edges around each; positions of tokens; tokens of each text; bytes of
-        counts beside the ids."""
-        edge = np.zeros(WINDOW, dtype=np.int64)
-        parts, counts, of = [edge], [], self.__getitem__
+        counts of the tokens."""
+        parts, counts, held = [], [], []
         for t in texts:
             found = tokens(t)
-            parts += (np.fromiter(map(of, found), dtype=np.int64, count=len(found)), edge)
             counts.append(len(found))
+            held += found
+            if len(held) >= AT_ONCE:
+                parts.append(self.ids(held))
+                held = []
+        parts.append(self.ids(held))
         counts = np.array(counts, dtype=np.int64)
         starts = np.cumsum(counts + WINDOW) - counts
         places = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        both = np.concatenate(parts)
-        return (both & ((1 << ID_BITS) - 1)).astype(np.int32), places, counts, both >> ID_BITS
+        row = np.zeros(counts.sum() + WINDOW * (len(counts) + 1), dtype=np.int32)
+        row[places] = np.concatenate([p[0] for p in parts])
+        return row, places, counts, np.concatenate([p[1] for p in parts])
 
 
 class Network:
@@ -115,7 +130,14 @@ class Network:
         for n, s in shapes.items():
             self.p[n] = self.flat[at : at + int(np.prod(s))].reshape(s)
             at += int(np.prod(s))
-        self.squares, self.bounded = None, False
+        self.squares, self.bounded, self.rooms = None, False, {}
+
+    def _room(self, name: str, rows: int, columns: int) -> np.ndarray:
+        """Memory that every step uses again: new arrays of this size would be taken from the system page by page each time."""
+        held = self.rooms.get(name)
+        if held is None or len(held) < rows:
+            held = self.rooms[name] = np.empty((rows, columns), dtype=np.float32)
+        return held[:rows]
 
     def most(self) -> float:
         """What no score exceeds in size: hidden units lie between -1 and 1."""
@@ -131,8 +153,9 @@ class Network:
 
     def _hidden(self, row: np.ndarray, places: np.ndarray):
         around = row[places[:, None] + AROUND]
-        x = self.p["e"][around].reshape(len(places), -1)
-        h = x @ self.p["w"]
+        x = self._room("x", len(places), 2 * WINDOW * WIDTH)
+        self.p["e"].take(around, axis=0, out=x.reshape(-1, 2 * WINDOW, WIDTH), mode="clip")  # no id lies outside
+        h = np.matmul(x, self.p["w"], out=self._room("h", len(x), HIDDEN))
         h += self.p["b"]
         return around, x, np.tanh(h, out=h)
 
@@ -142,9 +165,9 @@ class Network:
         The rows stand in order of their class.
         """
         n = np.arange(len(h))
-        c = h @ self.p["c"]
+        c = np.matmul(h, self.p["c"], out=self._room("c", len(h), self.classes))
         c += self.p["cb"]
-        m = np.empty((len(h), self.classes), dtype=np.float32)
+        m = self._room("m", len(h), self.classes)
         cuts = np.searchsorted(kind, np.arange(self.classes + 1))
         for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             a, b = cuts[k], cuts[k + 1]
@@ -160,13 +183,14 @@ class Network:
     def log_probabilities(self, row: np.ndarray, places: np.ndarray) -> np.ndarray:
         out = np.empty(len(places), dtype=np.float64)
         self.bounded = self.bounded or self.most() <= 60
+        # all places in order of their class: few classes, with many rows each, fall to a chunk
+        order = np.argsort((row[places] // self.classes).astype(np.int16), kind="stable")
         for a in range(0, len(places), CHUNK):
-            some = places[a : a + CHUNK]
+            at = order[a : a + CHUNK]
+            some = places[at]
             target = row[some]
-            order = np.argsort((target // self.classes).astype(np.int16), kind="stable")
-            target = target[order]
-            _, _, h = self._hidden(row, some[order])
-            out[a + order] = self._both(h, target // self.classes, target % self.classes, False)[0]
+            _, _, h = self._hidden(row, some)
+            out[at] = self._both(h, target // self.classes, target % self.classes, False)[0]
         return out
 
     def learn(self, row: np.ndarray, places: np.ndarray, rate: float) -> None:
@@ -189,7 +213,7 @@ class Network:
             self.squares[name][at] += grad * grad
             p[name][at] -= rate * grad / np.sqrt(self.squares[name][at])
 
-        dh = pc @ p["c"].T
+        dh = np.matmul(pc, p["c"].T, out=self._room("dh", len(h), HIDDEN))
         for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             a, b = cuts[k], cuts[k + 1]
             dh[a:b] += pm[a:b] @ p["m"][k].T
@@ -198,15 +222,16 @@ class Network:
         every = slice(None)
         move("c", every, h.T @ pc)
         move("cb", every, pc.sum(axis=0))
-        dz = dh * (1 - h * h)
-        dx = (dz @ p["w"].T).reshape(-1, WIDTH)
+        slope = np.multiply(h, h, out=self._room("slope", len(h), HIDDEN))
+        dz = np.multiply(dh, np.subtract(1, slope, out=slope), out=dh)
+        dx = np.matmul(dz, p["w"].T, out=self._room("dx", len(h), 2 * WINDOW * WIDTH)).reshape(-1, WIDTH)
         move("w", every, x.T @ dz)
         move("b", every, dz.sum(axis=0))
         ids = around.ravel()
         order = np.argsort(ids.astype(np.uint16) if self.classes <= 256 else ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        move("e", ids[first], np.add.reduceat(dx[order], first, axis=0))
+        move("e", ids[first], np.add.reduceat(dx.take(order, axis=0, out=self._room("by id", len(dx), WIDTH), mode="clip"), first, axis=0))
 
 
 def count_words(docs: DataFrame, held: int = 200_000) -> DataFrame:
@@ -235,8 +260,8 @@ def _rare_counts(rare: DataFrame, classes: int, slots: int) -> tuple[np.ndarray,
 
     def run(batches):
         for batch in batches:
-            found = [spare_and_slot(w, spare, slots) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), batch.column(1)], ["spare", "slot", "n"])
+            ids, at = spares_and_slots(batch.column(0).to_pylist(), spare, slots)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(at), batch.column(1)], ["spare", "slot", "n"])
 
     def pack(key, rows):
         out = np.zeros(BLOCK_SLOTS, dtype=np.uint8)
@@ -328,7 +353,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id") -> DataF
                 some = batch.slice(a, 256)
                 row, places, counts, codes = words.row(some.column(1).to_pylist())
                 # a word beyond the vocabulary: its own count over that of its shared id; words never counted count once
-                own = np.minimum(codes[places] * (math.log(2) / 16) - shares[row[places]], 0.0)
+                own = np.minimum(codes * (math.log(2) / 16) - shares[row[places]], 0.0)
                 logs = np.concatenate([[0.0], np.cumsum(net.log_probabilities(row, places) + own)])
                 ends = np.cumsum(counts)
                 sums = logs[ends] - logs[ends - counts]
