@@ -89,6 +89,16 @@ def written(df: DataFrame, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """The driver collects its garbage: tables broadcast by earlier plans, and the plans, are dropped by Spark only then.
+
+    For loops of many small plans, once a round: each broadcast table takes some MB of the driver however few its rows,
+    and a heap that has grown by them stays large.
+    """
+    gc.collect()  # Python's names of the JVM's objects first
+    spark._jvm.System.gc()
+
+
 def tidy(run):
     """A task's function over batches, after which the worker gives back what it held: idle Python workers stay small."""
 

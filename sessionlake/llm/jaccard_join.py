@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WordHashes, binary_text, bloom, in_bloom, lean, scratch, tidy, written
+from .common import LOWER, WordHashes, binary_text, bloom, in_bloom, lean, let_go, scratch, tidy, written
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bound of the order's table of frequent shingles, and the count in one stretch of words that makes one frequent there.
@@ -255,7 +255,8 @@ def derived(pairs: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` of every linked id: the smallest id that links reach."""
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct())
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")  # not a union, whose plan holds all of the links' twice
+    edges = written(links.select(ways).select("e.a", "e.b").distinct())
     labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
     while True:
         near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
@@ -314,6 +315,7 @@ def near_links(docs: DataFrame, key: str, shingle: int = 5, percent: int = 80) -
     held = written(entries.join(shared, "token", "left_semi"))
     rows, answers = held.withColumn("comp", F.col("id")), None
     for pick in (F.min, F.max):
+        let_go(docs.sparkSession)
         star = led_pairs(rows, pick, percent)
         if answers is not None:
             star = star.join(answers.select("a", "b").union(answers.select("b", "a")), ["a", "b"], "left_anti")
@@ -324,6 +326,7 @@ def near_links(docs: DataFrame, key: str, shingle: int = 5, percent: int = 80) -
         rows = held.join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
         rows = written(rows.join(mixed, "token", "left_semi"))
+    let_go(docs.sparkSession)
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(derived(block_pairs(rows, percent).join(done, ["a", "b"], "left_anti"), answers, percent))
     links = links.union(rest.where(_enough(F.col("low"), percent)).select("a", "b"))
@@ -346,6 +349,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 def _components_of(numbered: DataFrame, row: str, key: str, shingle: int, percent: int) -> DataFrame:
     """``_at, _key, n, comp`` of every row: its number, its key, the size of its set, a number for its component."""
     members, links = near_links(numbered, row, shingle, percent)
+    let_go(numbered.sparkSession)
     label = components(links).select(F.col("id").alias("rep"), "component")
     found = members.join(label, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("comp"))
     keys = numbered.select(F.col(f"`{row}`").alias("_at"), F.col(key).alias("_key"))

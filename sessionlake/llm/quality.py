@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch, written
+from .common import let_go, scratch, written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -84,9 +84,9 @@ def _transformed(rows: DataFrame) -> DataFrame:
     })
 
 
-def _estimate(moments: DataFrame) -> DataFrame:
-    """``_g``, mean, the Cholesky factor of the covariance and ``_det``, the logarithm of its determinant, from ``m_i``
-    and ``m_i_j``; floors are added to the diagonal."""
+def _estimate(moments: DataFrame, *keep: str) -> DataFrame:
+    """``_g``, columns to keep, mean, the Cholesky factor of the covariance and ``_det``, the logarithm of its determinant,
+    from ``m_i`` and ``m_i_j``; floors are added to the diagonal."""
     d = range(len(X))
     out = moments
     for i in d:
@@ -98,7 +98,7 @@ def _estimate(moments: DataFrame) -> DataFrame:
                 cov = cov - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(cov, F.lit(FLOOR[X[i]] ** 2 / 4))) if i == j else cov / F.col(f"l{j}{j}"))
     det = sum((F.log(F.col(f"l{i}{i}")) * 2 for i in d), F.lit(0.0))
-    return out.select("_g", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)], det.alias("_det"))
+    return out.select("_g", *keep, *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)], det.alias("_det"))
 
 
 def _same(table: DataFrame) -> DataFrame:
@@ -119,6 +119,10 @@ def _distance(rows: DataFrame, estimate: DataFrame, sent=_same) -> DataFrame:
     return out.withColumn("_d2", total).select(*rows.columns, "_d2")
 
 
+#: What ``_under`` needs of the moments besides the means.
+SECOND = ("_n", *[f"m{i}_{j}" for i in range(len(X)) for j in range(i + 1)])
+
+
 def _moments(rows: DataFrame) -> DataFrame:
     d = range(len(X))
     means = [F.avg(X[i]).alias(f"m{i}") for i in d]
@@ -188,13 +192,15 @@ def _fitted(rows: DataFrame, steps: int, min_rows: int) -> DataFrame:
     estimate = written(starts[0].unionByName(starts[1]).unionByName(starts[2]))
     names = F.flatten(F.transform(levels, lambda g: F.array(*[F.concat(F.lit(f"{k}\x1e"), g) for k in range(len(starts))])))
     started = rows.select(F.explode(names).alias("_g"), *X)
+    let_go(rows.sparkSession)
     for _ in range(max(steps, 1)):
-        moments = written(_moments(_closest(_distance(started, estimate, sent), SHARE, sent)))
-        before, estimate = estimate, _estimate(moments)
+        # written with its factors: a plan that holds their expressions, and a filter that repeats them, fill the driver
+        before, estimate = estimate, written(_estimate(_moments(_closest(_distance(started, estimate, sent), SHARE, sent)), *SECOND))
         moved = estimate.join(before.select("_g", F.col("_det").alias("_was")), "_g")
         if moved.where(F.abs(F.col("_det") - F.col("_was")) > SETTLED).isEmpty():
             break
-    told = moments.join(estimate.select("_g", "_det"), "_g").withColumn("_in", F.substring_index("_g", "\x1e", -1))
+        let_go(rows.sparkSession)
+    told = estimate.select("_g", *SECOND, *[f"m{i}" for i in range(len(X))], "_det").withColumn("_in", F.substring_index("_g", "\x1e", -1))
     least = told.groupBy("_in").agg(F.min(F.struct("_det", "_g"))["_g"].alias("_g"))
     moments = written(told.join(least.select("_g"), "_g", "left_semi").drop("_g", "_det").withColumnRenamed("_in", "_g"))
     languages = moments.join(pairs.select(F.col("_lang").alias("_g"), F.lit("").alias("_up")).distinct(), "_g")
